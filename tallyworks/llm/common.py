@@ -71,6 +71,35 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
     return map_batches(df, run, struct)
 
 
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: StructType | str) -> DataFrame:
+    """``fn`` on the rows of each key, one after another in a sorted partition: cheap for many small groups."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    struct = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    arrow = to_arrow_schema(struct)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        held_key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            rows = list(zip(*(table.column(k).to_pylist() for k in keys), strict=True))
+            cuts = [0, *(i for i in range(1, len(rows)) if rows[i] != rows[i - 1]), len(rows)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and rows[a] != held_key:
+                    if (out := fn(pa.concat_tables(held))) is not None:
+                        yield from out.cast(arrow).to_batches()
+                    held = []
+                held_key = rows[a]
+                held.append(table.slice(a, b - a))
+        if held and (out := fn(pa.concat_tables(held))) is not None:
+            yield from out.cast(arrow).to_batches()
+
+    return map_batches(df.repartition(*keys).sortWithinPartitions(*keys), run, struct)
+
+
 def utf8(text: Column | str = "text") -> Column:
     """The text as UTF-8 bytes; null as empty."""
     return F.coalesce((F.col(text) if isinstance(text, str) else text).cast("binary"), F.lit(b""))

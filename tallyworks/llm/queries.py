@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import divergence_rules, packing, piece_codec, quality_fm
+from . import bitsliced_topk, divergence_rules, line_windows, minhash, packing, piece_codec, quality_fm
 from .common import read
 
 #: Folder of public tokenizer files; the environment may name another.
@@ -36,13 +37,25 @@ def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.judge(docs, divergence_rules.references(docs)).drop("char_jsd", "word_jsd")
 
 
+def op5_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced_topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_windows.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_fm, op2_piece_codec, op3_divergence_rules, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_fm, op2_piece_codec, op3_divergence_rules, op5_bitsliced_topk, op7_minhash, op9_line_windows, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_bitsliced_topk": bitsliced_topk.ORACLE, "op7_minhash": minhash.ORACLE, "op9_line_windows": line_windows.ORACLE}
