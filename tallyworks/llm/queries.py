@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced_topk, divergence_rules, line_windows, minhash, packing, piece_codec, quality_fm
+from . import bitsliced_topk, divergence_rules, line_windows, minhash, packing, piece_codec, quality_fm, repeat_windows
 from .common import read
 
 #: Folder of public tokenizer files; the environment may name another.
@@ -45,6 +45,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op8_repeat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_windows.measure(read(spark, sf_dir, "documents"))
+
+
 def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_windows.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -54,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_fm, op2_piece_codec, op3_divergence_rules, op5_bitsliced_topk, op7_minhash, op9_line_windows, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_fm, op2_piece_codec, op3_divergence_rules, op5_bitsliced_topk, op7_minhash, op8_repeat_windows, op9_line_windows, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
