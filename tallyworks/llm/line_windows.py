@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WIDTH = 3
 
 
@@ -42,7 +44,7 @@ def windows(docs: DataFrame) -> DataFrame:
 
 def covered(docs: DataFrame) -> DataFrame:
     """doc_id, digest, starts: the first lines of the windows of a document that occurred before."""
-    all_windows = windows(docs)
+    all_windows = materialize(windows(docs))  # hashes and places only; read twice
     first = all_windows.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").drop("last")
     later = all_windows.join(first, "hash").where("place > first")
     return later.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.digest").alias("digest")).agg(F.collect_set("place.line").alias("starts"))
