@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced_topk, divergence_rules, line_windows, minhash, packing, piece_codec, quality_fm, repeat_windows
+from . import bitsliced_topk, divergence_rules, line_windows, minhash, packing, page_text, piece_codec, quality_fm, repeat_windows, warc
 from .common import read
 
 #: Folder of public tokenizer files; the environment may name another.
@@ -37,10 +37,19 @@ def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.judge(docs, divergence_rules.references(docs)).drop("char_jsd", "word_jsd")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = warc.resolve_revisits(warc.page_records(read(spark, sf_dir, "pages")))
+    return resolved.withColumn("headers", warc.header_lines(F.col("headers")))
+
+
 def op5_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced_topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -58,8 +67,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_fm, op2_piece_codec, op3_divergence_rules, op5_bitsliced_topk, op7_minhash, op8_repeat_windows, op9_line_windows, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_fm, op2_piece_codec, op3_divergence_rules, op4_warc, op5_bitsliced_topk, op6_page_text, op7_minhash, op8_repeat_windows, op9_line_windows, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_bitsliced_topk": bitsliced_topk.ORACLE, "op7_minhash": minhash.ORACLE, "op9_line_windows": line_windows.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op5_bitsliced_topk": bitsliced_topk.ORACLE, "op7_minhash": minhash.ORACLE, "op9_line_windows": line_windows.ORACLE}
