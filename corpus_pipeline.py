@@ -1,26 +1,56 @@
-"""A corpus pipeline: documents through a quality classifier, two repeat removers and a near-duplicate remover into packed sequences."""
+"""A corpus pipeline over ``documents``: quality classifier, line dedup, near-dedup, repeated passages, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a DataFrame; all but the last
+return the columns of documents. Where a stage changes ``text``, ``n_chars`` follows it. Documents that lose all their text stay,
+as empty ones.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyworks.llm import packing, quality_fm
+from tallyworks.llm import line_windows, minhash, packing, quality_fm, repeat_windows
 from tallyworks.llm.common import materialize, read
 from tallyworks.llm.queries import tokenizer_path
 
 
+def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier accepts."""
-    model = quality_fm.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return quality_fm.keep_good(docs, model)
+    """Documents whose quality score reaches 0.7."""
+    return quality_fm.keep_good(docs, quality_fm.train(docs, read(spark, sf_dir, "labels")))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines of three-line windows that occurred before."""
+    return _recounted(line_windows.remove_repeats(docs), docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of each group linked by five-word shingles with a similarity of 0.8 or more."""
+    return minhash.keep_first(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without bytes of 50-byte strings that a document with a smaller id holds."""
+    return _recounted(repeat_windows.remove_repeats(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of what is left, placed in sequences."""
+    """Pieces of at most 4096 tokens of what is left, placed in sequences."""
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("quality classifier", quality), ("best-fit packing", pack)]
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", repeated_lines),
+    ("MinHash near-dedup", near_copies),
+    ("suffix-array dedup", repeated_passages),
+    ("best-fit packing", pack),
+]
 
 #: The classifier and the tokenizer have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -28,8 +58,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
