@@ -62,29 +62,48 @@ def dollars_with_unit(number: Column, unit: Column) -> Column:
     return (F.replace(number, F.lit(","), F.lit("")).try_cast("double") * times).try_cast("bigint")
 
 
-def _scaled(v: Column, cuts: list[tuple[float, str, str]], rest: str) -> Column:
-    out = F.format_string(rest, v)
-    for cut, shape, unit in reversed(cuts):
-        out = F.when(F.abs(v) >= cut, F.concat(F.format_string(shape, v / cut), F.lit(unit))).otherwise(out)
+def _in_units(v: Column, cut: int, digits: int) -> Column:
+    """A whole number >= 0 divided by ``cut``, printed with ``digits`` decimals as C and Python do.
+
+    They round the binary quotient, half to even; Java's formatter rounds its shortest decimal spelling half up, which differs on
+    ties. On a tie the quotient, scaled by a power of two, is compared with the true value in whole numbers.
+    """
+    unit, wide = cut // 10**digits, "decimal(19,0)"
+    rest, x = v % unit, v.cast("double") / float(cut)
+    whole = ((v - rest) / unit).cast("bigint")
+    scale = F.when(x < 1024, F.lit(2**52)).otherwise(F.lit(2**42))
+    binary = (x * scale).cast("bigint").cast(wide) * F.lit(cut).cast("decimal(13,0)")
+    true = v.cast(wide) * scale.cast("decimal(16,0)")
+    tie = (binary > true) | ((binary == true) & (whole % 2 == 1))
+    up = (2 * rest > unit) | ((2 * rest == unit) & tie)
+    return F.format_string(f"%,.{digits}f", (whole + up.cast("bigint")) / float(10**digits))
+
+
+def _scaled(c: Column, cuts: list[tuple[int, int, str]]) -> Column:
+    """Compact form of the size of a whole number; below the last cut it is printed whole."""
+    v = F.abs(c.cast("bigint"))
+    out = F.format_string("%,d", v)
+    for cut, digits, unit in reversed(cuts):
+        out = F.when(v >= cut, F.concat(_in_units(v, cut, digits), F.lit(unit))).otherwise(out)
     return out
 
 
+_B, _M, _K = (10**9, 1, "B"), (10**6, 1, "M"), (10**3, 1, "K")
+
+
 def usd(c: Column) -> Column:
     """Compact dollars of a change: $1.5M; null as "-"."""
-    body = _scaled(c.cast("double"), [(1e9, "%,.1f", "B"), (1e6, "%,.1f", "M"), (1e3, "%,.1f", "K")], "%,.0f")
-    return F.coalesce(F.when(c.isNotNull(), F.concat(F.lit("$"), body)), F.lit("-"))
+    return F.coalesce(F.when(c.isNotNull(), F.concat(F.lit("$"), F.when(c < 0, "-").otherwise(""), _scaled(c, [_B, _M, _K]))), F.lit("-"))
 
 
 def usd_view(c: Column) -> Column:
     """Compact dollars of a table: the sign first, trillions too; null as a dash."""
-    body = _scaled(F.abs(c.cast("double")), [(1e12, "%,.1f", "T"), (1e9, "%,.1f", "B"), (1e6, "%,.1f", "M"), (1e3, "%,.1f", "K")], "%,.0f")
-    return F.coalesce(F.when(c.isNotNull(), F.concat(F.when(c < 0, "-").otherwise(""), F.lit("$"), body)), F.lit("—"))
+    return F.coalesce(F.when(c.isNotNull(), F.concat(F.when(c < 0, "-").otherwise(""), F.lit("$"), _scaled(c, [(10**12, 1, "T"), _B, _M, _K]))), F.lit("—"))
 
 
 def usd_fact(c: Column) -> Column:
     """Dollars of a fact line: two decimals for billions, whole dollars below a million; null as "unstated"."""
-    body = F.when(c >= 1_000_000_000, F.concat(F.format_string("%,.2f", c / 1e9), F.lit("B"))).when(c >= 1_000_000, F.concat(F.format_string("%,.1f", c / 1e6), F.lit("M"))).otherwise(F.format_string("%,d", c.cast("long")))
-    return F.coalesce(F.when(c.isNotNull(), F.concat(F.lit("$"), body)), F.lit("unstated"))
+    return F.coalesce(F.when(c.isNotNull(), F.concat(F.lit("$"), F.when(c < 0, F.format_string("%,d", c.cast("bigint"))).otherwise(_scaled(c, [(10**9, 2, "B"), _M])))), F.lit("unstated"))
 
 
 def percent(c: Column) -> Column:

@@ -16,7 +16,7 @@ BROADCAST_BYTES = 16 << 20
 def _small(df: DataFrame) -> DataFrame:
     """A broadcast hint only where the plan's own estimate proves the size."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(size.toString()) <= BROADCAST_BYTES else df
+    return F.broadcast(df) if int(str(size)) <= BROADCAST_BYTES else df
 
 
 def alias_index(companies: DataFrame) -> DataFrame:
