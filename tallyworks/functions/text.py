@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words of a company's legal form.
 LEGAL_TOKENS = ["inc", "incorporated", "llc", "llp", "lp", "plc", "ltd", "limited", "corp", "corporation", "co", "company", "companies", "gmbh", "sarl", "srl", "spa", "nv", "bv", "pty", "pte"]
@@ -106,7 +107,7 @@ def scrub(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """Character references decoded; Spark has no function for it."""
     return s.map(html.unescape, na_action="ignore")

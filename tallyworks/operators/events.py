@@ -102,14 +102,11 @@ def prepare(awards: DataFrame) -> DataFrame:
     return mark_creating(mark_duplicates(stamp(awards)))
 
 
-_LAST_DATE = F.lit("9999-12-31").cast("date")
-
-
 def build_contracts(awards: DataFrame, entities: DataFrame) -> DataFrame:
     """One row per contract from its rows that aren't duplicates: a single aggregation with the creating row picked by ``min_by``."""
     tickers = entities.groupBy("contractor_raw").agg(F.first("ticker").alias("ticker"))  # contractor_raw is the key; guards against repeats
     live = awards.where("contract_uid IS NOT NULL AND duplicate_of IS NULL")
-    first = F.struct(F.coalesce("announced_date", _LAST_DATE), "award_uid")
+    first = F.struct(F.coalesce("announced_date", F.lit("9999-12-31").cast("date")), "award_uid")
     creator = F.min_by(F.struct("contractor_raw", "contract_number", "base_contract_number", "service_branch", "work_description", "contracting_activity", "action_type", "amount_usd"), first)
     changed = is_change(F.col("action_type"))
     got = live.groupBy("contract_uid").agg(

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import BooleanType, DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 # The tables' columns and types, in order. "!" marks a model-filled column that may not be null, "?" one that may.
 _COLUMNS = {
@@ -39,6 +39,9 @@ CHANGE_KINDS = ["new_announcement", "new_award", "modification_on_tracked", "amo
 _ENUMS = {("awards", "service_branch"): BRANCHES, ("awards", "action_type"): ACTION_TYPES, ("entities", "relationship"): RELATIONSHIPS, ("materiality", "tier"): TIERS}
 
 
+_TYPES = {"string": StringType(), "bigint": LongType(), "int": IntegerType(), "double": DoubleType(), "boolean": BooleanType(), "date": DateType(), "timestamp": TimestampType()}
+
+
 def _schema(table: str) -> StructType:
     fields = []
     for part in _COLUMNS[table].split(", "):
@@ -47,7 +50,7 @@ def _schema(table: str) -> StructType:
         if (table, name) in _ENUMS:
             meta["enum"] = _ENUMS[table, name]
         base = "string" if meta["json"] else kind.rstrip("!?")
-        fields.append(StructField(name, StructType.fromDDL(f"x {base}")["x"].dataType, True, meta))
+        fields.append(StructField(name, _TYPES[base], True, meta))
     return StructType(fields)
 
 
@@ -72,8 +75,8 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[table])
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """Contract columns in contract order; bad values and missing columns become null, others go."""
+def conform(df: DataFrame, table: str, *keep: str) -> DataFrame:
+    """Contract columns in contract order, then ``keep``; bad values and missing columns become null, others go."""
     have = set(df.columns)
 
     def one(f: StructField) -> Column:
@@ -83,7 +86,7 @@ def conform(df: DataFrame, table: str) -> DataFrame:
         kind = f.dataType.simpleString()
         return (c.cast("string") if kind == "string" else c.try_cast(kind)).alias(f.name)
 
-    return df.select([one(f) for f in TABLES[table]])
+    return df.select([*map(one, TABLES[table]), *keep])
 
 
 def ddl(table: str) -> str:

@@ -54,8 +54,7 @@ class Store:
         """Rows in place of those with their keys; the number of distinct keys written. ``position`` orders repeats, the last wins."""
         rows = rows if position else rows.withColumn("__pos", F.monotonically_increasing_id())
         at = position or "__pos"
-        shaped = conform(rows, table).withColumn(at, F.lit(None).cast("long")) if at not in rows.columns else rows
-        self.write(table, upsert(self.read(table), shaped, KEYS[table], at))
+        self.write(table, upsert(self.read(table), conform(rows, table, at), KEYS[table], at))
         return rows.select(KEYS[table]).distinct().count()
 
     def mark_status(self, announcement_ids: DataFrame, status: str) -> None:
