@@ -10,7 +10,7 @@ deviations below the limit, isn't looked at.
 Who is linked to whom inside a band matters only for components, so bands are settled,
 not expanded into pairs: in a few rounds each class is held against one pivot of a band
 it shares with another component; bands still split after that are compared in blocks,
-across components only, signatures first. A link at the limit shares no band with
+across components only, signatures first, then full sets, and yield links alone. A link at the limit shares no band with
 probability (1 - 0.8^ROWS)^BANDS, 3 in a million.
 
 Defined results: empty, wordless and null texts have no shingles and are linked with
@@ -34,7 +34,7 @@ from .components import components
 
 BANDS, ROWS, WIDTH, PERCENT = 32, 5, 5, 80
 MIN_AGREE = 0.64
-PIVOT_ROUNDS, BLOCK = 3, 2048
+PIVOT_ROUNDS, BLOCK, BLOCK_BYTES = 3, 2048, 16 << 20
 _U = np.uint64
 
 
@@ -124,48 +124,64 @@ def _agree(sig: DataFrame, pairs: DataFrame) -> DataFrame:
     return map_rows(both, run, "a long, b long")
 
 
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the limit."""
+    small, large = (p, q) if len(p) <= len(q) else (q, p)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    same = int((large[at] == small).sum())
+    return 100 * same >= percent * (len(p) + len(q) - same)
+
+
 def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("sb")), "b")
 
     def run(b: dict) -> dict:
-        ok = []
-        for i, (x, y) in enumerate(zip(b["sa"], b["sb"], strict=True)):
-            p, q = np.frombuffer(x, _U), np.frombuffer(y, _U)
-            small, large = (p, q) if len(p) <= len(q) else (q, p)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            same = int((large[at] == small).sum())
-            if 100 * same >= percent * (len(p) + len(q) - same):
-                ok.append(i)
+        ok = [i for i, (x, y) in enumerate(zip(b["sa"], b["sb"], strict=True)) if _similar(np.frombuffer(x, _U), np.frombuffer(y, _U), percent)]
         return {"a": [b["a"][i] for i in ok], "b": [b["b"][i] for i in ok]}
 
     return map_rows(both, run, "a long, b long")
 
 
-def _blocks(split: DataFrame, sig: DataFrame) -> DataFrame:
-    """Candidate pairs across components within split bands, bands of many members cut into pairs of blocks."""
+def _blocks(split: DataFrame, sig: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components within split bands, bands of many members or bytes cut into pairs of blocks.
+
+    Signatures first, then full sets, both inside the block: no pair leaves it but a link. A pair belongs to the first band it
+    shares, and components that a link has joined are not compared further in that block.
+    """
     least = int(MIN_AGREE * BANDS * ROWS)
-    sizes = split.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
-    own = split.join(sizes, "band").join(sig, "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "comp", "sig")
+    weights = sets.select("node", F.length("items").alias("bytes"))
+    sizes = split.join(weights, "node").groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).alias("chunks"))
+    own = split.join(sizes, "band").join(sig, "node").join(sets, "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "comp", "sig", "bands", "items")
 
     def run(group: pa.Table) -> pa.Table | None:
-        node, comp, chunk = (group.column(c).to_numpy() for c in ("node", "comp", "chunk"))
+        node, chunk = (group.column(c).to_numpy() for c in ("node", "chunk"))
+        comp = np.unique(group.column("comp").to_numpy(), return_inverse=True)[1]
         sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
-        across = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
-        found = []
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        items = [np.frombuffer(x, _U) for x in group.column("items").to_pylist()]
+        size = np.array([len(x) for x in items], np.int64)
+        band, across = group.column("band")[0].as_py(), group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
+        links = []
         for k in range(0, len(node), 64):
-            near = (sigs[k : k + 64, None, :] == sigs[None, :, :]).sum(2) >= least
-            near &= comp[k : k + 64, None] != comp[None, :]
-            near &= node[k : k + 64, None] > node[None, :]
+            near = (comp[k : k + 64, None] != comp[None, :]) & (node[k : k + 64, None] > node[None, :])
+            near &= 100 * np.minimum(size[k : k + 64, None], size[None, :]) >= percent * np.maximum(size[k : k + 64, None], size[None, :])
             if across:
                 near &= chunk[k : k + 64, None] != chunk[None, :]
+            near &= (sigs[k : k + 64, None, :] == sigs[None, :, :]).sum(2) >= least
             i, j = np.nonzero(near)
-            found.append((node[k + i], node[j]))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table({"a": a, "b": b}) if len(a) else None
+            i += k
+            for c in range(0, len(i), 65536):
+                x, y = i[c : c + 65536], j[c : c + 65536]
+                first = bands[x, (bands[x] == bands[y]).argmax(1)] == band
+                for p, q in zip(x[first].tolist(), y[first].tolist(), strict=True):
+                    if comp[p] != comp[q] and _similar(items[p], items[q], percent):
+                        comp[comp == comp[p]] = comp[q]
+                        links.append((node[p], node[q]))
+        return pa.table({"a": [x for x, _ in links], "b": [y for _, y in links]}) if links else None
 
-    return map_groups(sent, ["band", "lo", "hi"], run, "a long, b long").distinct()
+    return map_groups(sent, ["band", "lo", "hi"], run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -177,7 +193,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     shared = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band")
     members = materialize(bands.join(shared, "band").distinct())
     nodes = members.select("node").distinct()
-    sig = materialize(reps.select("node", "sig").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    sig = materialize(reps.select("node", "sig", "bands").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
     def full(b: dict) -> dict:
         return {"node": b["node"], "items": [shingles(t.lower().split(), width).tobytes() for t in b["text"]]}
@@ -202,10 +218,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
             order = F.xxhash64("node", F.lit(k)) if k else F.col("node")
             pivots = split.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "comp")).alias("p"))
             tried = split.join(pivots, "band").where("comp <> p.comp").groupBy("node").agg(F.min("p").alias("p")).select(F.col("node").alias("a"), F.col("p.node").alias("b"))
-            pairs = _agree(sig, tried)
+            new = materialize(_confirm(sets, _agree(sig, tried), percent).distinct())
         else:
-            pairs = _blocks(split, sig)
-        new = materialize(_confirm(sets, pairs, percent).distinct())
+            new = materialize(_blocks(split, sig, sets, percent))
         drop_scratch(split)
         links = new if links is None else links.unionByName(new)
         if comp_table is not None:
