@@ -1,37 +1,48 @@
-"""Main text of web pages: structure first, nearest-URL page differencing for the rest.
+"""Main text of web pages: nearest-URL page differencing, with structure as a guard.
 
 A page's blocks are its runs of text between block tags. Blocks in navigation,
 headers, footers, asides, forms, hidden parts, adverts, notices, comments and the like
-(by element, role, class or id) go. Where a page marks its content (<main>, else
-<article>), the blocks inside are the text. Elsewhere template lines are found by
-comparison: pages are ordered by host and URL path, each is paired with the neighbour
-on its host that shares the longer path prefix (the earlier one in a tie), the lines of
-both are aligned by a longest common subsequence, and shared lines are deleted. A page
-all of whose lines are shared is a copy, not a template, and keeps them.
+(by element, role, class or id) go.
+
+On all pages template lines among the rest are found by comparison: pages are ordered
+by host and URL path, and each looks to both sides for the nearest page of its host that
+has another path. Lines are aligned by a longest common
+subsequence with the page of the longer common path (the earlier one in a tie), and
+shared lines are deleted. Structure guards: lines in <main> or <article> go only if the
+page on the other side, where there is one, shares them too; marked content all of whose
+lines are shared stays, as does a page. Last, where a page marks content, that is the
+text; articles shorter than what else is left are teasers, and both are the text.
 
 Differencing alone can't do it: menus and footers may differ from page to page (as in
-the test pages, where every block outside <article> is unique), and marked content may
-recur on a neighbour. Hence structure decides first and marked content is never deleted.
+the test pages, where every block outside <article> is unique and boilerplate).
 
-The order is by range partitions, so a host of any size is spread over tasks; only the
-edge rows of partitions, a bounded number, pass through the driver.
+The order is by range partitions, so a host of any size is spread over tasks. Lines
+are compared by length and 96-bit digest. A few rows at the edges of each partition, at
+most twelve, pass through the driver without their texts; pages that find none in their own partition look there.
 
 Defined results: null html is an empty page with empty text; a null or unparsable URL
-has an empty host; rows that repeat a page are pages of their own; a page without a
-neighbour loses nothing to differencing; empty table, empty result. Other columns are
-ignored.
+has an empty host; rows that repeat a page get the same text; a page without a
+neighbour loses nothing to differencing; empty table, empty result.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import default_parallelism, map_rows, materialize
+from .common import BATCH_ROWS, default_parallelism, drop_scratch, map_batches, map_rows, materialize
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -130,13 +141,24 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def content(page: str) -> tuple[list[str], bool]:
-    """Lines that structure leaves, and whether the page marks its content."""
-    found = blocks(page)
-    for mark in ("main", "article"):
-        if own := [t for t, w in found if w == mark]:
-            return own, True
-    return [t for t, w in found if w == ""], False
+def content(page: str) -> tuple[list[str], str]:
+    """Lines that structure leaves, and a letter for each: m in <main>, a in <article>, b in an article below boilerplate, o in none."""
+    found = [(t, "o" if w == "" else w[0]) for t, w in blocks(page) if w not in ("-", "x")]
+    return [t for t, _ in found], "".join(w for _, w in found)
+
+
+def chosen(lines: list[str], marks: str) -> list[str]:
+    """The text among what differencing left: marked content, with what else is longer than it and so no frame or teaser."""
+    size = dict.fromkeys("mabo", 0)
+    for x, m in zip(lines, marks, strict=True):
+        size[m] += len(x)
+    if size["m"]:
+        keep = {"m", *(k for k in "ab" if size[k] > size["m"])}
+    elif size["a"]:
+        keep = {"a", *(k for k in "bo" if size[k] > size["a"])}
+    else:
+        keep = {"b" if size["b"] >= size["o"] else "o"}
+    return [x for x, m in zip(lines, marks, strict=True) if m in keep]
 
 
 def shared_lines(own: list, other: list) -> list[int]:
@@ -162,9 +184,23 @@ def shared_lines(own: list, other: list) -> list[int]:
     return out[::-1]
 
 
-def without_shared(own: list[str], other: list[str] | None) -> list[str]:
-    gone = set(shared_lines(own, other)) if other else set()
-    return own if len(gone) == len(own) else [x for i, x in enumerate(own) if i not in gone]
+def template_lines(own: list, marks: str, first: list | None, second: list | None) -> list[int]:
+    """Places of the lines to delete: those shared with ``first``; of marked content only those shared with ``second``, if there is one, as well.
+
+    Marked content all of whose lines would go stays, as does a page.
+    """
+    if not own or first is None:
+        return []
+    gone = shared_lines(own, first)
+    if second is not None and any(marks[k] != "o" for k in gone):
+        both = set(shared_lines(own, second))
+        gone = [k for k in gone if marks[k] == "o" or k in both]
+    if len(gone) == len(own):
+        return []
+    left = set(gone)
+    if all(k in left for k, m in enumerate(marks) if m != "o"):
+        gone = [k for k in gone if marks[k] == "o"]
+    return gone
 
 
 def _where(url: str | None) -> tuple[str, str]:
@@ -175,49 +211,177 @@ def _where(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
+def _line_key(line: str) -> bytes:
+    """Length and digest: lines are compared by 16 bytes, so that texts needn't be sorted."""
+    raw = line.encode("utf-8", "surrogatepass")
+    return len(raw).to_bytes(4, "big") + hashlib.blake2b(raw, digest_size=12).digest()
+
+
+def _common(a: str, b: str) -> int:
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+class _Row(NamedTuple):
+    host: str
+    path: str
+    lines: tuple
+    marks: str
+    key: bytes
+
+
+def _passed_over(row: _Row, other: _Row, seen: dict) -> bool:
+    """Whether ``other`` can't be the page to compare with for its text: it is empty."""
+    return not other.lines
+
+
+def _nearest(rows: list[_Row]) -> tuple[list[int], list[int], list[int]]:
+    """For each of some rows in order the place of the nearest earlier page of its host and another path that is not empty; likewise of any path; the start of its path's rows.
+
+    -1 where the host begins among the rows and has none, -2 where earlier rows may have one. Empty pages are passed over with what they passed over.
+    """
+    other, any_path, starts, seen = [], [], [], {}
+    low = start = 0
+    for i, row in enumerate(rows):
+        if i and row.host != rows[i - 1].host:
+            low = start = i
+        elif i and row.path != rows[i - 1].path:
+            start = i
+        for k, out in ((i - 1, any_path), (start - 1, other)):
+            while k >= low and _passed_over(row, rows[k], seen):
+                k = any_path[k]
+            out.append(k if k >= low else -1 if low else -2)
+        starts.append(start)
+    return other, any_path, starts
+
+
+def _edge(rows: list[_Row], any_path: list[int], starts: list[int]) -> list[int]:
+    """Places of the rows at the end, nearest first, that stand for all others to whoever looks back from the next partition."""
+    out = set()
+    for k in (len(rows) - 1, starts[-1] - 1):
+        for _ in range(3):
+            if k >= 0 and rows[k].host == rows[-1].host:
+                out.add(k)
+                k = any_path[k]
+    return sorted(out, reverse=True)
+
+
+def _beyond(row: _Row, edges: list[tuple[int, list[_Row], bool]], seen: dict) -> _Row | None:
+    """Looks through the edges of the partitions on one side, nearest first, for the page to compare with."""
+    for _, found, whole in edges:
+        for other in found:
+            if other.host != row.host:
+                return None
+            if other.path != row.path and not _passed_over(row, other, seen):
+                return other
+        if not whole:
+            return None
+    return None
+
+
+def _decide(row: _Row, before: _Row | None, after: _Row | None) -> list[int]:
+    first, second = before, after
+    if first is None or (second is not None and _common(row.path, second.path) > _common(row.path, first.path)):
+        first, second = second, first
+    return template_lines(list(row.lines), row.marks, first and list(first.lines), second and list(second.lines))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row."""
+    page_id = pages.schema["page_id"].dataType.simpleString()
 
-    def first(b: dict) -> dict:
-        got = [content(h or "") for h in b["html"]]
+    def key(url: str | None, page: str | None) -> bytes:
+        return hashlib.blake2b(f"{url is None}{len(url or '')} {url or ''}{page or ''}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+    def slim(b: dict) -> dict:
         at = [_where(u) for u in b["url"]]
-        return {"page_id": b["page_id"], "url": b["url"], "host": [a[0] for a in at], "path": [a[1] for a in at], "lines": [g[0] for g in got], "marked": [g[1] for g in got]}
+        got = [content(h or "") for h in b["html"]]
+        return {"host": [a[0] for a in at], "path": [a[1] for a in at], "key": [key(u, h) for u, h in zip(b["url"], b["html"], strict=True)], "lines": [b"".join(map(_line_key, g[0])) for g in got], "marks": [g[1] for g in got]}
 
-    page_id = pages.schema["page_id"].dataType.simpleString()
-    table = materialize(map_rows(pages.select("page_id", "url", "html"), first, f"page_id {page_id}, url string, host string, path string, lines array<string>, marked boolean"))
-    done = table.where("marked")
-    rest = pages.sparkSession.createDataFrame([], table.schema) if table.where("NOT marked").isEmpty() else _difference(table)
-    text = F.array_join("lines", "\n")
-    return done.unionByName(rest.select(table.columns)).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    def whole(b: dict) -> dict:
+        got = [content(h or "") for h in b["html"]]
+        return {"page_id": b["page_id"], "url": b["url"], "key": [key(u, h) for u, h in zip(b["url"], b["html"], strict=True)], "lines": [g[0] for g in got], "marks": [g[1] for g in got]}
 
+    def choose(b: dict) -> dict:
+        out = []
+        for lines, marks, gone in zip(b["lines"], b["marks"], b["gone"], strict=True):
+            less = set(gone or ())
+            left = [k for k in range(len(lines)) if k not in less]
+            out.append("\n".join(chosen([lines[k] for k in left], "".join(marks[k] for k in left))))
+        return {"page_id": b["page_id"], "url": b["url"], "text": out}
 
-def _difference(table: DataFrame) -> DataFrame:
-    """Rows of unmarked pages, less the lines they share with the nearest page of their host."""
-    order = ["host", "path", "page_id"]
-    n = default_parallelism(table.sparkSession)
-    row = F.struct(*order, "lines")
-    # marked pages are neighbours as well; all lines travel, as a neighbour's are needed
-    laid = materialize(table.repartitionByRange(n, *order, F.xxhash64("lines")).sortWithinPartitions(*order, F.xxhash64("lines")).withColumn("part", F.spark_partition_id()))
-    edges = laid.groupBy("part").agg(F.min(row).alias("first"), F.max(row).alias("last")).orderBy("part").collect()  # two rows of each of n partitions
-    spark = table.sparkSession
-    schema = f"part int, before struct<host:string,path:string,page_id:{table.schema['page_id'].dataType.simpleString()},lines:array<string>>, after struct<host:string,path:string,page_id:{table.schema['page_id'].dataType.simpleString()},lines:array<string>>"
-    around = spark.createDataFrame([(e.part, edges[i - 1]["last"] if i else None, edges[i + 1]["first"] if i + 1 < len(edges) else None) for i, e in enumerate(edges)], schema)
-    w = Window.partitionBy("part").orderBy(*order, F.xxhash64("lines"))
-    near = laid.withColumns({"p": F.lag(row).over(w), "q": F.lead(row).over(w)}).where("NOT marked").join(F.broadcast(around), "part")
-    near = near.select(*table.columns, F.coalesce("p", "before").alias("p"), F.coalesce("q", "after").alias("q"))
+    source = pages.select("page_id", "url", "html")
+    gone = _difference(materialize(map_rows(source.select("url", "html"), slim, "host string, path string, key binary, lines binary, marks string")))
+    # pages are read a second time rather than written: only their texts travel, once
+    table = map_rows(source, whole, f"page_id {page_id}, url string, key binary, lines array<string>, marks string")
+    text = map_rows(table.join(gone, "key", "left").select("page_id", "url", "lines", "marks", "gone"), choose, f"page_id {page_id}, url string, text string")
+    return text.withColumn("n_chars", F.length("text").cast("long"))
 
-    names = table.columns
 
-    def run(b: dict) -> dict:
+def _difference(table: DataFrame) -> DataFrame:
+    """key, gone: the places of the lines that a page loses to the comparison with its neighbours; pages that lose none are left out."""
+    spark = table.sparkSession
+    order = ["host", "path", "key"]
+    names = ["host", "path", "lines", "marks", "key"]
+    row_type = "struct<host:string,path:string,lines:binary,marks:string,key:binary>"
+    schema = f"key binary, gone array<int>, part int, side int, whole boolean, nth int, row {row_type}, before {row_type}, after {row_type}, open int"
+
+    def pack(r: _Row | None) -> dict | None:
+        return r and {**r._asdict(), "lines": b"".join(r.lines)}
+
+    def unpack(r: dict | None) -> _Row | None:
+        return r and _Row(r["host"], r["path"], tuple(bytes(r["lines"][k : k + 16]) for k in range(0, len(r["lines"]), 16)), r["marks"], bytes(r["key"]))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [unpack(r) for b in batches for r in b.to_pylist()]  # without texts: a partition's fit
+        if not rows:
+            return
+        part, n = TaskContext.get().partitionId(), len(rows)
+        before, any_before, starts = _nearest(rows)
+        turned = rows[::-1]
+        after, any_after, ends = _nearest(turned)
+        out = []
+        one_host = rows[0].host == rows[-1].host
+        for side, given, found in ((0, rows, _edge(rows, any_before, starts)), (1, turned, _edge(turned, any_after, ends))):
+            out += [{"part": part, "side": side, "whole": one_host, "nth": i, "row": pack(given[k])} for i, k in enumerate(found)]
+        for i, row in enumerate(rows):
+            if not row.lines or (i and row.key == rows[i - 1].key):  # rows that repeat a page lose the same
+                continue
+            p, q = before[i], after[n - 1 - i]
+            x, y = rows[p] if p >= 0 else None, turned[q] if q >= 0 else None
+            if -2 in (p, q):
+                out.append({"part": part, "row": pack(row), "before": pack(x), "after": pack(y), "open": (p == -2) + 2 * (q == -2)})
+            elif gone := _decide(row, x, y):
+                out.append({"key": row.key, "gone": gone})
+            if len(out) >= BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                out = []
+        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    struct = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(struct)
+    laid = table.repartitionByRange(default_parallelism(spark), *order).sortWithinPartitions(*order).select(names)
+    done = materialize(map_batches(laid, compare, struct))
+    drop_scratch(table)
+    edges: dict = {}
+    for r in done.where("side IS NOT NULL").select("side", "part", "whole", "nth", "row").orderBy("side", "part", "nth").collect():  # at most twelve rows of each partition
+        edges.setdefault((r.side, r.part), ([], r.whole))[0].append(unpack(r.row.asDict()))
+    sides = [sorted(((part, *e) for (s, part), e in edges.items() if s == side), reverse=side == 0) for side in (0, 1)]
+    shared = spark.sparkContext.broadcast([[(part, [tuple(r) for r in rows], whole) for part, rows, whole in side] for side in sides])
+
+    def finish(b: dict) -> dict:
+        around = [[(part, [_Row(*r) for r in rows], whole) for part, rows, whole in side] for side in shared.value]
+        near: dict = {}
+        seen: dict = {}
         out = []
-        for host, path, lines, p, q in zip(b["host"], b["path"], b["lines"], b["p"], b["q"], strict=True):
-            best, length = None, -1
-            for other in (p, q):
-                if other and other["host"] == host:
-                    k = next((i for i, (x, y) in enumerate(zip(path, other["path"], strict=False)) if x != y), min(len(path), len(other["path"])))
-                    if k > length:
-                        best, length = other["lines"], k
-            out.append(without_shared(lines, best))
-        return {**{c: b[c] for c in names}, "lines": out}
-
-    return map_rows(near, run, table.schema)
+        for part, row, x, y, is_open in zip(b["part"], b["row"], b["before"], b["after"], b["open"], strict=True):
+            row, x, y = unpack(row), unpack(x), unpack(y)
+            if part not in near:
+                near[part] = [e for e in around[0] if e[0] < part], [e for e in around[1] if e[0] > part]
+            x = _beyond(row, near[part][0], seen) if is_open & 1 else x
+            y = _beyond(row, near[part][1], seen) if is_open & 2 else y
+            out.append((row.key, _decide(row, x, y)))
+        out = [r for r in out if r[1]]
+        return {"key": [r[0] for r in out], "gone": [r[1] for r in out]}
+
+    ended = map_rows(done.where("open IS NOT NULL").select("part", "row", "before", "after", "open"), finish, "key binary, gone array<int>")
+    return materialize(done.where("gone IS NOT NULL").select("key", "gone").unionByName(ended))  # equal keys are in one partition: one row each

@@ -158,3 +158,33 @@ def test_page_text_cases(spark):
     page = "<html><head><style>p{}</style></head><body><nav>Menu</nav><article><h1>T &amp; t</h1><p>First  one.</p><script>var a;</script><p>Second.</p></article><footer>End</footer></body></html>"
     got = {r.page_id: (r.text, r.n_chars) for r in page_text.extract(spark.createDataFrame([(1, "http://a.example.com/x", page), (2, None, None), (3, "", "")], "page_id long, url string, html string")).collect()}
     assert got == {1: ("T & t\nFirst one.\nSecond.", 24), 2: ("", 0), 3: ("", 0)}
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text.split("\n") for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def paragraphs(k, n=3):
+    return [f"Paragraph {j} of story {k}: " + " ".join(hashlib.md5(f"{k} {j} {i}".encode()).hexdigest() for i in range(4)) for j in range(n)]
+
+
+def page(lines, box="<article>{}</article>"):
+    return "<body>" + box.format("".join(f"<p>{x}</p>" for x in lines)) + "</body>"
+
+
+def test_template_lines_go_from_marked_and_unmarked_pages(spark):
+    frame, plain = ["You are here", "Read more"], "<div>{}</div>"
+    rows = [(k, f"http://a.example.com/n/{k}", page([frame[0], *paragraphs(k), frame[1]], "<article>{}</article>" if k < 4 else plain)) for k in range(8)]
+    rows.append((8, "http://b.example.com/n/8", page([*frame, *paragraphs(8)])))  # alone on its host
+    quote = "A sentence quoted by one page only"
+    rows += [(k, f"http://c.example.com/n/{k}", page([*paragraphs(k), *([quote] if k < 11 else [])])) for k in (9, 10, 11)]
+    got = extracted(spark, rows)
+    assert all(got[k] == paragraphs(k) for k in range(8))
+    assert got[8] == [*frame, *paragraphs(8)]
+    assert got[10] == [*paragraphs(10), quote]  # 11 doesn't share it
+
+
+def test_teaser_article_is_not_the_text(spark):
+    teaser = "<article><h2>Another story</h2></article>"
+    got = extracted(spark, [(1, "http://a.example.com/1", f"<body>{teaser}" + page(paragraphs(1), "<div>{}</div>")), (2, "http://b.example.com/2", "<body><div>A short remark</div>" + page(paragraphs(2)))])
+    assert got == {1: ["Another story", *paragraphs(1)], 2: paragraphs(2)}
