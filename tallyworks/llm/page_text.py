@@ -2,7 +2,8 @@
 
 A page's blocks are its runs of text between block tags. Blocks in navigation,
 headers, footers, asides, forms, hidden parts, adverts, notices, comments and the like
-(by element, role, class or id) go.
+(by element, role, class or id) go; but <main> and <article> (or such roles) end all
+boilerplate that isn't navigation, footer, aside, dialog, hidden or a comment list.
 
 On all pages template lines among the rest are found by comparison: pages are ordered
 by host and URL path, and each looks to both sides for the nearest page of its host that
@@ -54,29 +55,39 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "for
 #: Parts of class and id names that mark boilerplate.
 _MARKS = set("ad ads adv advert adverts advertisement advertisements adbox adslot sponsor sponsored promo promos promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices disclaimer popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond replies disqus related recommended share sharing social widget widgets toolbar pagination pager skip banner copyright".split())
 _OUTER_MARKS = _MARKS | {"header", "top", "bottom", "side"}
+#: What no <main> or <article> inside makes content again; below the rest of the boilerplate either does.
+_SHUT = {"nav", "footer", "aside", "dialog"}
+_SHUT_ROLES = _ROLES - {"banner", "search", "form"}
+_SHUT_MARKS = {"comment", "comments", "commentlist", "respond", "replies", "disqus"}
 #: Beside these the name speaks of the layout or the content itself.
 _INNOCENT = {"has", "no", "with", "without", "content", "main", "article", "post", "entry", "wrapper", "container", "layout", "page", "body"}
 
 
-def _boilerplate(name: str, attrs: dict[str, str], in_content: bool) -> bool:
+def _boilerplate(name: str, attrs: dict[str, str], in_content: bool) -> str:
+    """"x" for boilerplate whose whole content goes, "-" for boilerplate that <main> and <article> end, "" for the rest."""
     if name in ("html", "body", "main"):
-        return False
-    if name in _DROPPED or (name == "header" and not in_content):
-        return True
+        return ""
+    role = attrs.get("role", "").lower()
+    names = [set(re.split(r"[^a-z0-9]+", v)) for v in (*attrs.get("class", "").lower().split(), attrs.get("id", "").lower())]
+    names = [parts for parts in names if not parts & _INNOCENT]
+    if name in _SHUT or role in _SHUT_ROLES or any(parts & _SHUT_MARKS for parts in names):
+        return "x"
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
-        return True
-    if attrs.get("role", "").lower() in _ROLES:
-        return True
-    marks = _MARKS if in_content else _OUTER_MARKS
-    for value in (*attrs.get("class", "").lower().split(), attrs.get("id", "").lower()):
-        parts = set(re.split(r"[^a-z0-9]+", value))
-        if parts & marks and not parts & _INNOCENT:
-            return True
-    return False
+        return "x"
+    if name in _DROPPED or (name == "header" and not in_content) or role in _ROLES:
+        return "-"
+    if role == "main":
+        return ""
+    marks = _MARKS if in_content or name == "article" or role == "article" else _OUTER_MARKS
+    return "-" if any(parts & marks for parts in names) else ""
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(text, where) of the blocks in order; where is "main", "article" or "" for what no boilerplate element holds, "-" for the rest."""
+    """(text, where) of the blocks in order.
+
+    where is "main", "article" or "" for what no boilerplate element holds, "below" for an article that one does
+    (a form round the page, an advert never closed), "-" or "x" for the rest. A <main> in there is a main.
+    """
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # element, where its text belongs
     parts: list[str] = []
@@ -125,16 +136,20 @@ def blocks(page: str) -> list[tuple[str, str]]:
                     break
                 if stack[k][0] in _BLOCK:
                     break
+            if stack and stack[-1][0] == "head":  # its end tag may be left out
+                stack.pop()
         attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3] or m[6] or "")}
         outer = stack[-1][1] if stack else ""
-        if outer == "-" or _boilerplate(name, attrs, outer in ("main", "article")):
-            now = "-"
-        elif name == "main" or attrs.get("role", "").lower() == "main":
-            now = "main"
-        elif outer == "" and (name == "article" or attrs.get("role", "").lower() == "article"):
-            now = "article"
-        else:
+        role = attrs.get("role", "").lower()
+        now = _boilerplate(name, attrs, outer in ("main", "article", "below"))
+        if outer == "x":
+            now = "x"
+        elif not now:
             now = outer
+            if name == "main" or role == "main":
+                now = "main"
+            elif outer in ("", "-") and (name == "article" or role == "article"):
+                now = "article" if outer == "" else "below"
         stack.append((name, now))
         where = now
     flush()

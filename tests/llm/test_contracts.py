@@ -188,3 +188,16 @@ def test_teaser_article_is_not_the_text(spark):
     teaser = "<article><h2>Another story</h2></article>"
     got = extracted(spark, [(1, "http://a.example.com/1", f"<body>{teaser}" + page(paragraphs(1), "<div>{}</div>")), (2, "http://b.example.com/2", "<body><div>A short remark</div>" + page(paragraphs(2)))])
     assert got == {1: ["Another story", *paragraphs(1)], 2: paragraphs(2)}
+
+
+@pytest.mark.parametrize("box", ["<form>{}</form>", '<div id="top">{}</div>', '<div class="side-by-side">{}</div>', '<div class="widget">{}</div>', '<div class="ad">Buy{}', "<head><title>T</title><body>{}</body>"])
+@pytest.mark.parametrize("mark", ["<article>{}</article>", "<main>{}</main>", '<div role="main">{}</div>', '<div role="article">{}</div>', '<article id="top">{}</article>'])
+def test_content_below_boilerplate_opens(box, mark):
+    lines, marks = page_text.content(page(paragraphs(1), box.replace("{}", "<p>Chrome</p>" + mark) if "body" not in box else box.format(mark)))
+    assert page_text.chosen(lines, marks) == paragraphs(1)
+
+
+@pytest.mark.parametrize("box", ["<nav>{}</nav>", "<aside>{}</aside>", "<footer>{}</footer>", '<div class="comments">{}</div>', "<div hidden>{}</div>"])
+def test_articles_in_other_parts_stay_out(box):
+    lines, marks = page_text.content(page(["Remark"], box.replace("{}", "<article>{}</article>")) + page(paragraphs(1)))
+    assert lines == paragraphs(1)
