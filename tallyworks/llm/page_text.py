@@ -7,7 +7,8 @@ boilerplate that isn't navigation, footer, aside, dialog, hidden or a comment li
 
 On all pages template lines among the rest are found by comparison: pages are ordered
 by host and URL path, and each looks to both sides for the nearest page of its host that
-has another path. Lines are aligned by a longest common
+has another path and isn't a near copy (two thirds of the bytes in shared lines), as only
+lines that different pages share are template. Lines are aligned by a longest common
 subsequence with the page of the longer common path (the earlier one in a tie), and
 shared lines are deleted. Structure guards: lines in <main> or <article> go only if the
 page on the other side, where there is one, shares them too; marked content all of whose
@@ -23,7 +24,8 @@ most twelve, pass through the driver without their texts; pages that find none i
 
 Defined results: null html is an empty page with empty text; a null or unparsable URL
 has an empty host; rows that repeat a page get the same text; a page without a
-neighbour loses nothing to differencing; empty table, empty result.
+neighbour loses nothing to differencing; near copies of a near copy are passed over with
+it; a host all of whose pages are near copies loses nothing; empty table, empty result.
 Other columns are ignored.
 """
 
@@ -32,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 from urllib.parse import urlsplit
@@ -232,6 +235,15 @@ def _line_key(line: str) -> bytes:
     return len(raw).to_bytes(4, "big") + hashlib.blake2b(raw, digest_size=12).digest()
 
 
+def near_copies(own: tuple, other: tuple) -> bool:
+    """Whether more than two thirds of the bytes of two line lists are in shared lines."""
+    if own == other:
+        return True
+    size = lambda c: sum(int.from_bytes(x[:4], "big") * n for x, n in c.items())
+    a, b = Counter(own), Counter(other)
+    return 6 * size(a & b) > 2 * (size(a) + size(b))
+
+
 def _common(a: str, b: str) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
@@ -245,14 +257,22 @@ class _Row(NamedTuple):
 
 
 def _passed_over(row: _Row, other: _Row, seen: dict) -> bool:
-    """Whether ``other`` can't be the page to compare with for its text: it is empty."""
-    return not other.lines
+    """Whether ``other`` can't be the page to compare with for its text: it is empty or a near copy."""
+    if not other.lines:
+        return True
+    pair = row.lines, other.lines
+    if pair not in seen:
+        if len(seen) > 10_000:
+            seen.clear()
+        seen[pair] = near_copies(*pair)
+    return seen[pair]
 
 
 def _nearest(rows: list[_Row]) -> tuple[list[int], list[int], list[int]]:
-    """For each of some rows in order the place of the nearest earlier page of its host and another path that is not empty; likewise of any path; the start of its path's rows.
+    """For each of some rows in order the place of the nearest earlier page of its host and another path that is no near copy; likewise of any path; the start of its path's rows.
 
-    -1 where the host begins among the rows and has none, -2 where earlier rows may have one. Empty pages are passed over with what they passed over.
+    -1 where the host begins among the rows and has none, -2 where earlier rows may have one. Near copies are passed over with what
+    they passed over, so long groups of copies cost a step or two a row.
     """
     other, any_path, starts, seen = [], [], [], {}
     low = start = 0

@@ -201,3 +201,45 @@ def test_content_below_boilerplate_opens(box, mark):
 def test_articles_in_other_parts_stay_out(box):
     lines, marks = page_text.content(page(["Remark"], box.replace("{}", "<article>{}</article>")) + page(paragraphs(1)))
     assert lines == paragraphs(1)
+
+
+def test_copies_are_not_compared(spark):
+    menu = ["Home", "About us", "Contact"]
+    body = [*menu, *paragraphs(0, 5)]
+    rows = [(k, f"http://a.example.com/n/5?page={k}", page(body, "<div>{}</div>")) for k in range(3)]  # same path
+    rows += [(3, "http://a.example.com/n/6", page(body, "<div>{}</div>")), (4, "http://a.example.com/n/7", page([*body[:-1], "Changed"], "<div>{}</div>"))]
+    rows += [(5, "http://a.example.com/x", page([*menu, *paragraphs(5)], "<div>{}</div>"))]
+    got = extracted(spark, rows)
+    assert [got[k] for k in range(4)] == [paragraphs(0, 5)] * 4
+    assert got[4] == [*paragraphs(0, 5)[:-1], "Changed"]
+    assert got[5] == paragraphs(5)
+
+
+@pytest.mark.parametrize("n", [1, 5, 23])
+def test_neighbours_by_brute_force(spark, n):
+    rng = random.Random(3)
+    rows = []
+    for k in range(160):
+        story = rng.choice([k, k, 1000, 1001])  # two groups of copies
+        host, path = rng.choice(["a", "b", "b", "b", "c"]), rng.choice([f"/{rng.choice('xyz')}/{k}", "/same"])
+        lines = [f"Menu of {host}", *paragraphs(story), *(["Only here"] if k % 3 else [])]
+        rows.append((k, f"http://{host}.example.com{path}?{k}", page(lines, "<article>{}</article>" if k % 2 else "<div>{}</div>")) if k % 20 else (k, f"http://{host}.example.com{path}?{k}", None))
+    at = {k: (*page_text._where(u), *page_text.content(h or "")) for k, u, h in rows}
+
+    def nearest(k, others):
+        return next((at[j] for j in others if at[j][0] == at[k][0] and at[j][1] != at[k][1] and at[j][2] and not page_text.near_copies(tuple(map(page_text._line_key, at[k][2])), tuple(map(page_text._line_key, at[j][2])))), None)
+
+    got = {}
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        got = extracted(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    order = sorted(at, key=lambda k: at[k][:2])  # the order within a path doesn't matter
+    for i, k in enumerate(order):
+        _, path, lines, marks = at[k]
+        sides = [x for x in (nearest(k, order[:i][::-1]), nearest(k, order[i + 1 :])) if x]
+        sides.sort(key=lambda x: -page_text._common(path, x[1]))
+        gone = page_text.template_lines(lines, marks, *[x[2] for x in sides], *[None] * (2 - len(sides)))
+        left = [j for j in range(len(lines)) if j not in gone]
+        assert got[k] == (page_text.chosen([lines[j] for j in left], "".join(marks[j] for j in left)) or [""])
