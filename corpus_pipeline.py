@@ -1,12 +1,15 @@
 """A corpus pipeline over ``documents``: quality classifier, line dedup, near-dedup, repeated passages, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a DataFrame; all but the last
-return the columns of documents. Where a stage changes ``text``, ``n_chars`` follows it. Documents that lose all their text stay,
-as empty ones.
+return the columns of documents. Where a stage changes ``text``, ``n_chars`` follows it. Documents that lose all their
+words to a stage, as exact copies of three or more lines do, go with them: their text is held by the documents that stay. Documents that
+had no word to begin with stay as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +22,21 @@ def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(columns)
 
 
+def _without_emptied(remove: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
+    """``remove(docs)`` less the documents that had words before and have none after."""
+    has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    left = remove(docs.withColumn("__had_word", has_word))
+    return _recounted(left.where(~F.col("__had_word") | has_word), docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches 0.7."""
     return quality_fm.keep_good(docs, quality_fm.train(docs, read(spark, sf_dir, "labels")))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines of three-line windows that occurred before."""
-    return _recounted(line_windows.remove_repeats(docs), docs.columns)
+    """Texts without lines of three-line windows that occurred before; texts left without a word go."""
+    return _without_emptied(line_windows.remove_repeats, docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +45,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without bytes of 50-byte strings that a document with a smaller id holds."""
-    return _recounted(repeat_windows.remove_repeats(docs), docs.columns)
+    """Texts without bytes of 50-byte strings that a document with a smaller id holds; texts left without a word go."""
+    return _without_emptied(repeat_windows.remove_repeats, docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
