@@ -243,3 +243,17 @@ def test_neighbours_by_brute_force(spark, n):
         gone = page_text.template_lines(lines, marks, *[x[2] for x in sides], *[None] * (2 - len(sides)))
         left = [j for j in range(len(lines)) if j not in gone]
         assert got[k] == (page_text.chosen([lines[j] for j in left], "".join(marks[j] for j in left)) or [""])
+
+
+def test_rules_of_many_languages_and_control_bytes(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"{lang}{rng.randrange(30)}" for _ in range(90)) + " \x005 \x00abc \x01x", lang, "s", 0, "x", None) for i in range(40) for lang in [f"l{i % 8}"]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(divergence_rules.judge(docs, divergence_rules.references(docs)).collect())
+    refs = divergence_rules.references(docs)[0]
+    for lang in {r[2] for r in rows}:
+        text = [r[1] for r in rows if r[2] == lang]
+        assert refs[lang][0].tolist() == sum(divergence_rules.CLASSES[c] for t in text for c in t.encode()).tolist()
+        assert refs[lang][2].sum() == sum(len(t.split(" ")) for t in text) and b"\x01x" in refs[lang][1] and b"\x00abc" in refs[lang][1]
+    monkeypatch.setattr(divergence_rules, "MAX_LANGS", 3)
+    assert sorted(divergence_rules.judge(docs, divergence_rules.references(docs)).collect()) == want
