@@ -39,3 +39,13 @@ def components(edges: DataFrame) -> DataFrame:
         drop_scratch(at)
         at = after
     return at.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+
+
+def grown(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` (node, root) after more links: only roots that links meet are worked out anew."""
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        ends = ends.join(comp.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left")
+    more = materialize(components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))))
+    moved = comp.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(more.join(comp.select("node"), "node", "left_anti"))

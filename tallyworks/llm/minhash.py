@@ -9,12 +9,13 @@ deviations below the limit, isn't looked at.
 
 Who is linked to whom inside a band matters only for components, so bands are settled,
 not expanded into pairs: in a few rounds each class is held against one pivot of a band
-it shares with another component; bands still split after that are compared in blocks,
-across components only, signatures first, then full sets, and yield links alone. A link at the limit shares no band with
+it shares with another component; bands still split after that are compared in blocks of
+sets of like size, across components only, signatures first, then full sets, and yield
+links alone. A link at the limit shares no band with
 probability (1 - 0.8^ROWS)^BANDS, 3 in a million.
 
 Defined results: empty, wordless and null texts have no shingles and are linked with
-nothing; rows that share a doc_id count as one document; a row without doc_id has no
+nothing; rows that share a doc_id are one document, linked by any of its texts; a row without doc_id has no
 component and is kept; exact copies and repeated rows share their smallest doc_id; empty
 table, empty result.
 """
@@ -23,6 +24,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, map_groups, map_rows, materialize, utf8
-from .components import components
+from .components import components, grown
 
 BANDS, ROWS, WIDTH, PERCENT = 32, 5, 5, 80
 MIN_AGREE = 0.64
@@ -45,7 +48,7 @@ class _WordHashes(dict):
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < 65_536:
             self[word] = h
         return h
 
@@ -144,64 +147,86 @@ def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(split: DataFrame, sig: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components within split bands, bands of many members or bytes cut into pairs of blocks.
+    """Links across components within split bands, by size and, where many members or bytes remain, by pairs of blocks.
 
-    Signatures first, then full sets, both inside the block: no pair leaves it but a link. A pair belongs to the first band it
-    shares, and components that a link has joined are not compared further in that block.
+    Sets whose sizes part too much can't be similar: a level holds the sizes up to 100 / percent times its smallest, and a slot
+    compares a level with itself and with the one below. A first pass compares signatures and tells which members of a block have a
+    partner there; full sets travel for those alone, and the second pass confirms inside the block: no pair leaves it but a link. A pair
+    belongs to the first band it shares, and components that a link has joined are not compared further in that block.
     """
-    least = int(MIN_AGREE * BANDS * ROWS)
-    weights = sets.select("node", F.length("items").alias("bytes"))
-    sizes = split.join(weights, "node").groupBy("band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).alias("chunks"))
-    own = split.join(sizes, "band").join(sig, "node").join(sets, "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "comp", "sig", "bands", "items")
-
-    def run(group: pa.Table) -> pa.Table | None:
-        node, chunk = (group.column(c).to_numpy() for c in ("node", "chunk"))
-        comp = np.unique(group.column("comp").to_numpy(), return_inverse=True)[1]
+    level = F.floor(F.log(F.col("bytes") / 8) / math.log(100 / percent * 1.000001))  # a little wide, so that rounding loses nothing
+    sized = sets.withColumn("bytes", F.length("items").cast("long"))
+    keyed = split.join(sized.select("node", "bytes"), "node").withColumn("level", level).withColumn("slot", F.explode(F.array("level", F.col("level") + 1)))
+    keyed = keyed.withColumn("upper", F.col("level") == F.col("slot")).drop("level")
+    sizes = keyed.groupBy("band", "slot").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).alias("chunks"), F.min("comp").alias("one"), F.max("comp").alias("two"), F.max("upper").alias("any")).where("one < two AND any").select("band", "slot", "chunks")
+    keyed = keyed.join(sizes, ["band", "slot"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")}).drop("other", "chunks")
+    block = ["band", "slot", "lo", "hi"]
+
+    def pairs(group: pa.Table, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a block worth a look, some rows at a time."""
+        node, chunk, size = (group.column(c).to_numpy() for c in ("node", "chunk", "bytes"))
+        upper = np.array(group.column("upper").to_pylist(), bool)
         sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
         bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-        items = [np.frombuffer(x, _U) for x in group.column("items").to_pylist()]
-        size = np.array([len(x) for x in items], np.int64)
         band, across = group.column("band")[0].as_py(), group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
-        links = []
         for k in range(0, len(node), 64):
-            near = (comp[k : k + 64, None] != comp[None, :]) & (node[k : k + 64, None] > node[None, :])
+            near = (comp[k : k + 64, None] != comp[None, :]) & (node[k : k + 64, None] > node[None, :]) & (upper[k : k + 64, None] | upper[None, :])
             near &= 100 * np.minimum(size[k : k + 64, None], size[None, :]) >= percent * np.maximum(size[k : k + 64, None], size[None, :])
             if across:
                 near &= chunk[k : k + 64, None] != chunk[None, :]
-            near &= (sigs[k : k + 64, None, :] == sigs[None, :, :]).sum(2) >= least
             i, j = np.nonzero(near)
             i += k
             for c in range(0, len(i), 65536):
                 x, y = i[c : c + 65536], j[c : c + 65536]
+                near = (sigs[x] == sigs[y]).sum(1) >= int(MIN_AGREE * BANDS * ROWS)
+                x, y = x[near], y[near]
                 first = bands[x, (bands[x] == bands[y]).argmax(1)] == band
-                for p, q in zip(x[first].tolist(), y[first].tolist(), strict=True):
-                    if comp[p] != comp[q] and _similar(items[p], items[q], percent):
-                        comp[comp == comp[p]] = comp[q]
-                        links.append((node[p], node[q]))
+                yield x[first], y[first]
+
+    def partners(group: pa.Table) -> pa.Table | None:
+        hit = np.zeros(group.num_rows, bool)
+        for x, y in pairs(group, group.column("comp").to_numpy()):
+            hit[x] = hit[y] = True
+        return group.filter(pa.array(hit)) if hit.any() else None
+
+    def confirm(group: pa.Table) -> pa.Table | None:
+        node = group.column("node").to_numpy()
+        comp = np.unique(group.column("comp").to_numpy(), return_inverse=True)[1]
+        items = [np.frombuffer(x, _U) for x in group.column("items").to_pylist()]
+        links = []
+        for x, y in pairs(group, comp):
+            for p, q in zip(x.tolist(), y.tolist(), strict=True):
+                if comp[p] != comp[q] and _similar(items[p], items[q], percent):
+                    comp[comp == comp[p]] = comp[q]
+                    links.append((node[p], node[q]))
         return pa.table({"a": [x for x, _ in links], "b": [y for _, y in links]}) if links else None
 
-    return map_groups(sent, ["band", "lo", "hi"], run, "a long, b long")
+    signed = keyed.join(sig, "node")
+    asked = materialize(map_groups(signed, block, partners, signed.schema))
+    return map_groups(asked.join(sized, ["node", "bytes"]), block, confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     every = materialize(_signatures(docs, width))
-    classes = every.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    reps = every.join(classes.select(F.col("digest").alias("d"), "node"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("node")))
+    # one row per class, so groups of copies end here; no aggregate stands on the joins below, so that Spark may split their hot bands
+    reps = materialize(every.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    classes = reps.select("digest", "node")
     bands = reps.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band")
-    members = materialize(bands.join(shared, "band").distinct())
+    members = materialize(bands.join(shared, "band"))
     nodes = members.select("node").distinct()
-    sig = materialize(reps.select("node", "sig", "bands").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    sig = materialize(reps.select("node", "sig", "bands").join(nodes, "node", "left_semi"))
 
     def full(b: dict) -> dict:
         return {"node": b["node"], "items": [shingles(t.lower().split(), width).tobytes() for t in b["text"]]}
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), utf8().alias("text")).join(nodes, "node", "left_semi")
     sets = materialize(map_rows(texts, full, "node long, items binary").distinct())
-    links, comp = None, members.select("node").distinct().select("node", F.col("node").alias("root")).limit(0)
-    comp_table = None
+    several = every.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id")
+    own = every.select("doc_id", "digest").join(several, "doc_id").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    comp = materialize(components(own.distinct()))
 
     def joined() -> DataFrame:
         """Members of bands that still hold more than one component, with their components."""
@@ -222,14 +247,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         else:
             new = materialize(_blocks(split, sig, sets, percent))
         drop_scratch(split)
-        links = new if links is None else links.unionByName(new)
-        if comp_table is not None:
-            drop_scratch(comp_table)
-        comp = comp_table = materialize(components(links))
+        before, comp = comp, materialize(grown(comp, new))
+        drop_scratch(before)
+        drop_scratch(new)
+    for table in (members, sig, sets):
+        drop_scratch(table)
     roots = classes.join(comp, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     out = every.select("doc_id", "digest", "n_shingles").join(roots, "digest", "left")
-    # rows that share a doc_id are one document: its classes meet in one component
-    component = F.coalesce("root", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
