@@ -6,7 +6,11 @@ Words are maximal runs of bytes outside ``\\x20 \\x09-\\x0D``: exactly what
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import itertools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,35 +28,75 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tallyworks-scratch")
     return f"{base.rstrip('/')}/tables"
 
 
+#: Paths of the tables that ``materialize`` wrote and nothing has deleted yet, oldest first.
+_OPEN: list[str] = []
+
+
 def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    _OPEN.append(path)
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _OPEN:
+        _OPEN.remove(path)
+
+
 def drop_scratch(df: DataFrame | None) -> None:
     """Deletes a table of ``materialize`` that nothing will read again."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def finished(make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()``, written; the tables it left on the way, which only its rows needed, are deleted."""
+    before = set(_OPEN)
+    out = materialize(make())
+    for path in [p for p in _OPEN if p not in before and p != out._scratch_path]:
+        _delete(out.sparkSession, path)
+    return out
+
+
+@functools.lru_cache(maxsize=1)
+def _malloc_trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def trim() -> None:
+    """Gives memory that freed arrays left behind back to the system: Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` with batches small enough for long texts."""
+    """``mapInArrow`` with batches small enough for long texts.
+
+    Spark reads the size of a batch when a plan runs, not when it is made, so the session keeps the lower limit; a lower one of its own stays.
+    """
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: StructType | str) -> DataFrame:
@@ -71,35 +115,40 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
     return map_batches(df, run, struct)
 
 
-def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: StructType | str) -> DataFrame:
-    """``fn`` on the rows of each key, one after another in a sorted partition: cheap for many small groups."""
+def map_group_streams(df: DataFrame, keys: list[str], fn: Callable[[tuple, Iterator[pa.Table]], Iterator[pa.Table]], schema: StructType | str) -> DataFrame:
+    """``fn`` on the rows of each key, one key after another in a sorted partition; a key's rows come piece by piece."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     struct = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        held_key = None
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            rows = list(zip(*(table.column(k).to_pylist() for k in keys), strict=True))
-            cuts = [0, *(i for i in range(1, len(rows)) if rows[i] != rows[i - 1]), len(rows)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if held and rows[a] != held_key:
-                    if (out := fn(pa.concat_tables(held))) is not None:
-                        yield from out.cast(arrow).to_batches()
-                    held = []
-                held_key = rows[a]
-                held.append(table.slice(a, b - a))
-        if held and (out := fn(pa.concat_tables(held))) is not None:
-            yield from out.cast(arrow).to_batches()
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                rows = list(zip(*(table.column(k).to_pylist() for k in keys), strict=True))
+                cuts = [0, *(i for i in range(1, len(rows)) if rows[i] != rows[i - 1]), len(rows)]
+                for a, b in itertools.pairwise(cuts):
+                    yield rows[a], table.slice(a, b - a)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, pieces in itertools.groupby(cut(batches), key=lambda p: p[0]):
+            for out in fn(key, (t for _, t in pieces)):
+                yield from out.cast(arrow).to_batches()
 
     return map_batches(df.repartition(*keys).sortWithinPartitions(*keys), run, struct)
 
 
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: StructType | str) -> DataFrame:
+    """``fn`` on the rows of each key, one after another in a sorted partition: cheap for many small groups."""
+
+    def run(_: tuple, pieces: Iterator[pa.Table]) -> Iterator[pa.Table]:
+        if (out := fn(pa.concat_tables(pieces))) is not None:
+            yield out
+
+    return map_group_streams(df, keys, run, schema)
+
+
 def utf8(text: Column | str = "text") -> Column:
     """The text as UTF-8 bytes; null as empty."""
     return F.coalesce((F.col(text) if isinstance(text, str) else text).cast("binary"), F.lit(b""))

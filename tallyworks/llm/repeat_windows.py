@@ -17,8 +17,11 @@ where it starts. Equal windows have equal anchors at equal places, so
 4. each chunk marks its windows, merges the marked bytes and cuts them out.
 
 Groups never gather in one task: a run or window counts once per chunk however many
-documents hold it, and runs of an anchor with more than HOT digests are dealt by their
-windows' bytes instead of by the anchor. Texts move once, to their chunks.
+documents hold it. A bucket of more than LARGE runs is dealt again, 64-fold, by anchor,
+and its commonest anchors by anchor and digest. Of such anchors, and of others with more
+than HOT digests, no task has all runs: their windows are dealt by the windows' own bytes
+instead of by the anchor. How a run is dealt never changes a result. Texts move once, to
+their chunks.
 
 Digests are 64-bit, compared among runs of one 40-bit anchor.
 
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, map_groups, materialize, utf8
+from .common import map_batches, map_group_streams, map_groups, materialize, trim, utf8
 
 WINDOW, GRAM = 50, 16
 SPAN = WINDOW - GRAM + 1
-CHUNK_BYTES, BUCKET_RUNS, ROUTE_RUNS, HOT = 4 << 20, 1_000_000, 100_000, 4096
+CHUNK_BYTES, BUCKET_RUNS, LARGE, ROUTE_RUNS, HOT = 4 << 20, 1_000_000, 4_000_000, 25_000, 4096
+SPLIT, LEVELS, HELD_RUNS = 64, 5, 800_000
+SLICE = 1_000_000  # windows looked at together
 SEGMENT = 1 << 20
 _U = np.uint64
 _B = 0x9E3779B97F4A7C15
@@ -182,8 +188,10 @@ def _send_runs(buckets: int):
                 return
             chunk, doc, anchor, key = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            bucket = (anchor >> _U(48)).astype(np.int64) % buckets
+            bucket = (anchor >> _U(32)).astype(np.int64) % buckets
             group = bucket * (int(chunk.max()) + 1) + chunk
+            if int(group.max()) >> 24:
+                group = np.unique(group, return_inverse=True)[1]
             mixed = (anchor * _U(_B)) ^ key
             order = np.argsort((group.astype(_U) << _U(40)) | (mixed >> _U(24)), kind="stable")
             group, anchor, key, doc = group[order], anchor[order] & _ANCHOR40, key[order] & _KEY56, doc[order]
@@ -212,7 +220,7 @@ def _send_runs(buckets: int):
             if len(r["text"]):
                 held.append((chunk[r["text"]], doc[r["text"]], r["anchor"], r["key"]))
                 n += len(r["text"])
-            if n > 2_000_000:
+            if n > HELD_RUNS:
                 yield from flush()
                 n = 0
         yield from flush()
@@ -220,8 +228,12 @@ def _send_runs(buckets: int):
     return run
 
 
-def _answer(group: pa.Table) -> pa.Table | None:
-    """Step 2: a bucket's answers and requests, per chunk."""
+PACKED = "bucket long, chunk long, docs binary, anchors binary, keys binary, who binary"
+ANSWER = "chunk long, look binary, low binary, need binary, mask binary, asked long"
+
+
+def _unpack(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc, key, anchor, chunk of packed runs."""
     docs, keys, anchors, chunks = [], [], [], []
     for chunk, d, a, k, w in zip(*(group.column(c).to_pylist() for c in ("chunk", "docs", "anchors", "keys", "who")), strict=True):
         n = len(a) // 5
@@ -229,7 +241,17 @@ def _answer(group: pa.Table) -> pa.Table | None:
         anchors.append(_unplanes(a, 5))
         keys.append(_unplanes(k, 7))
         chunks.append(np.full(n, chunk, np.int64))
-    doc, key, anchor, chunk = (np.concatenate(x) for x in (docs, keys, anchors, chunks))
+    return tuple(np.concatenate(x) for x in (docs, keys, anchors, chunks))
+
+
+def _answer_table(rows: list[tuple]) -> pa.Table:
+    names = [f.split()[0] for f in ANSWER.split(", ")]
+    return pa.table(dict(zip(names, (pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 4, pa.int64()), strict=True)), strict=True)))
+
+
+def _answer(group: pa.Table, hot: bool = False) -> pa.Table | None:
+    """Step 2: a bucket's answers and requests, per chunk. hot: other buckets hold more runs of these anchors."""
+    doc, key, anchor, chunk = _unpack(group)
     order = np.lexsort((doc, key, anchor))
     doc, key, anchor, chunk = doc[order], key[order], anchor[order], chunk[order]
     head = _heads(anchor, key)
@@ -238,15 +260,62 @@ def _answer(group: pa.Table) -> pa.Table | None:
     top = _heads(anchor[head])
     kinds = np.repeat(np.diff(np.append(top, len(head))), np.diff(np.append(top, len(head))))  # digests of the anchor
     owner = np.zeros(len(doc), bool)
-    owner[head] = kinds > 1
-    need = np.where(owner, np.where(kinds[of] > HOT, 2, 1), 0)
+    owner[head] = hot | (kinds > 1)
+    need = np.where(owner, np.where(hot | (kinds[of] > HOT), 2, 1), 0)
     sel = np.flatnonzero(owner | (low[of] < doc))
     if not len(sel):
         return None
     sel = sel[np.argsort(chunk[sel], kind="stable")]
     look, cut = _look(anchor[sel], key[sel]), np.append(_heads(chunk[sel]), len(sel))
-    rows = [(int(chunk[sel[a]]), look[a:b].tobytes(), low[of[sel[a:b]]].tobytes(), need[sel[a:b]].astype(np.uint8).tobytes(), b"", int((need[sel[a:b]] > 0).sum())) for a, b in zip(cut, cut[1:], strict=False)]
-    return pa.table(dict(zip(("chunk", "look", "low", "need", "mask", "asked"), (pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 4, pa.int64()), strict=True)), strict=True)))
+    return _answer_table([(int(chunk[sel[a]]), look[a:b].tobytes(), low[of[sel[a:b]]].tobytes(), need[sel[a:b]].astype(np.uint8).tobytes(), b"", int((need[sel[a:b]] > 0).sum())) for a, b in itertools.pairwise(cut)])
+
+
+def _deal_again(group: pa.Table, bucket: int, common: np.ndarray, seed: int) -> Iterator[pa.Table]:
+    """Runs of a large bucket, packed for SPLIT smaller ones: by anchor, those of ``common`` anchors, in odd buckets, by anchor and digest."""
+    for i in range(group.num_rows):
+        row = group.slice(i, 1)
+        doc, key, anchor, chunk = _unpack(row)
+        hot = np.isin(anchor, common) | bool(bucket & 1)
+        mixed = (anchor ^ np.where(hot, key, _U(0))) * _U(_B) + _U(seed)
+        mixed ^= mixed >> _U(29)
+        to = ((mixed * _U(0xD6E8FEB86659FD93)) >> _U(40)).astype(np.int64) % SPLIT * 2 + hot
+        order = np.argsort(to, kind="stable")
+        cut = np.append(_heads(to[order]), len(order))
+        rows = []
+        for a, b in itertools.pairwise(cut):
+            part = order[a:b]
+            docs, who = np.unique(doc[part], return_inverse=True)
+            rows.append((int(to[part[0]]) + 2 * SPLIT * (bucket >> 1), int(chunk[0]), docs.tobytes(), _planes(anchor[part], 5), _planes(key[part], 7), who.astype("<u2" if len(docs) <= 65536 else "<u4").tobytes()))
+        yield pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=[f.split()[0] for f in PACKED.split(", ")])
+
+
+def _settle(level: int):
+    """Answers of buckets that fit; of others their runs, dealt again. Odd buckets hold runs of hot anchors."""
+
+    def wide(table: pa.Table) -> pa.Table:
+        have = set(table.column_names)
+        fields = [(f.split()[0], pa.int64() if f.endswith("long") else pa.binary()) for f in f"{PACKED}, {ANSWER}".split(", ")]
+        return pa.table({n: table.column(n) if n in have else pa.nulls(table.num_rows, t) for n, t in dict(fields).items()})
+
+    def run(key: tuple, pieces: Iterator[pa.Table]) -> Iterator[pa.Table]:
+        held, runs = [], 0
+        for piece in pieces:
+            held.append(piece)
+            runs += sum(len(x) // 5 for x in piece.column("anchors").to_pylist())
+            if runs > LARGE and level < LEVELS:
+                break
+        else:
+            if (out := _answer(pa.concat_tables(held), bool(key[0] & 1))) is not None:
+                yield wide(out)
+            return
+        # the runs seen so far tell which anchors are common; all runs of the bucket then go the same way
+        anchors, n = np.unique(np.concatenate([_unpack(x)[2] for x in held]), return_counts=True)
+        common = anchors[n > LARGE // SPLIT]
+        for piece in itertools.chain(held, pieces):
+            for out in _deal_again(piece, int(key[0]), common, level):
+                yield wide(out)
+
+    return run
 
 
 def _gather(answers: pa.Table, column: str, kind: str) -> np.ndarray:
@@ -269,8 +338,34 @@ REQUEST = "route long, chunk long, look long, window int, lead int, doc long, an
 def _send_bytes(routes: int):
     """Step 3, first half: the bytes of requested runs; windows of hot anchors one by one, once per chunk."""
 
+    names = [f.split()[0] for f in REQUEST.split(", ")]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+
+    def table(*cols) -> pa.Table:
+        return pa.table({n: pa.array(c, t) if not isinstance(c, pa.Array) else c for n, c, t in zip(names, cols, types, strict=True)})
+
+    def one_by_one(bodies: list[bytes], chunk: int, look: np.ndarray, lead: np.ndarray, doc: np.ndarray, anchor: np.ndarray) -> pa.Table:
+        """The windows of runs in the order of their documents; a window that an earlier one equals is done."""
+        lens = np.array([len(b) for b in bodies])
+        count = lens - (WINDOW - 1)
+        run = np.repeat(np.arange(len(lens)), count)
+        k = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+        buf = np.frombuffer(b"".join(bodies) + bytes(8), np.uint8)
+        starts = (np.cumsum(lens) - lens)[run] + k
+        eights = _eights(buf)
+        route = np.zeros(len(starts), _U)
+        for at in (0, 8, 16, 24, 32, 40, WINDOW - 8):
+            route = (route ^ eights[starts + at]) * _U(0xD6E8FEB86659FD93)
+            route ^= route >> _U(32)
+        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, WINDOW)[starts])
+        _, first, same = np.unique(rows.view(f"V{WINDOW}").ravel(), return_index=True, return_inverse=True)
+        done = doc[run[first[same]]] < doc[run]
+        ends = np.concatenate([[0], np.cumsum(np.where(done, 0, WINDOW))]).astype(np.int32)
+        raw = pa.BinaryArray.from_buffers(pa.binary(), len(done), [None, pa.py_buffer(ends), pa.py_buffer(rows[~done].tobytes())])
+        return table((route % _U(routes)).astype(np.int64), np.full(len(run), chunk), look[run], k, lead[run] - k, doc[run], anchor[run], raw, done)
+
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
+        out = [table(*[[]] * len(names))]
         if docs.num_rows and answers.num_rows:
             doc, _, texts, r, look = _chunk_runs(docs)
             asked, need, low = (_gather(answers, c, k) for c, k in (("look", "<u8"), ("need", np.uint8), ("low", np.int64)))
@@ -282,23 +377,17 @@ def _send_bytes(routes: int):
                 at = np.minimum(np.searchsorted(asked, look), len(asked) - 1)
                 hit = np.flatnonzero((asked[at] == look) & (doc[r["text"]] == low[at]))
                 hit = hit[np.unique(look[hit], return_index=True)[1]]
+                hit = hit[np.argsort(doc[r["text"][hit]], kind="stable")]
                 chunk = docs.column("__chunk")[0].as_py()
-                seen: dict[bytes, int] = {}
-                hits = sorted(hit.tolist(), key=lambda i: int(doc[r["text"][i]]))
-                for i in hits:
-                    t, f, n, lead = (int(r[c][i]) for c in ("text", "first", "count", "lead"))
-                    anchor, d, name = int(r["anchor"][i]) & ((1 << 40) - 1), int(doc[t]), int(look[i : i + 1].view(np.int64)[0])
-                    body = texts[t][f : f + n + WINDOW - 1]
-                    if need[at[i]] == 1:
-                        rows.append((anchor % routes, chunk, name, 0, lead, d, anchor, body, False))
-                        continue
-                    for k in range(n):
-                        w = body[k : k + WINDOW]
-                        done = seen.setdefault(w, d) < d
-                        rows.append((int.from_bytes(hashlib.blake2b(w, digest_size=7).digest(), "little") % routes, chunk, name, k, lead - k, d, anchor, b"" if done else w, done))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-        cols = list(zip(*rows, strict=True)) or [()] * 9
-        return pa.table({f.split()[0]: pa.array(c, t) for f, c, t in zip(REQUEST.split(", "), cols, types, strict=True)})
+                anchor, own, name, lead = ((r["anchor"] & _ANCHOR40).astype(np.int64), doc[r["text"]], look.view(np.int64), r["lead"])
+                body = lambda i: texts[r["text"][i]][r["first"][i] : r["first"][i] + r["count"][i] + WINDOW - 1]
+                whole, each = hit[need[at[hit]] == 1], hit[need[at[hit]] == 2]
+                out.append(table(anchor[whole] % routes, np.full(len(whole), chunk), name[whole], np.zeros(len(whole)), lead[whole], own[whole], anchor[whole], [body(i) for i in whole.tolist()], np.zeros(len(whole), bool)))
+                for k in range(0, len(each), max(1, SLICE // SPAN)):
+                    e = each[k : k + max(1, SLICE // SPAN)]
+                    out.append(one_by_one([body(i) for i in e.tolist()], chunk, name[e], lead[e], own[e], anchor[e]))
+        trim()
+        return pa.concat_tables(out)
 
     return run
 
@@ -356,8 +445,7 @@ def _resolve(group: pa.Table) -> pa.Table | None:
     head = _heads(chunk, look)
     bit, chunk, look = np.bitwise_or.reduceat(bit, head), chunk[head], look[head]
     cut = np.append(_heads(chunk), len(chunk))
-    rows = [(int(chunk[a]), look[a:b].tobytes(), b"", b"", bit[a:b].tobytes(), 0) for a, b in zip(cut, cut[1:], strict=False)]
-    return pa.table(dict(zip(("chunk", "look", "low", "need", "mask", "asked"), (pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 4, pa.int64()), strict=True)), strict=True)))
+    return _answer_table([(int(chunk[a]), look[a:b].tobytes(), b"", b"", bit[a:b].tobytes(), 0) for a, b in itertools.pairwise(cut)])
 
 
 def covered_bytes(docs: pa.Table, answers: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -408,18 +496,28 @@ def _plan(docs: DataFrame, finish, schema) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     chunks = max(1, -(-size // CHUNK_BYTES))
     buckets = max(1, -(-size // (BUCKET_RUNS * SPAN // 2)))
-    placed = docs.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)))
-    sent = map_batches(placed.where("doc_id IS NOT NULL").select("__chunk", F.col("doc_id").cast("long").alias("doc_id"), utf8()), _send_runs(buckets), "bucket long, chunk long, docs binary, anchors binary, keys binary, who binary")
-    answer = "chunk long, look binary, low binary, need binary, mask binary, asked long"
-    first = materialize(map_groups(sent, ["bucket"], _answer, answer))
+    spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.octet_length("text"))  # rows without id lose nothing wherever they are
+    placed = docs.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", spread), F.lit(chunks)))
+    rest = map_batches(placed.where("doc_id IS NOT NULL").select("__chunk", F.col("doc_id").cast("long").alias("doc_id"), utf8()), _send_runs(buckets), PACKED)
+    rest = rest.withColumn("bucket", F.col("bucket") * 2)
+    answers = []
+    for level in range(LEVELS + 1):
+        settled = materialize(map_group_streams(rest, ["bucket"], _settle(level), f"{PACKED}, {ANSWER.replace('chunk long, ', '')}"))
+        answers.append(settled.where("look IS NOT NULL").select(*[f.split()[0] for f in ANSWER.split(", ")]))
+        rest = settled.where("bucket IS NOT NULL").select(*[f.split()[0] for f in PACKED.split(", ")])
+        if rest.isEmpty():
+            break
+    first = functools.reduce(DataFrame.unionByName, answers)
     asked = first.agg(F.sum("asked").alias("n")).first().n or 0
     routes = max(1, -(-asked // ROUTE_RUNS))
     by_chunk = placed.groupBy("__chunk")
     requests = by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(_send_bytes(routes), REQUEST)
-    second = map_groups(requests, ["route"], _resolve, answer)
+    second = map_groups(requests, ["route"], _resolve, ANSWER)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        return finish(docs, *covered_bytes(docs, answers))
+        out = finish(docs, *covered_bytes(docs, answers))
+        trim()
+        return out
 
     return by_chunk.cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(run, schema)
 
