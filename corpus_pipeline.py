@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworks.llm import line_windows, minhash, packing, quality_fm, repeat_windows
-from tallyworks.llm.common import materialize, read
+from tallyworks.llm.common import drop_scratch, finished, read
 from tallyworks.llm.queries import tokenizer_path
 
 
@@ -62,12 +62,13 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: The classifier and the tokenizer have no SQL form; the stages are tested against brute force.
+#: The classifier and the tokenizer have no SQL form; tests/llm/test_pipeline.py holds the stages after the classifier, and run(), against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, finished(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir))
+        drop_scratch(before)
     return STAGES[-1][1](spark, docs, sf_dir)
