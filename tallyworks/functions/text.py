@@ -93,6 +93,27 @@ def place(city: Column, state: Column) -> Column:
     return F.concat_ws(", ", clean(city), clean(state))
 
 
+def tier_text(tier: Column) -> Column:
+    return F.coalesce(F.upper(clean(tier)), F.lit("—"))
+
+
+def cell_text(c: Column) -> Column:
+    """A ticker or contract number as a cell shows it: blank without one."""
+    return F.coalesce(clean(c), F.lit(""))
+
+
+def competition_text(solicited: Column, received: Column) -> Column:
+    """Bids asked for and received, as far as known; a single one received is a sole source."""
+    number = lambda c: F.when(c.isNotNull(), F.format_string("%,d", c))  # noqa: E731  it prints nulls as text
+    said = F.concat_ws(", ", F.concat(number(solicited), F.lit(" solicited")), F.concat(number(received), F.lit(" received")))
+    return F.concat(said, F.when(received == 1, "  ·  sole source").otherwise(""))
+
+
+def performance_text(where: Column, until: Column) -> Column:
+    """Place of performance and the printed day it ends, as far as known."""
+    return F.concat_ws("  ·  ", clean(where), F.concat(F.lit("through "), clean(until)))
+
+
 def first_word(c: Column) -> Column:
     return F.lower(F.split_part(F.trim(c), F.lit(" "), F.lit(1)))
 

@@ -40,7 +40,7 @@ def store_utc(c: Column) -> Column:
 
 def store_json(c: Column) -> Column:
     """Valid JSON text as it is; other text as a JSON string."""
-    quoted = F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    quoted = F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
     return F.when(c.isNull() | F.try_parse_json(c).isNotNull(), c).otherwise(quoted)
 
 
@@ -107,7 +107,13 @@ def usd_fact(c: Column) -> Column:
 
 
 def percent(c: Column) -> Column:
-    return F.coalesce(F.format_string("%.0f%%", c * 100), F.lit("—"))
+    return F.when(c.isNotNull(), F.format_string("%.0f%%", c * 100)).otherwise("—")
+
+
+def confidence(c: Column) -> Column:
+    """0.87 as "0.87"; null as a dash."""
+    number = c.try_cast("double")
+    return F.when(number.isNotNull(), F.format_string("%.2f", number)).otherwise("—")
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
@@ -168,6 +174,12 @@ def month(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM")
 
 
+def now_utc(at: Column | None = None) -> Column:
+    """An instant, the query's own unless given, as ISO seconds in UTC."""
+    moment = F.to_utc_timestamp(F.current_timestamp() if at is None else at, F.current_timezone())
+    return F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
 def pretty_date(c: Column) -> Column:
     return F.coalesce(F.date_format(c, "MMM d, yyyy"), F.lit("—"))
 

@@ -74,6 +74,11 @@ def detect_changes(before: dict[str, DataFrame], after: dict[str, DataFrame]) ->
     return out
 
 
+def by_kind(changes: DataFrame) -> DataFrame:
+    """How many changes there are of each kind."""
+    return changes.groupBy("change_type").agg(F.count("*").alias("n"))
+
+
 def survey(known: DataFrame, manifest: DataFrame, feed: DataFrame) -> DataFrame:
     """Ids to fetch or load: in the feed but not the manifest, in the manifest but not known."""
     key = "announcement_id"

@@ -148,6 +148,30 @@ def coverage(names: DataFrame, aliases: DataFrame) -> DataFrame:
     return counts.join(match_aliases(names, aliases).select(F.col("raw").alias("contractor_raw"), "method"), "contractor_raw").groupBy(F.coalesce("method", F.lit("unmatched")).alias("method")).agg(F.count("*").alias("names"), F.sum("mentions").alias("mentions"))
 
 
+def coverage_by_ticker(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Per ticker the companies an alias decides, exactly or by prefix, counted by normalized name."""
+    found = match_aliases(names, aliases).where("method IS NOT NULL")
+    return found.groupBy("ticker").agg(F.countDistinct("key").alias("companies"), F.countDistinct(F.when(F.col("method") == "alias_exact", F.col("key"))).alias("exact"))
+
+
+def plan_stats(names: DataFrame, planned: DataFrame, size: int = 25) -> DataFrame:
+    """One row of a plan: spellings, companies, spellings collapsed, companies by tier, and batches of the rest."""
+    n = names.where(F.col("contractor_raw").isNotNull()).agg(F.countDistinct("contractor_raw").alias("distinct_raw"))
+    is_ = lambda m: F.count_if(F.col("method") == m)
+    got = planned.agg(F.count("*").alias("distinct_normalized"), is_("map").alias("tier0_map"), is_("alias_exact").alias("tier1_exact"), is_("alias_prefix").alias("tier1_prefix"), is_("queue").alias("tier2_queued"))
+    return n.join(F.broadcast(got)).withColumn("duplicate_variants", F.col("distinct_raw") - F.col("distinct_normalized")).withColumn("tier2_batches", values.calls(F.col("tier2_queued"), size))
+
+
+def known_public(awards: DataFrame, given: DataFrame, fact_map: DataFrame, aliases: DataFrame) -> DataFrame:
+    """award_uid, is_public, source: what the given entities say of the award's name, else the fact map, else the alias table; null where none does."""
+    named = awards.select("award_uid", "contractor_raw").withColumn("key", text.normalize_name(F.col("contractor_raw")))
+    first = given.groupBy("contractor_raw").agg(F.max("is_public").alias("g"))
+    second = fact_map.groupBy("key").agg(F.max(F.get_json_object("record", "$.is_public").try_cast("boolean")).alias("m"))
+    third = match_aliases(awards, aliases).where("method IS NOT NULL").select(F.col("raw").alias("contractor_raw"), F.lit(True).alias("a"))
+    j = named.join(first, "contractor_raw", "left").join(second, "key", "left").join(third, "contractor_raw", "left")
+    return j.select("award_uid", F.coalesce("g", "m", "a").alias("is_public"), F.when(F.col("g").isNotNull(), "entities").when(F.col("m").isNotNull(), "map").when(F.col("a"), "alias").alias("source"))
+
+
 def placeholder(spark: SparkSession, raw: Column) -> Column:
     """An honest non-answer: unknown, confidence 0."""
     return F.struct(raw.alias("contractor_raw"), text.display_name(raw).alias("normalized_name"), F.lit("unknown").alias("relationship"), F.lit(0.0).alias("confidence"))

@@ -159,6 +159,17 @@ def escalate(rows: DataFrame, second: DataFrame, key: str, pending: Column | Non
     return got.withColumn("review", values.needs_escalation(F.col("confidence")) & ~F.col("__hold")).drop("__hold")
 
 
+def score_stats(awards: DataFrame, filtered: DataFrame, rows: DataFrame, size: int = 20) -> DataFrame:
+    """One row: awards, those a rule decided and their share, the model's queue, its batches, calls saved against one per award, rows by tier."""
+    n = awards.agg(F.count("*").alias("awards"))
+    rules = filtered.agg(F.count("rule").alias("prefiltered"), F.count_if(F.col("rule").isNull()).alias("model_queue"))
+    tiers = rows.agg(*[F.count_if(F.col("tier") == t).alias(t) for t in TIERS])
+    batches = values.calls(F.col("model_queue"), size)
+    return n.join(F.broadcast(rules)).join(F.broadcast(tiers)).select(  # a row each
+        "awards", "prefiltered", F.coalesce(F.round(F.col("prefiltered") / F.nullif("awards", F.lit(0)), 4), F.lit(0.0)).alias("prefilter_share"), "model_queue", batches.alias("batches"), (F.col("awards") - batches).alias("calls_saved"), *TIERS
+    )
+
+
 def review_rows(rows: DataFrame, agent: str, key: str, reason: Column) -> DataFrame:
     """Queue rows for what needs a person."""
     item = F.col(key).cast("string")

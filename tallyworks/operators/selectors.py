@@ -73,6 +73,11 @@ def run_case(df: DataFrame, case: dict) -> dict[str, int]:
     return out
 
 
+def exit_code(results: list[dict[str, int]]) -> int:
+    """1 if a check failed, else 2 if one was blocked, else 0."""
+    return 1 if any(r["failed"] for r in results) else 2 if any(r["blocked"] for r in results) else 0
+
+
 def gate(now: dict[str, int], candidate: dict[str, int]) -> str:
     """REFUSE if anything is blocked, REJECT if fewer pass, UNPROVEN if as many, else PROMOTE."""
     if candidate["blocked"]:

@@ -20,6 +20,13 @@ def by_model(runs: DataFrame) -> DataFrame:
     return runs.groupBy("model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
 
 
+def spent(runs: DataFrame, rates: dict = values.RATES) -> DataFrame:
+    """Calls, tokens and list-price dollars by model and, last, in total: what replaying from a cache saves."""
+    cost = values.price(F.col("model"), F.col("input_tokens"), F.col("output_tokens"), rates)
+    per = runs.where("model IS NOT NULL").withColumn("usd", cost).rollup("model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum(F.col("usd").cast("decimal(28,6)")).cast("double"), 4).alias("cost_usd"))
+    return per.withColumn("model", F.coalesce("model", F.lit("total")))
+
+
 def by_outcome(runs: DataFrame) -> DataFrame:
     return runs.groupBy(F.coalesce("outcome", F.lit("—")).alias("outcome")).agg(F.count("*").alias("n"))
 

@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import queries as _  # noqa: F401  registers them
+    from . import operator_queries, queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:

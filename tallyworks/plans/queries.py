@@ -292,6 +292,15 @@ _KEYED = f""", keyed AS (SELECT contractor_raw AS raw, array_to_string(CASE WHEN
 """
 
 
+_MATCHED = _KEYED + """, al(akey, ticker, n) AS (VALUES ('red widget', 'RDW', 2), ('red', 'RDW', 1), ('crimson widget', 'RDW', 2), ('small ring 3', 'SML', 3), ('small ring', 'SML', 2), ('blue', 'BLU', 1), ('blue bolt', 'BLU', 2), ('green holdings', 'GRN', 2), ('green gear 7', 'GRN', 3), ('green gear', 'GRN', 2))
+       , matched AS (SELECT raw, key, ticker, CASE WHEN akey = key THEN 'alias_exact' WHEN akey IS NOT NULL THEN 'alias_prefix' END AS method FROM keyed LEFT JOIN al ON akey = key OR (n >= 2 AND starts_with(key, akey || ' '))
+                     QUALIFY row_number() OVER (PARTITION BY raw ORDER BY coalesce(akey = key, FALSE) DESC, n DESC) = 1)
+"""
+#: The printed name of ``contractor_raw``.
+DISPLAY = r"""coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(trim(replace(coalesce(contractor_raw, ''), '*', ' ')), ',+$', '')), '^[Tt]he\s+', ''),
+       '(?i)([\s,]+(inc|incorporated|llc|l\.l\.c|llp|lp|plc|ltd|limited|corp|corporation|co|company|gmbh|pty|pte|nv|bv)\.?\s*,*\s*)+$', ''), '[,\s]+$', '')), ''), trim(contractor_raw))"""
+
+
 @query(sql(_KEYED + """, al(akey, ticker, n) AS (VALUES ('red widget', 'RDW', 2), ('red', 'RDW', 1), ('crimson widget', 'RDW', 2), ('small ring 3', 'SML', 3), ('small ring', 'SML', 2), ('blue', 'BLU', 1), ('blue bolt', 'BLU', 2), ('green holdings', 'GRN', 2), ('green gear 7', 'GRN', 3), ('green gear', 'GRN', 2))
        SELECT raw, key, ticker, CASE WHEN akey = key THEN 'alias_exact' WHEN akey IS NOT NULL THEN 'alias_prefix' END AS method FROM keyed LEFT JOIN al ON akey = key OR (n >= 2 AND starts_with(key, akey || ' '))
        QUALIFY row_number() OVER (PARTITION BY raw ORDER BY coalesce(akey = key, FALSE) DESC, n DESC) = 1"""))
@@ -304,20 +313,24 @@ def variant_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.variants(Domain(spark, sf_dir).awards).select("key", "spellings", "n")
 
 
-@query()
+@query(sql(f"SELECT contractor_raw, {DISPLAY} AS display_name FROM (SELECT DISTINCT contractor_raw FROM awards) n"))
 def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = Domain(spark, sf_dir).awards.select("contractor_raw").distinct()
     return names.select("contractor_raw", text.display_name(F.col("contractor_raw")).alias("display_name"))
 
 
-@query()
+@query(sql(_MATCHED + f""", spelled AS (SELECT raw, key, length({DISPLAY.replace("contractor_raw", "raw")}) AS shown FROM keyed WHERE key <> ''),
+       grouped AS (SELECT key, first(raw ORDER BY shown DESC, raw DESC) AS representative, count(*) AS n FROM spelled GROUP BY key)
+       SELECT g.key, representative, n, CASE WHEN g.key IN (SELECT k.key FROM keyed k JOIN entities e ON e.contractor_raw = k.raw WHERE confidence >= 0.7) THEN 'map' ELSE coalesce(method, 'queue') END AS method
+       FROM grouped g JOIN matched m ON m.raw = representative"""))
 def resolution_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain(spark, sf_dir)
     known = d.entities.where("confidence >= 0.7").select(text.normalize_name(F.col("contractor_raw")).alias("key"))
     return entities.plan(d.awards, known, _aliases(spark))
 
 
-@query()
+@query(sql(_MATCHED + """SELECT coalesce(method, 'unmatched') AS method, count(*) AS names, CAST(sum(mentions) AS BIGINT) AS mentions FROM matched
+       JOIN (SELECT contractor_raw AS raw, count(*) AS mentions FROM awards GROUP BY 1) c USING (raw) GROUP BY 1"""))
 def alias_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.coverage(Domain(spark, sf_dir).awards, _aliases(spark))
 

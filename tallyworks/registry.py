@@ -128,3 +128,9 @@ def json_schema(table: str) -> dict:
 
 def json_schema_text(table: str) -> str:
     return json.dumps(json_schema(table), sort_keys=True)
+
+
+def extraction_schema() -> dict:
+    """Schema of one document's answer: its awards in order, and a note on the whole."""
+    props = {"awards": {"type": "array", "items": json_schema("awards")}, "document_notes": {"type": ["string", "null"]}}
+    return {"type": "object", "properties": props, "required": list(props), "additionalProperties": False}

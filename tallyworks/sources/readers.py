@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,45 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Name, change time and size of files as one text: another one means that something was written. "none" if nothing is there."""
+    parts = []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+        parts += [f"{f.getPath()}:{f.getModificationTime()}:{f.getLen()}" for f in found or []]
+    return "|".join(sorted(parts)) or "none"
+
+
+def watch(spark: SparkSession, paths: list[str], act: Callable[[], object], seconds: float = 3.0, turns: int | None = None) -> int:
+    """Calls ``act`` at once and whenever the files have changed; returns how often. ``turns`` bounds the looks, else it goes on."""
+    seen, called = None, 0
+    for turn in itertools.count():
+        if turns is not None and turn >= turns:
+            return called
+        now = fingerprint(spark, paths)
+        if now != seen:
+            seen, called = now, called + 1
+            act()
+        time.sleep(seconds)
+    return called
+
+
+def manifest_entry(manifest: DataFrame, announcement_id: str) -> DataFrame:
+    """The manifest's row of an id, or none."""
+    return manifest.where(F.col("announcement_id") == announcement_id).limit(1)
+
+
+def poll_feed(spark: SparkSession, path: str) -> tuple[DataFrame, str | None, str]:
+    """Article ids of a saved feed, its build date, and "ok" or what is wrong with it; a bad feed has no ids."""
+    try:
+        whole = whole_files(spark, path)
+        stamp = whole.select(F.regexp_extract("value", r"(?s)<lastBuildDate>\s*(.*?)\s*</lastBuildDate>", 1)).first()
+        return feed_ids(whole), (stamp and stamp[0]) or None, "ok"
+    except Exception as e:  # noqa: BLE001  a feed that can't be read mustn't stop a refresh
+        return spark.createDataFrame([], "announcement_id string"), None, f"error: {str(e)[:120]}"
+
+
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """path, value, sha256 and n_bytes of each file."""
     files = spark.read.format("binaryFile").load(path)

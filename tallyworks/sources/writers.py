@@ -50,17 +50,35 @@ class Store:
             if not self._versions(t):
                 self.write(t, empty(self.spark, t))
 
+    def stage(self, rows: DataFrame) -> DataFrame:
+        """``rows`` written once beside the tables: what made them isn't asked again, however often they are read."""
+        path = f"{self.root}/_staged/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def unstage(self) -> None:
+        fs, p = self._fs(f"{self.root}/_staged")
+        fs.delete(p, True)
+
     def upsert(self, table: str, rows: DataFrame, position: str | None = None) -> int:
-        """Rows in place of those with their keys; the number of distinct keys written. ``position`` orders repeats, the last wins."""
-        rows = rows if position else rows.withColumn("__pos", F.monotonically_increasing_id())
+        """Rows in place of those with their keys; the number of distinct keys written.
+
+        ``position`` orders repeats, the last wins; without it the repeat with the greatest hash of its contents does, whatever the order of rows.
+        """
         at = position or "__pos"
-        self.write(table, upsert(self.read(table), conform(rows, table, at), KEYS[table], at))
+        rows = conform(rows if position else rows.withColumn(at, F.xxhash64(*rows.columns)), table, at)
+        rows = self.stage(rows)
+        self.write(table, upsert(self.read(table), rows, KEYS[table], at))
         return rows.select(KEYS[table]).distinct().count()
 
-    def mark_status(self, announcement_ids: DataFrame, status: str) -> None:
-        patch = announcement_ids.select("announcement_id", F.lit(status).alias("extraction_status"))
+    def mark_statuses(self, statuses: DataFrame) -> None:
+        """Sets extraction_status from (announcement_id, status)."""
+        patch = statuses.select("announcement_id", F.col("status").alias("extraction_status"))
         self.write("announcements", set_values(self.read("announcements"), patch, "announcement_id", "extraction_status"))
 
+    def mark_status(self, announcement_ids: DataFrame, status: str) -> None:
+        self.mark_statuses(announcement_ids.select("announcement_id", F.lit(status).alias("status")))
+
     def migrate(self) -> dict[str, list[str]]:
         """Columns the newest versions lack, added as null; nothing is dropped or retyped."""
         added = {}
@@ -94,15 +112,27 @@ class Store:
         return {t: self.read(t).count() for t in TABLES}
 
 
-def append_log(spark: SparkSession, folder: str, who: str, lines: list[str]) -> None:
-    """Lines of an activity log: `time who` and the text."""
-    rows = spark.createDataFrame([(x,) for x in lines], "line string")
+LOG_HEADER = "# Activity log"
+
+
+def append_log(spark: SparkSession, folder: str, who: str, lines: list[str], kind: str = "post") -> None:
+    """Lines of an activity log: `time who` and the text, "spawn" and "done" marked; a new log begins with its header."""
+    if not exists(spark, folder):
+        spark.createDataFrame([(LOG_HEADER,)], "line string").coalesce(1).write.mode("append").text(folder)
+    mark = {"spawn": "started: ", "done": "finished: "}.get(kind, "")
+    rows = spark.createDataFrame([(mark + x,) for x in lines], "line string").coalesce(1)
     rows.select(F.concat(F.lit("`"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"), F.lit(f" {who}` "), "line")).write.mode("append").text(folder)
 
 
 def write_fact_map(records: DataFrame, path: str) -> None:
-    """Name and record, sorted, as JSON lines in one folder, replaced as a whole."""
-    records.orderBy("key").write.mode("overwrite").json(path)
+    """Name and record, sorted, as JSON lines in one folder. The new folder is written beside the old one and then takes its place."""
+    spark = records.sparkSession
+    new = f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}"
+    records.orderBy("key").write.json(new)
+    old, fresh = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new))
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    fs.rename(fresh, old)
 
 
 def write_cache(answers: DataFrame, path: str) -> None:

@@ -1,27 +1,39 @@
-"""The refresh cycle: survey, extract, resolve, score, aggregate, diff, export. Idempotent: ids are derived and writes are upserts.
+"""The refresh cycle: survey and load, price, dispatch, aggregate, diff, export. Idempotent: ids are derived and writes are upserts.
 
 A tick is a batch run; ``stream`` runs one per micro-batch of a file source. Oracles are injected pure functions from
-DataFrames to DataFrames; there is no network.
+DataFrames to DataFrames; there is no network. Rows of a dispatch are written once and read from there, so an oracle is
+asked once for each of its items, whatever is counted or recorded afterwards.
 """
 
 from __future__ import annotations
 
+import importlib.util
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import changes, entities, events, scoring
-from ..registry import columns, conform, table_for
+from ..functions import values
+from ..operators import changes, entities, events, scoring, telemetry
+from ..registry import KEYS, columns, conform, table_for
+from ..sources.readers import manifest_rows
 from ..sources.writers import Store
 
 STAGES = ["extract", "resolve", "score"]
+_TABLE = {"extract": "awards", "resolve": "entities", "score": "materiality"}
 
 
 class Agent(Protocol):
-    """What a stage offers: its queue, and its rows for that queue."""
+    """What a stage offers: its queue, and its rows for that queue.
+
+    Optional: ``key`` (the queue's id column), ``free`` (its oracle costs nothing, so failed items are tried one by one), ``chunk_size``
+    (items persisted together), ``chars`` (a column that a call's price grows with) and ``model``, ``second`` (rows of a second oracle for
+    unsure ones), ``after_write`` (called with the store and the queue), ``skills_path``.
+    """
 
     name: str
 
@@ -50,6 +62,20 @@ class Registry:
         else:
             self.agents[agent.name] = agent
 
+    def discover(self, folder: str) -> Registry:
+        """Adds what ``make()`` of each module in a folder gives, by file name; names that begin with "_" are left out."""
+        for path in sorted(Path(folder).glob("[!_]*.py")):
+
+            def make(path: Path = path) -> Agent:
+                spec = importlib.util.spec_from_file_location(f"agent_{path.stem}", path)
+                module = importlib.util.module_from_spec(spec)
+                spec.loader.exec_module(module)
+                return module.make()
+
+            make.__name__ = path.stem
+            self.add(make)
+        return self
+
     def in_order(self) -> list[Agent]:
         place = {n: k for k, n in enumerate(STAGES)}
         return sorted(self.agents.values(), key=lambda a: (place.get(a.name, len(STAGES)), a.name))
@@ -63,7 +89,7 @@ class Tripwire:
 
 
 class Extract:
-    name = "extract"
+    name, key, chars = "extract", "announcement_id", "body_chars"
 
     def __init__(self, answers: Callable[[DataFrame], DataFrame]):
         self.answers = answers
@@ -74,12 +100,19 @@ class Extract:
     def run(self, items: DataFrame) -> DataFrame:
         return events.postprocess(self.answers(items))
 
+    def after_write(self, store: Store, items: DataFrame) -> None:
+        """Documents with a row are extracted, those without failed."""
+        got = store.read("awards").select("announcement_id").distinct()
+        status = items.select("announcement_id").join(got.withColumn("hit", F.lit(True)), "announcement_id", "left").select("announcement_id", F.when(F.col("hit"), "extracted").otherwise("failed").alias("status"))
+        store.mark_statuses(status)
+
 
 class Resolve:
-    name = "resolve"
+    name, key = "resolve", "contractor_raw"
 
-    def __init__(self, aliases: DataFrame, answers: Callable[[DataFrame], DataFrame] | None = None):
+    def __init__(self, aliases: DataFrame, answers: Callable[[DataFrame], DataFrame] | None = None, second: Callable[[DataFrame], DataFrame] | None = None):
         self.aliases, self.answers = aliases, answers
+        self.second = second and (lambda items: entities.coerce(second(items)))
 
     def detect(self, store: Store) -> DataFrame:
         known = store.read("entities")
@@ -96,10 +129,11 @@ class Resolve:
 
 
 class Score:
-    name = "score"
+    name, key = "score", "award_uid"
 
-    def __init__(self, known: Callable[[], DataFrame], answers: Callable[[DataFrame], DataFrame] | None = None):
+    def __init__(self, known: Callable[[], DataFrame], answers: Callable[[DataFrame], DataFrame] | None = None, second: Callable[[DataFrame], DataFrame] | None = None):
         self.known, self.answers = known, answers
+        self.second = second and (lambda items: self._rows(scoring.coerce(second(items))))
 
     def detect(self, store: Store) -> DataFrame:
         return store.read("awards").join(store.read("materiality").select("award_uid"), "award_uid", "left_anti")
@@ -109,46 +143,160 @@ class Score:
         rows = filtered.where("rule IS NOT NULL").select("award_uid", "score", "tier", F.concat(F.lit("Routine: "), "rule").alias("rationale"), F.to_json("drivers").alias("drivers"))
         if self.answers is not None:
             asked = items.join(filtered.where("rule IS NULL").select("award_uid"), "award_uid", "left_semi")
-            rows = rows.unionByName(scoring.coerce(self.answers(asked)).drop("confidence"))
-        return conform(rows, "materiality")
+            rows = rows.withColumn("confidence", F.lit(1.0)).unionByName(scoring.coerce(self.answers(asked)))
+        return self._rows(rows)
+
+    @staticmethod
+    def _rows(rows: DataFrame) -> DataFrame:
+        """Contract rows, with the confidence that decides on a second opinion."""
+        return conform(rows.withColumn("confidence", F.col("confidence") if "confidence" in rows.columns else F.lit(1.0)), "materiality", "confidence")
 
 
-def tick(store: Store, registry: Registry, export: str | None = None, dry_run: bool = False) -> dict[str, int]:
-    """One refresh. Later stages see what earlier ones wrote; the diff is against the tables as they stood before."""
+@dataclass
+class Limits:
+    """What a tick may do: nothing but look (dry_run), spend up to so many dollars on live oracles, take so many items per stage."""
+
+    dry_run: bool = False
+    live: bool = False
+    has_key: bool = True
+    max_spend: float | None = None
+    items: int | None = None
+
+
+def queue_of(agent: Agent, store: Store, limits: Limits) -> DataFrame:
+    """An agent's queue, or the first items of it in the order of their ids."""
+    queue = agent.detect(store)
+    return queue.orderBy(agent.key).limit(limits.items) if limits.items is not None and hasattr(agent, "key") else queue
+
+
+def estimate(agent: Agent, queue: DataFrame) -> DataFrame:
+    """agent, calls, input_tokens, output_tokens, cost_usd expected of a queue; 400 characters an item where the agent names no column."""
+    chars = F.coalesce(F.col(agent.chars), F.lit(0)) if hasattr(agent, "chars") else F.lit(400)
+    tin, tout = values.estimated_tokens(chars)
+    cost = values.price(F.lit(getattr(agent, "model", "small")), F.col("tin"), F.col("tout"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    each = queue.select(tin.alias("tin"), tout.alias("tout"))
+    return each.agg(F.lit(agent.name).alias("agent"), F.count("*").alias("calls"), total("tin").alias("input_tokens"), total("tout").alias("output_tokens"), F.round(total(cost), 6).cast("double").alias("cost_usd"))
+
+
+def refusal(projected: float, limits: Limits) -> str | None:
+    """Why live oracles may not be asked, if so."""
+    if not limits.live:
+        return None
+    if limits.max_spend is not None and projected > limits.max_spend:
+        return f"projected ${projected:.4f} is above the cap of ${limits.max_spend:.2f}"
+    return None if limits.has_key else "no key for live oracles"
+
+
+def dispatch(agent: Agent, queue: DataFrame, store: Store, tick_id: str, live: bool = False) -> dict[str, int]:
+    """Rows of a queue, chunk by chunk: written, unsure ones asked again, still unsure ones queued for review, all recorded.
+
+    A chunk that fails is tried item by item if that costs nothing; else its items are recorded as failed and stay in the queue.
+    """
+    out = {"written": 0, "failed": 0, "escalated": 0, "review": 0}
+    table = _TABLE.get(agent.name, "awards")
+    size = getattr(agent, "chunk_size", None)
+    queue = store.stage(queue)
+    chunks = [queue]
+    if size:
+        ranked = store.stage(scoring.cumulative(queue.select(F.col(agent.key).alias("__k")).distinct().withColumn("n", F.lit(1)), "__k", "n").select("__k", F.floor(F.col("below") / size).alias("__c")))
+        last = ranked.agg(F.max("__c")).first()[0] or 0
+        chunks = [queue.join(ranked.where(F.col("__c") == k), queue[agent.key] == F.col("__k"), "left_semi") for k in range(last + 1)]
+
+    def persist(items: DataFrame) -> None:
+        rows = store.stage(agent.run(items))
+        confidence = telemetry.confidence_column(rows.columns)
+        key = KEYS[table_for([c for c in rows.columns if c != "confidence" or table == "entities"]) or table]
+        if getattr(agent, "second", None) and confidence:
+            unsure = rows.where(values.needs_escalation(F.col(confidence)))
+            again = store.stage(agent.second(items.join(unsure.select(key), key, "left_semi")))
+            rows = store.stage(scoring.escalate(rows, again, key))
+            flagged = rows.where("review")
+            out["review"] += store.upsert("review_queue", scoring.review_rows(flagged, agent.name, key, F.lit("low confidence")).withColumn("flagged_at", F.current_timestamp()))
+        else:
+            rows = rows.withColumn("escalated", F.lit(False))
+        name = next((t for t in (table_for([c for c in rows.columns if c in columns(table)]), table) if t), table)
+        out["written"] += store.upsert(name, rows)
+        model = telemetry.model_column(columns(name))
+        told = rows.select(F.col(key).cast("string").alias("item_key"), F.coalesce(F.col(model), F.lit(getattr(agent, "model", "deterministic"))).alias("model") if model else F.lit("deterministic").alias("model"), (F.col(confidence).cast("double") if confidence else F.lit(None).cast("double")).alias("confidence"), "escalated")
+        out["escalated"] += told.where("escalated").count()
+        runs = telemetry.record(told, tick_id, agent.name, 0, 0, int(live)).drop("escalated").join(told.select("item_key", "escalated"), "item_key")
+        store.upsert("agent_runs", runs.withColumn("started_at", F.current_timestamp()))
+
+    def failed(items: DataFrame, error: Exception) -> None:
+        rows = items.select(F.col(agent.key).cast("string").alias("item_key")).withColumns({"model": F.lit(getattr(agent, "model", "deterministic")), "confidence": F.lit(None).cast("double")})
+        runs = telemetry.record(rows, tick_id, agent.name, 0, 0, int(live)).withColumns({"outcome": F.lit("failed"), "error": F.lit(str(error)[:200]), "started_at": F.current_timestamp()})
+        out["failed"] += store.upsert("agent_runs", runs)
+
+    for chunk in chunks:
+        try:
+            persist(chunk)
+        except Exception as e:  # noqa: BLE001  one chunk mustn't stop the others
+            if live or not getattr(agent, "free", True):
+                failed(chunk, e)
+                continue
+            for row in chunk.select(agent.key).distinct().toLocalIterator():
+                one = chunk.where(F.col(agent.key) == F.lit(row[0]))
+                try:
+                    persist(one)
+                except Exception as again:  # noqa: BLE001
+                    failed(one, again)
+    if hasattr(agent, "after_write"):
+        agent.after_write(store, queue)
+    return out
+
+
+def tick(store: Store, registry: Registry, export: str | None = None, limits: Limits | None = None, manifest: DataFrame | None = None, feed: DataFrame | None = None, tick_id: str | None = None) -> dict:
+    """One refresh: what was queued, written, failed, escalated, sent to review, projected, and the histogram of changes.
+
+    Later stages see what earlier ones wrote; the diff is against the tables as they stood before anything was loaded. ``manifest``
+    and ``feed`` are surveyed and the manifest's rows loaded first. A dry run counts queues and prices them, and writes nothing else.
+    """
+    limits = limits or Limits()
+    tick_id = tick_id or uuid.uuid4().hex[:12]
     store.create()
     tables = ("announcements", "awards", "entities", "materiality")
     before = {t: store.read(t) for t in tables}
-    done: dict[str, int] = {}
-    for agent in registry.in_order():
-        queue = agent.detect(store)
-        done[f"queued_{agent.name}"] = queue.count()
-        if dry_run or not done[f"queued_{agent.name}"]:
-            continue
-        rows = agent.run(queue)
-        table = table_for(rows.columns) or table_for(columns({"extract": "awards", "resolve": "entities", "score": "materiality"}.get(agent.name, "awards")))
-        store.upsert(table, rows)
-        if agent.name == "extract":
-            got = store.read("awards").select("announcement_id").distinct()
-            store.mark_status(queue.select("announcement_id").join(got, "announcement_id", "left_semi"), "extracted")
-            store.mark_status(queue.select("announcement_id").join(got, "announcement_id", "left_anti"), "failed")
-    if dry_run:
+    done: dict = {"tick_id": tick_id}
+    if manifest is not None:
+        found = changes.survey(before["announcements"], manifest, feed if feed is not None else manifest)
+        done |= {f"survey_{r.state}": r["count"] for r in found.groupBy("state").count().collect()}
+        if not limits.dry_run:
+            store.upsert("announcements", manifest_rows(manifest, before["announcements"]))
+    costs = [(agent, estimate(agent, queue_of(agent, store, limits)).first()) for agent in registry.in_order()]
+    done["projected_usd"] = round(sum(c.cost_usd for _, c in costs), 6)
+    done |= {f"queued_{agent.name}": c.calls for agent, c in costs}
+    if limits.dry_run:
         return done
-    awards = events.prepare(store.read("awards"))
-    store.write("awards", awards)
+    if why := refusal(done["projected_usd"], limits):
+        return done | {"refused": why}
+    for agent in registry.in_order():
+        queue = queue_of(agent, store, limits)  # again, as earlier stages may have fed it
+        if not queue.isEmpty():
+            done |= {f"{k}_{agent.name}": v for k, v in dispatch(agent, queue, store, tick_id, limits.live).items()}
+    store.write("awards", events.prepare(store.read("awards")))
     store.write("contracts", events.build_contracts(store.read("awards"), store.read("entities")))
     after = {t: store.read(t) for t in tables} | {"contracts": store.read("contracts")}
-    done["changes"] = store.upsert("changes", changes.detect_changes(before, after).withColumn("detected_at", F.current_timestamp()))
+    known = store.read("changes").select("change_id")
+    found = store.stage(changes.detect_changes(before, after).join(known, "change_id", "left_anti").withColumn("detected_at", F.current_timestamp()))
+    done["changes"] = {r.change_type: r.n for r in changes.by_kind(found).collect()}
+    if done["changes"]:
+        store.upsert("changes", found)
+    store.unstage()
     if export:
         store.export(export)
     return done
 
 
-def stream(spark: SparkSession, manifests: str, checkpoint: str, schema: str, load: Callable[[DataFrame], DataFrame], store: Store, registry: Registry) -> object:
-    """A tick for each micro-batch of manifest files; repeats of a batch converge, as every write is keyed."""
+def stream(spark: SparkSession, manifests: str, checkpoint: str, schema: str, load: Callable[[DataFrame], DataFrame], store: Store, registry: Registry, every: str | None = None) -> object:
+    """A tick for each micro-batch of manifest files, once over what is there or, with ``every`` ("3 seconds"), polling for new files.
+
+    Repeats of a batch converge, as every write is keyed.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        tick(store, registry, manifest=store.stage(load(batch)), tick_id=f"batch-{number}")
 
-    def one(batch: DataFrame, _: int) -> None:
-        store.create()
-        store.upsert("announcements", load(batch))
-        tick(store, registry)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return spark.readStream.schema(schema).json(manifests).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
-    return spark.readStream.schema(schema).json(manifests).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
