@@ -62,9 +62,9 @@ def poll_feed(spark: SparkSession, path: str) -> tuple[DataFrame, str | None, st
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, value, sha256 and n_bytes of each file."""
+    """path, value, sha256 and n_bytes of each file; bytes that are no UTF-8 become replacement characters. Spark leaves empty files out."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.decode("content", F.lit("utf-8")).alias("value"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("value"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"))
 
 
 def load_table(spark: SparkSession, table: str, folders: list[str]) -> tuple[DataFrame, str]:
