@@ -14,12 +14,16 @@ Queries, in groups, meet every block: pairs of (group, block), an equi-join on t
 block, each side a packed row. Blocks are repeated for several groups only as far as
 tasks need.
 
-Defined results: vectors that are null or hold a null, a NaN, an infinity or a value
-of 2^45 or more in size take no part, as do null ids; a missing component counts as 0;
-rows that repeat an id are candidates one by one; a query answers for the smallest
-vector under its id and never meets rows of its own id; ties go to the smaller id;
-fewer candidates than k, fewer rows; empty table, empty result. Other columns are
-ignored.
+Vectors with a component of WIDE (2^44) or more in size would need slices without end;
+they are kept apart, in packed blocks like the others', and scored exactly by whole
+numbers of any length: as queries against all rows, as candidates for all queries.
+
+Defined results: vectors that are null or hold a null, a NaN or an infinity take no
+part, as do null ids; a missing component counts as 0; rows that repeat an id are
+candidates one by one; a query answers for the smallest vector under its id and never
+meets rows of its own id; ties go to the smaller id; scores are ranked exactly and, where
+a long can't hold them, printed as the nearest long; fewer candidates than k, fewer rows;
+empty table, empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,14 +36,34 @@ from pyspark.sql import functions as F
 from .common import default_parallelism, map_rows
 
 BLOCK_ROWS, GROUP_ROWS = 16384, 64
+WIDE, WIDE_ROWS = 2.0**44, 512
+FOUND = "query_id long, vec_id long, score long, key binary"
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
-    """vec_id, q: the integers of the vectors that take part."""
-    x = F.transform("embedding", lambda v: v.cast("double") * 256)
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) >= 2.0**53))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", bad.alias("bad"))
-    return rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT bad").select("vec_id", F.transform("embedding", lambda v: F.floor(v.cast("double") * 256).cast("long")).alias("q"))
+    """vec_id, q (the integers), x (the components), wide: of the vectors that take part. q is null in wide ones."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ~bad)
+    wide = F.exists("x", lambda v: F.abs(v) >= WIDE)
+    return rows.withColumn("wide", wide).withColumn("q", F.when(~F.col("wide"), F.transform("x", lambda v: F.floor(v * 256).cast("long"))))
+
+
+def exact_int(x: float) -> int:
+    """floor(256 x) of any finite x."""
+    n, d = float(x).as_integer_ratio()
+    return 256 * n // d
+
+
+def sort_key(score: int) -> bytes:
+    """Bytes in the order of whole numbers of any length."""
+    size = (abs(score).bit_length() + 7) // 8
+    raw = size.to_bytes(2, "big") + abs(score).to_bytes(size, "big")
+    return b"\1" + raw if score >= 0 else b"\0" + bytes(255 - c for c in raw)
+
+
+def _long(score: int) -> int:
+    return max(-(2**63), min(2**63 - 1, score))
 
 
 def _matrix(lists: list, dims: int) -> np.ndarray:
@@ -130,6 +154,7 @@ def select_top(slices: list[np.ndarray], candidates: np.ndarray, k: int) -> np.n
 
 
 def block_top(block: dict, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list, list, list]:
+    """query_id, vec_id, score of each query's k best rows of the block."""
     ids, bits = block["ids"], block["bits"]
     flat = block["planes"].reshape(-1, block["planes"].shape[2])
     both = np.concatenate([flat, ~flat])
@@ -145,19 +170,53 @@ def block_top(block: dict, query_ids: np.ndarray, queries: np.ndarray, k: int) -
             total = base + sum(((int(s[p >> 6]) >> (p & 63)) & 1) << w for w, s in enumerate(slices))
             out[0].append(own)
             out[1].append(int(ids[p]))
-            out[2].append((total + 2**63) % 2**64 - 2**63)
+            out[2].append(total)
     return out
 
 
+def _exact_top(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score, key: each query's k best rows of every block of candidates, by whole numbers."""
+
+    def blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-rows.count() // size))
+        packed = rows.groupBy(F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).alias(name))
+        return packed.agg(F.collect_list(F.struct("vec_id", "x")).alias(f"{name}_rows")), n
+
+    asked, _ = blocks(queries, GROUP_ROWS, "part")
+    held, n = blocks(candidates, WIDE_ROWS, "block")
+    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(held, "block")
+
+    def run(b: dict) -> dict:
+        out: dict = {"query_id": [], "vec_id": [], "score": [], "key": []}
+        for part, block in zip(b["part_rows"], b["block_rows"], strict=True):
+            rows = [(r["vec_id"], [exact_int(x) for x in r["x"]]) for r in block]
+            for q in part:
+                own = [exact_int(x) for x in q["x"]]
+                scored = sorted((-sum(x * y for x, y in zip(own, v, strict=False)), i) for i, v in rows if i != q["vec_id"])[:k]
+                for less, i in scored:
+                    for name, v in zip(out, (q["vec_id"], i, _long(-less), sort_key(-less)), strict=True):
+                        out[name].append(v)
+        return out
+
+    return map_rows(pairs.select("part_rows", "block_rows"), run, FOUND)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block_rows: int = BLOCK_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best among all rows but its own."""
-    rows = quantized(vectors)
-    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("q").alias("q"))
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("dims"), F.sum(is_query.cast("long")).alias("asked")).first()
+    every_row = quantized(vectors)
+    rows = every_row.where("NOT wide")
+    # the smallest vector of an id, wide or not, is asked
+    queries = every_row.where(is_query).groupBy("vec_id").agg(F.min(F.struct("x", "wide", "q")).alias("r")).select("vec_id", "r.*")
+    asked = queries.where("NOT wide").select("vec_id", "q")
+    facts = every_row.agg(F.count_if(~F.col("wide")).alias("n"), F.max(F.size("x")).alias("dims"), F.count_if(is_query).alias("asked"), F.count_if("wide").alias("wide")).first()
     schema = "query_id long, rank int, vec_id long, score long"
-    if not facts.n or not facts.asked or not facts.dims:
+    if not facts.asked or not facts.dims:
         return vectors.sparkSession.createDataFrame([], schema)
-    dims, n_blocks, n_groups = facts.dims, -(-facts.n // block_rows), -(-facts.asked // group_rows)
+    exact = None
+    if facts.wide:
+        of_all = _exact_top(queries, every_row.where("wide"), k)
+        exact = of_all.unionByName(_exact_top(queries.where("wide"), rows, k))
+    dims, n_blocks, n_groups = facts.dims, max(1, -(-facts.n // block_rows)), -(-facts.asked // group_rows)
     repeats = max(1, min(n_groups, -(-2 * default_parallelism(vectors.sparkSession) // n_blocks)))
 
     def build(group: pa.Table) -> pa.Table:
@@ -176,16 +235,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block_rows: int = BL
     pairs = groups.withColumn("repeat", F.pmod("part", F.lit(repeats))).withColumn("block", every(n_blocks)).join(blocks.withColumn("repeat", every(repeats)), ["block", "repeat"])
 
     def run(b: dict) -> dict:
-        out: dict = {"query_id": [], "vec_id": [], "score": []}
+        out: dict = {"query_id": [], "vec_id": [], "score": [], "key": []}
         for ids, low, planes, bits, qi, qv in zip(b["ids"], b["low"], b["planes"], b["bits"], b["query_ids"], b["queries"], strict=True):
             block = {"ids": np.frombuffer(ids, np.int64), "low": np.frombuffer(low, np.int64), "bits": bits, "planes": np.frombuffer(planes, np.uint64).reshape(dims, bits, -1)}
-            got = block_top(block, np.frombuffer(qi, np.int64), np.frombuffer(qv, np.int64).reshape(-1, dims), k)
-            for name, values in zip(out, got, strict=True):
+            who, which, scores = block_top(block, np.frombuffer(qi, np.int64), np.frombuffer(qv, np.int64).reshape(-1, dims), k)
+            for name, values in zip(out, (who, which, map(_long, scores), map(sort_key, scores)), strict=True):
                 out[name] += values
         return out
 
-    found = map_rows(pairs.select("ids", "low", "planes", "bits", "query_ids", "queries"), run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = map_rows(pairs.select("ids", "low", "planes", "bits", "query_ids", "queries"), run, FOUND)
+    found = found if exact is None else found.unionByName(exact)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

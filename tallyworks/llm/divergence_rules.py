@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, map_rows, materialize, utf8
@@ -79,6 +79,11 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
     return max(0.0, (kl(p) + kl(q)) / 2) ** 0.5
 
 
+def _lang() -> Column:
+    """Key of a text's language: null is one of its own, unlike any string."""
+    return F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(""))
+
+
 def _common_form(word: bytes) -> bytes:
     return word.strip(_EDGE)
 
@@ -126,7 +131,7 @@ def references(docs: DataFrame) -> tuple[dict[str, Reference], DataFrame | None]
                 yield from flush()
         yield from flush()
 
-    src = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), utf8().alias("text"))
+    src = docs.select(_lang().alias("lang"), utf8().alias("text"))
     counted = materialize(map_batches(src, count, schema).groupBy("lang", "class", "word").agg(F.sum("n").alias("n")))
     is_char = F.col("class").isNotNull()
     is_word = ~is_char & (F.length("word") > 0)
@@ -190,7 +195,7 @@ def judge(docs: DataFrame, refs: tuple[dict[str, Reference], DataFrame | None])
                 out[k].append(v)
         return {"doc_id": b["doc_id"], "n_repeat_words": repeats, **out}
 
-    src = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), utf8().alias("text"))
+    src = docs.select("doc_id", _lang().alias("lang"), utf8().alias("text"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_jsd double, word_jsd double"
     if rest is None:
         return map_rows(src, run, schema)

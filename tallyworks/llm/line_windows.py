@@ -43,11 +43,11 @@ def windows(docs: DataFrame) -> DataFrame:
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, starts: the first lines of the windows of a document that occurred before."""
+    """doc_id, digest, starts: the first lines, in order, of the windows of a document that occurred before."""
     all_windows = materialize(windows(docs))  # hashes and places only; read twice
     first = all_windows.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").drop("last")
     later = all_windows.join(first, "hash").where("place > first")
-    return later.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.digest").alias("digest")).agg(F.collect_set("place.line").alias("starts"))
+    return later.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.digest").alias("digest")).agg(F.array_sort(F.collect_set("place.line")).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -55,13 +55,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     hits = covered(docs).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("starts").alias("__starts"))
     own = docs.withColumn("__own", _digest(F.coalesce("text", F.lit(""))))
     both = own.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left")
-    lost = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + (WIDTH - 1)))))
-    cut = both.withColumns({"__lines": _lines(), "__lost": lost})
-    flags = F.transform(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: F.array_contains("__lost", i))
-    kept = F.filter(F.arrays_zip(F.col("__lines").alias("line"), flags.alias("gone")), lambda p: ~p["gone"])
-    text = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda p: p["line"]), "\n"))
+    cut = both.withColumn("__lines", _lines())
+    # what lies between the covered runs, as slices: in all as long as the text has lines
+    begins = F.concat(F.array(F.lit(0)), F.transform("__starts", lambda s: s + WIDTH))
+    gaps = F.arrays_zip(begins.alias("a"), F.concat("__starts", F.array(F.size("__lines"))).alias("b"))
+    kept = F.flatten(F.transform(gaps, lambda g: F.slice("__lines", g["a"] + 1, F.greatest(g["b"] - g["a"], F.lit(0)))))
+    cut = cut.withColumn("__kept", F.when(F.col("__starts").isNotNull(), kept))
+    text = F.when(F.col("__starts").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).cast("long")
-    return cut.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), F.coalesce(F.size("__lost"), F.lit(0)).cast("long").alias("n_removed"))
+    return cut.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), F.when(F.col("__starts").isNull(), 0).otherwise(F.size("__lines") - F.size("__kept")).cast("long").alias("n_removed"))
 
 
 ORACLE = """

@@ -3,7 +3,8 @@
 Texts become token ids, then pieces of at most ``capacity`` tokens. A piece goes
 where the sum over gaps g of N(g)^2 becomes smallest, N(g) being the number of open
 sequences with g tokens left; ties go to the smaller gap. Pieces are dealt by a hash
-into shards of about ``SHARD_PIECES`` and each shard is packed by itself, largest
+into shards of about ``SHARD_PIECES`` (their place in the written table is hashed with
+them, so that repeated rows spread) and each shard is packed by itself, largest
 piece first, so no task sees more than a shard and a lost executor repeats one
 shard. A shard leaves about one sequence half filled in over a thousand.
 
@@ -119,7 +120,7 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
 def pack(cut: DataFrame, n_pieces: int, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Adds sequence_id and offset to pieces. Sequence ids of a shard start at shard x 2^32."""
     shards = max(1, -(-n_pieces // shard_pieces))
-    keyed = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    keyed = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
     schema = "doc_id " + cut.schema["doc_id"].dataType.simpleString() + ", piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def run(group: pa.Table) -> pa.Table:

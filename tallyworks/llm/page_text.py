@@ -48,7 +48,8 @@ from pyspark.sql.types import StructType
 
 from .common import BATCH_ROWS, default_parallelism, drop_scratch, map_batches, map_rows, materialize
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -85,6 +86,39 @@ def _boilerplate(name: str, attrs: dict[str, str], in_content: bool) -> str:
     return "-" if any(parts & marks for parts in names) else ""
 
 
+class _Tags:
+    """Reads a page tag by tag; what is no tag is text.
+
+    Time is linear in the page: a tag only begins where a ">" follows, and once a quote never closes, quotes no longer
+    hold a ">" from there on.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Begin, end, slash or "", name, attributes of the next tag; comments and declarations have no name."""
+        page = self.page
+        while (i := page.find("<", at)) >= 0:
+            if page.startswith("<!--", i):
+                end = page.find("-->", i + 4)
+                return i, len(page) if end < 0 else end + 3, "", "", ""
+            if i > self.last:  # only a comment may still begin
+                at = page.find("<!--", i)
+                if at < 0:
+                    return None
+            elif page[i + 1] in "!?":
+                return i, page.find(">", i) + 1, "", "", ""
+            elif m := _NAME.match(page, i, self.last + 1):
+                end = _QUOTED.match(page, m.end()) if self.quotes else None
+                self.quotes = end is not None
+                at = end.end() if end else page.find(">", m.end()) + 1
+                return i, at, m[1], m[2].lower(), page[m.end() : at - 1]
+            else:
+                at = i + 1
+        return None
+
+
 def blocks(page: str) -> list[tuple[str, str]]:
     """(text, where) of the blocks in order.
 
@@ -93,6 +127,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
     """
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # element, where its text belongs
+    open_names: Counter = Counter()
+    open_blocks: list[int] = []  # places of block elements in the stack
     parts: list[str] = []
     where, at = "", 0
 
@@ -102,15 +138,19 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if text:
             out.append((text, where))
 
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        if not m:
-            parts.append(page[at:])
-            break
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    def cut(k: int) -> None:
+        """Closes the elements from place ``k`` on."""
+        for name, _ in stack[k:]:
+            open_names[name] -= 1
+        del stack[k:]
+        while open_blocks and open_blocks[-1] >= k:
+            open_blocks.pop()
+
+    tags = _Tags(page)
+    while tag := tags.next(at):
+        begin, end, slash, name, inner = tag
+        parts.append(page[at:begin])
+        at = end
         if not name:
             continue
         if name == "br":
@@ -118,30 +158,24 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         if name in _BLOCK:
             flush()
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    where = stack[-1][1] if stack else ""
-                    break
+        if slash:
+            if open_names[name]:
+                cut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
+                where = stack[-1][1] if stack else ""
             continue
         if name in _RAW:
-            if not (m[3] or m[6] or "").endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if not inner.endswith("/"):
+                close = re.compile(rf"</{re.escape(name)}\b[^>]*+>", re.I).search(page, at, max(at, tags.last + 1))
+                at = close.end() if close else len(page)
             continue
         if name in _VOID:
             continue
         if name in _BLOCK:  # an open paragraph ends here, an open item at the next one
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] == name == "li":
-                    del stack[k:]
-                    break
-                if stack[k][0] in _BLOCK:
-                    break
+            if open_blocks and (stack[open_blocks[-1]][0] == "p" or stack[open_blocks[-1]][0] == name == "li"):
+                cut(open_blocks[-1])
             if stack and stack[-1][0] == "head":  # its end tag may be left out
-                stack.pop()
-        attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3] or m[6] or "")}
+                cut(len(stack) - 1)
+        attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(inner)}
         outer = stack[-1][1] if stack else ""
         role = attrs.get("role", "").lower()
         now = _boilerplate(name, attrs, outer in ("main", "article", "below"))
@@ -154,7 +188,11 @@ def blocks(page: str) -> list[tuple[str, str]]:
             elif outer in ("", "-") and (name == "article" or role == "article"):
                 now = "article" if outer == "" else "below"
         stack.append((name, now))
+        open_names[name] += 1
+        if name in _BLOCK:
+            open_blocks.append(len(stack) - 1)
         where = now
+    parts.append(page[at:])
     flush()
     return out
 

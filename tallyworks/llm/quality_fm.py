@@ -5,7 +5,8 @@ the pairwise term by the sum-of-squares identity, so a text costs time linear in
 its distinct features. Features come from the text and ``n_chars`` alone.
 
 Fitting takes at most ``sample_rows`` labelled rows (those whose label is not
-held out, smallest xxhash64(doc_id) first); every text is scored.
+held out, smallest xxhash64(doc_id) first; of rows that share a doc_id the one of the
+smallest text); every text is scored.
 
 Defined results: a null or empty text has only its structure features and gets a
 score like any other; a null ``n_chars`` is a feature of its own; rows repeated or
@@ -16,7 +17,6 @@ any). Columns besides doc_id, text and n_chars are ignored.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -42,18 +42,13 @@ _BYTES[[9, 10, 11, 12, 13, 32], 4] = 1
 _BYTES[0xC0:, 5] = 1
 
 
-@functools.lru_cache(maxsize=200_000)
-def _bucket(word: bytes) -> int:
-    return zlib.crc32(word) % DIM
-
-
 def features(text: bytes, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values: words scaled to length one, one bin of each statistic."""
     words = text.lower().split()
     n = len(words)
     counts: Counter = Counter()
     for w, c in Counter(words).items():
-        counts[_bucket(w)] += c
+        counts[zlib.crc32(w) % DIM] += c
     idx = np.fromiter(counts.keys(), np.int64, len(counts))
     val = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
     if n:
@@ -128,8 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         return fit([], np.zeros(0))
     spark = docs.sparkSession
     ids = spark.createDataFrame([tuple(r) for r in rows], picked.schema)
-    # bounded by sample_rows ids, so it may be sent to all executors
-    sample = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", utf8().alias("text"), "n_chars")
+    # bounded by sample_rows ids, so it may be sent to all executors; one row of each id, so no more come back
+    sample = docs.select("doc_id", utf8().alias("text"), "n_chars").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("text", "n_chars")).alias("row")).select("doc_id", "quality", "row.text", "row.n_chars")
 
     def featurize(b: dict) -> dict:
         fs = [features(t, n) for t, n in zip(b["text"], b["n_chars"], strict=True)]

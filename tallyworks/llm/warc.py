@@ -21,9 +21,6 @@ case, null headers count as none; empty table, empty result. Other columns are i
 
 from __future__ import annotations
 
-import gzip
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,26 +102,25 @@ def header_lines(headers: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(F.map_entries(headers), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n")
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, also of one in gzip members."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        head_end = data.find(b"\r\n\r\n", at)
-        if head_end < 0:
-            return
-        head = _fields(data[at:head_end])
-        size = int(head.get("content-length", "0"))
-        body = data[head_end + 4 : head_end + 4 + size]
-        at = head_end + 4 + size
-        http, payload, status = {}, body, None
-        if head.get("content-type", "").startswith("application/http"):
-            top, _, payload = body.partition(b"\r\n\r\n")
-            first = top.split(b"\r\n", 1)[0].split()
-            status = int(first[1]) if len(first) > 1 and first[1].isdigit() else None
-            http = _fields(top)
-        yield {"record_id": head.get("warc-record-id"), "url": head.get("warc-target-uri"), "captured": head.get("warc-date"), "kind": head.get("warc-type"), "status": status, "headers": http, "digest": head.get("warc-payload-digest"), "payload": payload}
+def record(raw: bytes) -> dict | None:
+    """A record from its bytes, the version line first; None for what names no type.
+
+    ``whole`` is false where fewer bytes are there than Content-Length says; one that is missing or no number leaves the body as it is.
+    """
+    top, _, body = raw.partition(b"\r\n\r\n")
+    head = _fields(top)
+    if "warc-type" not in head:
+        return None
+    size = head.get("content-length", "")
+    size = int(size) if size.isascii() and size.isdigit() else len(body)
+    whole, body = len(body) >= size, body[:size]
+    http, payload, status = {}, body, None
+    if head.get("content-type", "").startswith("application/http"):
+        lines, _, payload = body.partition(b"\r\n\r\n")
+        first = lines.split(b"\r\n", 1)[0].split()
+        status = int(first[1]) if len(first) > 1 and first[1].isdigit() and len(first[1]) < 5 else None
+        http = _fields(lines)
+    return {"record_id": head.get("warc-record-id"), "url": head.get("warc-target-uri"), "captured": head.get("warc-date"), "kind": head["warc-type"], "status": status, "headers": http, "digest": head.get("warc-payload-digest"), "payload": payload, "whole": whole}
 
 
 def _fields(block: bytes) -> dict[str, str]:
@@ -137,15 +133,19 @@ def _fields(block: bytes) -> dict[str, str]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files under ``path``."""
-    names = ("record_id", "url", "captured", "kind", "status", "headers", "digest", "payload")
+    """Records of the WARC files under ``path``, plain or, with names in .gz, of gzip members.
+
+    Spark's text reader cuts files at the mark before a version line, so a task holds a record, never a file; plain files are split.
+    A payload that holds such a mark itself is cut there (``whole`` tells); a file that ends or breaks early gives what comes before.
+    """
+    names = ("record_id", "url", "captured", "kind", "status", "headers", "digest", "payload", "whole")
 
     def run(b: dict) -> dict:
-        rows = [r for data in b["content"] for r in parse(data)]
+        rows = [r for r in map(record, b["raw"]) if r]
         return {k: [list(r[k].items()) if k == "headers" else r[k] for r in rows] for k in names}
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return map_rows(files, run, "record_id string, url string, captured string, kind string, status int, headers map<string,string>, digest string, payload binary")
+    cut = spark.read.option("lineSep", "\r\n\r\nWARC/1.").option("ignoreCorruptFiles", True).text(path)
+    return map_rows(cut.select(F.col("value").cast("binary").alias("raw")), run, "record_id string, url string, captured string, kind string, status int, headers map<string,string>, digest string, payload binary, whole boolean")
 
 
 def page_records(pages: DataFrame) -> DataFrame:
