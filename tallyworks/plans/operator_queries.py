@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +16,11 @@ from .domain import Domain, sql
 from .queries import _BEFORE, _KEYED, _MATCHED, DISPLAY, _aliases
 
 
-def _select(table: str, **cols: Column):
-    """A query of columns of one stand-in."""
+def _select(table: str, cols: Callable[[], dict[str, Column]]):
+    """A query of columns of one stand-in; columns are made when it runs, as they need a session."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return getattr(Domain(spark, sf_dir), table).select(*[c.alias(n) for n, c in cols.items()])
+        return getattr(Domain(spark, sf_dir), table).select(*[c.alias(n) for n, c in cols().items()])
 
     return run
 
@@ -34,13 +36,13 @@ _register(
     "name_flags",
     """SELECT contractor_raw, regexp_matches(contractor_raw || ' joint  venture', '(?i)\\b(jv|joint\\s+ventures?)\\b') AND regexp_matches(contractor_raw, '(?i)\\b(jv|joint\\s+ventures?)\\b') AS plain_jv, lower(contractor_raw) LIKE '%works%' AS made_jv,
        lower(string_split(trim(contractor_raw), ' ')[1]) AS first, CASE WHEN trim(contractor_raw) = '' THEN '—' ELSE trim(contractor_raw) END AS dashed FROM awards""",
-    _select("awards", contractor_raw=F.col("contractor_raw"), plain_jv=text.is_joint_venture(F.col("contractor_raw")), made_jv=text.is_joint_venture(F.regexp_replace("contractor_raw", "(?i)works", "Joint  Ventures")), first=text.first_word(F.col("contractor_raw")), dashed=text.text_or_dash(F.col("contractor_raw"))),
+    _select("awards", lambda: dict(contractor_raw=F.col("contractor_raw"), plain_jv=text.is_joint_venture(F.col("contractor_raw")), made_jv=text.is_joint_venture(F.regexp_replace("contractor_raw", "(?i)works", "Joint  Ventures")), first=text.first_word(F.col("contractor_raw")), dashed=text.text_or_dash(F.col("contractor_raw")))),
 )
 _register(
     "note_texts",
     """SELECT award_uid, concat_ws('; ', nullif(trim(extraction_notes), ''), nullif(trim(base_contract_number), '')) AS joined, CASE WHEN length(work_description) > 18 THEN rtrim(substr(work_description, 1, 15)) || '...' ELSE work_description END AS cut,
        concat_ws(', ', nullif(trim(contractor_city), ''), nullif(trim(modification_number), '')) AS place, coalesce(nullif(trim(base_contract_number), ''), '') AS cell FROM awards""",
-    _select("awards", award_uid=F.col("award_uid"), joined=text.join_notes(F.col("extraction_notes"), F.col("base_contract_number")), cut=text.truncate(F.col("work_description"), 18), place=text.place(F.col("contractor_city"), F.col("modification_number")), cell=text.cell_text(F.col("base_contract_number"))),
+    _select("awards", lambda: dict(award_uid=F.col("award_uid"), joined=text.join_notes(F.col("extraction_notes"), F.col("base_contract_number")), cut=text.truncate(F.col("work_description"), 18), place=text.place(F.col("contractor_city"), F.col("modification_number")), cell=text.cell_text(F.col("base_contract_number")))),
 )
 _register(
     "competition_texts",
@@ -66,13 +68,13 @@ _register(
     """SELECT run_id, coalesce(format('{:.0f}%', round_even(confidence * 100, 0)), '—') AS pct, coalesce(format('{:.2f}', confidence), '—') AS conf, CASE WHEN confidence IS NOT NULL THEN least(0.6, greatest(0.2, confidence)) END AS held, coalesce(confidence, 0) < 0.7 AS unsure,
        round(CASE model WHEN 'small' THEN (input_tokens * 1.0 + output_tokens * 5.0) / 1e6 WHEN 'large' THEN (input_tokens * 5.0 + output_tokens * 25.0) / 1e6 ELSE 0 END, 6) AS usd,
        CAST(floor(input_tokens / 3.7) AS BIGINT) AS tin, CAST(floor(floor(input_tokens / 3.7) * 0.68) AS BIGINT) AS tout, least(9000, 500 + duration_ms * 7) AS budget, CAST(ceil(duration_ms / 20) AS BIGINT) AS calls FROM agent_runs""",
-    _select("agent_runs", run_id=F.col("run_id"), pct=values.percent(F.bround(F.col("confidence"), 2)), conf=values.confidence(F.col("confidence")), held=values.clamp(F.col("confidence"), 0.2, 0.6), unsure=values.needs_escalation(F.col("confidence")), usd=values.price(F.col("model"), F.col("input_tokens"), F.col("output_tokens")), tin=values.estimated_tokens(F.col("input_tokens"))[0], tout=values.estimated_tokens(F.col("input_tokens"))[1], budget=values.token_budget(F.col("duration_ms"), 500, 7, 9000), calls=values.calls(F.col("duration_ms"), 20)),
+    _select("agent_runs", lambda: dict(run_id=F.col("run_id"), pct=values.percent(F.bround(F.col("confidence"), 2)), conf=values.confidence(F.col("confidence")), held=values.clamp(F.col("confidence"), 0.2, 0.6), unsure=values.needs_escalation(F.col("confidence")), usd=values.price(F.col("model"), F.col("input_tokens"), F.col("output_tokens")), tin=values.estimated_tokens(F.col("input_tokens"))[0], tout=values.estimated_tokens(F.col("input_tokens"))[1], budget=values.token_budget(F.col("duration_ms"), 500, 7, 9000), calls=values.calls(F.col("duration_ms"), 20))),
 )
 _register(
     "money_forms",
     """SELECT award_uid, CASE WHEN amount_usd IS NULL THEN '—' WHEN amount_usd >= 1e6 THEN '$' || format('{:,.1f}', amount_usd / 1e6) || 'M' ELSE '$' || format('{:,}', amount_usd) END AS table_form,
        CASE WHEN amount_usd IS NULL THEN 'unstated' WHEN amount_usd * 1000 >= 1e9 THEN '$' || format('{:,.2f}', amount_usd * 1000 / 1e9) || 'B' ELSE '$' || format('{:,}', amount_usd * 1000) END AS fact_form FROM awards""",
-    _select("awards", award_uid=F.col("award_uid"), table_form=values.usd_view(F.col("amount_usd")), fact_form=values.usd_fact(F.col("amount_usd") * 1000)),
+    _select("awards", lambda: dict(award_uid=F.col("award_uid"), table_form=values.usd_view(F.col("amount_usd")), fact_form=values.usd_fact(F.col("amount_usd") * 1000))),
 )
 _STORED = "CASE event_id % 7 WHEN 0 THEN ' $' || CAST(event_id * 1000 AS VARCHAR) || '.7 ' WHEN 1 THEN ' Yes ' WHEN 2 THEN 'no' WHEN 3 THEN '' WHEN 4 THEN 'true' WHEN 5 THEN CAST(event_id AS VARCHAR) || 'x' ELSE '-' || CAST(event_id AS VARCHAR) END"
 _register(
@@ -89,12 +91,12 @@ _register(
 _register(
     "tag_lists",
     """SELECT award_uid, array_to_string(list_slice(list_filter(list_transform(string_split(coalesce(extraction_notes, '') || ';' || contractor_raw || '; ;a;b;c;d;e', ';'), lambda t: substr(trim(t), 1, 12)), lambda t: t <> ''), 1, 4), '|') AS tags FROM awards""",
-    _select("awards", award_uid=F.col("award_uid"), tags=F.array_join(text.tags(F.split(F.concat(F.coalesce("extraction_notes", F.lit("")), F.lit(";"), "contractor_raw", F.lit("; ;a;b;c;d;e")), ";"), 4, 12), "|")),
+    _select("awards", lambda: dict(award_uid=F.col("award_uid"), tags=F.array_join(text.tags(F.split(F.concat(F.coalesce("extraction_notes", F.lit("")), F.lit(";"), "contractor_raw", F.lit("; ;a;b;c;d;e")), ";"), 4, 12), "|"))),
 )
 _register(
     "hash_cuts",
     """SELECT award_uid, CAST('0x' || substr(sha256(award_uid), 1, 8) AS BIGINT) % 20 = 0 AS cut, sha256('{"max_tokens":400,"model":"small","prompt":"' || award_uid || '","schema":"s","system":"y"}') AS request FROM awards""",
-    _select("awards", award_uid=F.col("award_uid"), cut=keys.hash_boundary(F.col("award_uid"), 20), request=keys.cache_key(F.lit("small"), F.lit("y"), F.col("award_uid"), F.lit("s"), F.lit(400))),
+    _select("awards", lambda: dict(award_uid=F.col("award_uid"), cut=keys.hash_boundary(F.col("award_uid"), 20), request=keys.cache_key(F.lit("small"), F.lit("y"), F.col("award_uid"), F.lit("s"), F.lit(400)))),
 )
 
 # -- names and entities -------------------------------------------------------------------------------------------------
