@@ -13,7 +13,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,8 +115,8 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
     return map_batches(df, run, struct)
 
 
-def map_group_streams(df: DataFrame, keys: list[str], fn: Callable[[tuple, Iterator[pa.Table]], Iterator[pa.Table]], schema: StructType | str) -> DataFrame:
-    """``fn`` on the rows of each key, one key after another in a sorted partition; a key's rows come piece by piece."""
+def map_group_streams(df: DataFrame, keys: list[str], fn: Callable[[tuple, Iterator[pa.Table]], Iterator[pa.Table]], schema: StructType | str, order: Sequence[Column] = ()) -> DataFrame:
+    """``fn`` on the rows of each key, one key after another in a sorted partition; a key's rows come piece by piece, in ``order``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     struct = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
@@ -136,7 +136,7 @@ def map_group_streams(df: DataFrame, keys: list[str], fn: Callable[[tuple, Itera
             for out in fn(key, (t for _, t in pieces)):
                 yield from out.cast(arrow).to_batches()
 
-    return map_batches(df.repartition(*keys).sortWithinPartitions(*keys), run, struct)
+    return map_batches(df.repartition(*keys).sortWithinPartitions(*keys, *order), run, struct)
 
 
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: StructType | str) -> DataFrame:

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced_topk, divergence_rules, line_windows, minhash, packing, page_text, piece_codec, quality_fm, repeat_windows, warc
+from . import bitsliced_topk, conversation_repair, divergence_rules, importance_resampling, line_windows, minhash, packing, page_text
+from . import piece_codec, quality_fm, repeat_windows, token_counts, warc
 from .common import read
 
 #: Folder of public tokenizer files; the environment may name another.
@@ -66,9 +67,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digests(conversation_repair.damage(read(spark, sf_dir, "conversations")))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_fm, op2_piece_codec, op3_divergence_rules, op4_warc, op5_bitsliced_topk, op6_page_text, op7_minhash, op8_repeat_windows, op9_line_windows, op10_packing)}
+    own = (
+        op1_quality_fm, op2_piece_codec, op3_divergence_rules, op4_warc, op5_bitsliced_topk, op6_page_text, op7_minhash,
+        op8_repeat_windows, op9_line_windows, op10_packing, op11_importance_resampling, op12_conversation_repair, op13_token_counts,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op5_bitsliced_topk": bitsliced_topk.ORACLE, "op7_minhash": minhash.ORACLE, "op9_line_windows": line_windows.ORACLE}
+    return {
+        "op4_warc": warc.ORACLE, "op5_bitsliced_topk": bitsliced_topk.ORACLE, "op7_minhash": minhash.ORACLE,
+        "op9_line_windows": line_windows.ORACLE, "op11_importance_resampling": importance_resampling.ORACLE,
+    }
