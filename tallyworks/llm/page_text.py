@@ -2,16 +2,17 @@
 
 A page's blocks are its runs of text between block tags. Blocks in navigation,
 headers, footers, asides, forms, hidden parts, adverts, notices, comments and the like
-(by element, role, class or id) go; but <main> and <article> (or such roles) end all
-boilerplate that isn't navigation, footer, aside, dialog, hidden or a comment list.
+(by element, role, class or id) go. A class or id marks boilerplate only if all its words are marks or words of the
+layout ("ad-box", not "tag-sponsored"), and never an <article> or <main>. <main> and <article> (or such roles) end all
+boilerplate round them that isn't navigation, footer, aside, dialog, hidden or a comment list.
 
 On all pages template lines among the rest are found by comparison: pages are ordered
 by host and URL path, and each looks to both sides for the nearest page of its host that
 has another path and isn't a near copy (two thirds of the bytes in shared lines), as only
 lines that different pages share are template. Lines are aligned by a longest common
 subsequence with the page of the longer common path (the earlier one in a tie), and
-shared lines are deleted. Structure guards: lines in <main> or <article> go only if the
-page on the other side, where there is one, shares them too; marked content all of whose
+shared lines are deleted. Structure guards: lines in an <article> stay; lines in a <main> go only
+if the page on the other side, where there is one, shares them too; a <main> all of whose
 lines are shared stays, as does a page. Last, where a page marks content, that is the
 text; articles shorter than what else is left are teasers, and both are the text.
 
@@ -63,6 +64,8 @@ _OUTER_MARKS = _MARKS | {"header", "top", "bottom", "side"}
 _SHUT = {"nav", "footer", "aside", "dialog"}
 _SHUT_ROLES = _ROLES - {"banner", "search", "form"}
 _SHUT_MARKS = {"comment", "comments", "commentlist", "respond", "replies", "disqus"}
+#: Words that may stand beside a mark in a name of boilerplate; beside any other the name is taken to speak of the content (tag-sponsored, social-history).
+_LAYOUT = set("site page global primary secondary main left right top bottom inner outer box block bar area section list item items link links icon icons button buttons btn form text title wrapper container holder slot unit zone panel row col fixed sticky".split())
 #: Beside these the name speaks of the layout or the content itself.
 _INNOCENT = {"has", "no", "with", "without", "content", "main", "article", "post", "entry", "wrapper", "container", "layout", "page", "body"}
 
@@ -72,18 +75,17 @@ def _boilerplate(name: str, attrs: dict[str, str], in_content: bool) -> str:
     if name in ("html", "body", "main"):
         return ""
     role = attrs.get("role", "").lower()
+    is_content = name == "article" or role in ("article", "main")
     names = [set(re.split(r"[^a-z0-9]+", v)) for v in (*attrs.get("class", "").lower().split(), attrs.get("id", "").lower())]
-    names = [parts for parts in names if not parts & _INNOCENT]
+    names = [parts for parts in ({w for w in parts if w and not w.isdigit()} for parts in names) if not is_content and not parts & _INNOCENT]
     if name in _SHUT or role in _SHUT_ROLES or any(parts & _SHUT_MARKS for parts in names):
         return "x"
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
         return "x"
     if name in _DROPPED or (name == "header" and not in_content) or role in _ROLES:
         return "-"
-    if role == "main":
-        return ""
-    marks = _MARKS if in_content or name == "article" or role == "article" else _OUTER_MARKS
-    return "-" if any(parts & marks for parts in names) else ""
+    marks = _MARKS if in_content else _OUTER_MARKS
+    return "-" if any(parts & marks and parts <= marks | _LAYOUT for parts in names) else ""
 
 
 class _Tags:
@@ -122,8 +124,8 @@ class _Tags:
 def blocks(page: str) -> list[tuple[str, str]]:
     """(text, where) of the blocks in order.
 
-    where is "main", "article" or "" for what no boilerplate element holds, "below" for an article that one does
-    (a form round the page, an advert never closed), "-" or "x" for the rest. A <main> in there is a main.
+    where is "main", "within" (an article in a main), "article" or "" for what no boilerplate element holds, "below" for an
+    article that one does (a form round the page, an advert never closed), "-" or "x" for the rest. A <main> in there is a main.
     """
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # element, where its text belongs
@@ -178,13 +180,15 @@ def blocks(page: str) -> list[tuple[str, str]]:
         attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(inner)}
         outer = stack[-1][1] if stack else ""
         role = attrs.get("role", "").lower()
-        now = _boilerplate(name, attrs, outer in ("main", "article", "below"))
+        now = _boilerplate(name, attrs, outer in ("main", "within", "article", "below"))
         if outer == "x":
             now = "x"
         elif not now:
             now = outer
             if name == "main" or role == "main":
-                now = "main"
+                now = "main" if outer != "within" else outer
+            elif outer == "main" and (name == "article" or role == "article"):
+                now = "within"
             elif outer in ("", "-") and (name == "article" or role == "article"):
                 now = "article" if outer == "" else "below"
         stack.append((name, now))
@@ -198,7 +202,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
 
 
 def content(page: str) -> tuple[list[str], str]:
-    """Lines that structure leaves, and a letter for each: m in <main>, a in <article>, b in an article below boilerplate, o in none."""
+    """Lines that structure leaves, and a letter for each: m in <main>, w in an article there, a in <article>, b in an article below boilerplate, o in none."""
     found = [(t, "o" if w == "" else w[0]) for t, w in blocks(page) if w not in ("-", "x")]
     return [t for t, _ in found], "".join(w for _, w in found)
 
@@ -207,9 +211,9 @@ def chosen(lines: list[str], marks: str) -> list[str]:
     """The text among what differencing left: marked content, with what else is longer than it and so no frame or teaser."""
     size = dict.fromkeys("mabo", 0)
     for x, m in zip(lines, marks, strict=True):
-        size[m] += len(x)
+        size["m" if m == "w" else m] += len(x)
     if size["m"]:
-        keep = {"m", *(k for k in "ab" if size[k] > size["m"])}
+        keep = {"m", "w", *(k for k in "ab" if size[k] > size["m"])}
     elif size["a"]:
         keep = {"a", *(k for k in "bo" if size[k] > size["a"])}
     else:
@@ -241,13 +245,13 @@ def shared_lines(own: list, other: list) -> list[int]:
 
 
 def template_lines(own: list, marks: str, first: list | None, second: list | None) -> list[int]:
-    """Places of the lines to delete: those shared with ``first``; of marked content only those shared with ``second``, if there is one, as well.
+    """Places of the lines to delete: those shared with ``first``; of a <main> only those shared with ``second``, if there is one, as well.
 
-    Marked content all of whose lines would go stays, as does a page.
+    Lines of an <article> stay, whoever shares them. A <main> all of whose lines would go stays, as does a page.
     """
     if not own or first is None:
         return []
-    gone = shared_lines(own, first)
+    gone = [k for k in shared_lines(own, first) if marks[k] in "om"]
     if second is not None and any(marks[k] != "o" for k in gone):
         both = set(shared_lines(own, second))
         gone = [k for k in gone if marks[k] == "o" or k in both]

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, utf8
 
 LIMIT = 2048
-CHUNK, GROUP_SYMBOLS, MOST_STATES, KEPT_PAIRS = 256, 1 << 19, 300_000, 200_000
+CHUNK, GROUP_SYMBOLS, MOST_STATES, KEPT_PAIRS = 256, 1 << 19, 150_000, 200_000
 #: The word pattern that the outer automaton is written for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE, LETTER, NUMBER, OTHER = range(4)

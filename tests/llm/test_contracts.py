@@ -193,18 +193,44 @@ def page(lines, box="<article>{}</article>"):
     return "<body>" + box.format("".join(f"<p>{x}</p>" for x in lines)) + "</body>"
 
 
-def test_template_lines_go_from_marked_and_unmarked_pages(spark):
+def test_template_lines_go_but_those_of_articles_stay(spark):
     frame, plain = ["You are here", "Read more"], "<div>{}</div>"
     rows = [(k, f"http://a.example.com/n/{k}", page([frame[0], *paragraphs(k), frame[1]], "<article>{}</article>" if k < 4 else plain)) for k in range(8)]
     rows.append((8, "http://b.example.com/n/8", page([*frame, *paragraphs(8)])))  # alone on its host
     quote = "A sentence quoted by one page only"
     rows += [(k, f"http://c.example.com/n/{k}", page([*paragraphs(k), *([quote] if k < 11 else [])])) for k in (9, 10, 11)]
     got = extracted(spark, rows)
-    assert all(got[k] == paragraphs(k) for k in range(8))
+    assert all(got[k] == paragraphs(k) for k in range(4, 8))
+    assert all(got[k] == [frame[0], *paragraphs(k), frame[1]] for k in range(4))
     assert got[8] == [*frame, *paragraphs(8)]
     assert got[10] == [*paragraphs(10), quote]  # 11 doesn't share it
 
 
+def test_main_loses_what_both_sides_share_but_not_its_articles(spark):
+    frame = ["You are here", "Read more"]
+    box = "<main><p>You are here</p><article>{}</article><p>Read more</p></main>"
+    got = extracted(spark, [(k, f"http://a.example.com/n/{k}", page(["By Jane Doe", *paragraphs(k)], box)) for k in range(4)])
+    assert all(got[k] == ["By Jane Doe", *paragraphs(k)] for k in range(4))
+    assert extracted(spark, [(1, "http://a.example.com/1", page(paragraphs(1), box))]) == {1: [frame[0], *paragraphs(1), frame[1]]}
+
+
+def test_lines_that_articles_share_stay(spark):
+    got = extracted(spark, [(k, f"http://a.example.com/n/{k}", page(["By Jane Doe", *paragraphs(k)])) for k in range(3)])
+    assert all(got[k] == ["By Jane Doe", *paragraphs(k)] for k in range(3))
+
+
+@pytest.mark.parametrize("box", ['<article class="post category-social">{}</article>', '<article class="post-12 tag-sponsored">{}</article>', '<section id="banner-story">{}</section>', '<div class="social-history">{}</div>',
+    '<article class="comments" id="sidebar">{}</article>', '<div role="main" class="ad">{}</div>', '<main id="menu">{}</main>', '<article><div class="login-story">{}</div></article>', '<div class="category-social-3"><article>{}</article></div>'])
+def test_class_words_drop_no_content(box):
+    lines, marks = page_text.content(page(paragraphs(1), box))
+    assert page_text.chosen(lines, marks) == paragraphs(1)
+
+
+@pytest.mark.parametrize("name", ["ad", "ads-top", "sidebar-2", "site-footer", "cookie-notice", "newsletter_signup", "share-buttons", "nav links"])
+def test_names_of_boilerplate(name):
+    assert page_text.content(f'<div class="{name}"><p>Chrome</p></div><p>Text</p>') == (["Text"], "o")
+
+
 def test_teaser_article_is_not_the_text(spark):
     teaser = "<article><h2>Another story</h2></article>"
     got = extracted(spark, [(1, "http://a.example.com/1", f"<body>{teaser}" + page(paragraphs(1), "<div>{}</div>")), (2, "http://b.example.com/2", "<body><div>A short remark</div>" + page(paragraphs(2)))])
