@@ -149,6 +149,25 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table
     return map_group_streams(df, keys, run, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def packed(df: DataFrame, *own: str) -> DataFrame:
+    """The columns ``own`` and all others in one column ``rest``, where no name of theirs can meet one of an operator."""
+    rest = [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in own]
+    return df.select(*own, (F.struct(*rest) if rest else F.lit(True)).alias("rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], *own: str) -> list[Column]:
+    """The columns of what ``packed`` was made from, in their order."""
+    return [F.col(c) if c in own else F.col("rest").getField(c).alias(c) for c in columns]
+
+
 def utf8(text: Column | str = "text") -> Column:
     """The text as UTF-8 bytes; null as empty."""
     return F.coalesce((F.col(text) if isinstance(text, str) else text).cast("binary"), F.lit(b""))

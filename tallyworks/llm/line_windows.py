@@ -11,7 +11,7 @@ Defined results: null text stays null and has no lines; texts of fewer than thre
 lose nothing; blank-only windows don't count; a text that loses all its lines becomes
 empty; rows with equal doc_id and text count as one place, those with one doc_id and
 other texts come in the order of their digests, null doc_ids first; empty table, empty
-result. All other columns of the input stay as they are.
+result. All other columns of the input stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, packed, unpacked
 
 WIDTH = 3
 
@@ -50,20 +50,22 @@ def covered(docs: DataFrame) -> DataFrame:
     return later.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.digest").alias("digest")).agg(F.array_sort(F.collect_set("place.line")).alias("starts"))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated lines gone from ``text``, and n_lines, n_removed."""
-    hits = covered(docs).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("starts").alias("__starts"))
-    own = docs.withColumn("__own", _digest(F.coalesce("text", F.lit(""))))
-    both = own.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left")
-    cut = both.withColumn("__lines", _lines())
+def remove_repeats(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """``docs`` with the repeated lines gone from ``text``, and with ``counts`` n_lines and n_removed, in place of columns of those names."""
+    hits = covered(docs).select(F.col("doc_id").alias("id"), F.col("digest").alias("hit"), "starts")
+    own = packed(docs, "doc_id", "text").withColumn("digest", _digest(F.coalesce("text", F.lit(""))))
+    both = own.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("hit")), "left")
+    cut = both.withColumn("lines", _lines())
     # what lies between the covered runs, as slices: in all as long as the text has lines
-    begins = F.concat(F.array(F.lit(0)), F.transform("__starts", lambda s: s + WIDTH))
-    gaps = F.arrays_zip(begins.alias("a"), F.concat("__starts", F.array(F.size("__lines"))).alias("b"))
-    kept = F.flatten(F.transform(gaps, lambda g: F.slice("__lines", g["a"] + 1, F.greatest(g["b"] - g["a"], F.lit(0)))))
-    cut = cut.withColumn("__kept", F.when(F.col("__starts").isNotNull(), kept))
-    text = F.when(F.col("__starts").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).cast("long")
-    return cut.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), F.when(F.col("__starts").isNull(), 0).otherwise(F.size("__lines") - F.size("__kept")).cast("long").alias("n_removed"))
+    begins = F.concat(F.array(F.lit(0)), F.transform("starts", lambda s: s + WIDTH))
+    gaps = F.arrays_zip(begins.alias("a"), F.concat("starts", F.array(F.size("lines"))).alias("b"))
+    left = F.flatten(F.transform(gaps, lambda g: F.slice("lines", g["a"] + 1, F.greatest(g["b"] - g["a"], F.lit(0)))))
+    cut = cut.withColumn("left", F.when(F.col("starts").isNotNull(), left))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    n_removed = F.when(F.col("starts").isNull(), 0).otherwise(F.size("lines") - F.size("left")).cast("long")
+    out = cut.select("doc_id", F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.array_join("left", "\n")).alias("text"), "rest", n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    added = ["n_lines", "n_removed"] if counts else []
+    return out.select(*unpacked(out, [c for c in docs.columns if c not in added], "doc_id", "text"), *added)
 
 
 ORACLE = """

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, map_groups, map_rows, materialize, utf8
+from .common import drop_scratch, map_groups, map_rows, materialize, packed, unpacked, utf8
 from .components import components, grown
 
 BANDS, ROWS, WIDTH, PERCENT = 32, 5, 5, 80
@@ -260,8 +260,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component; of rows that share a doc_id, all."""
-    gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    left = packed(docs, "doc_id").join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    return left.select(unpacked(left, docs.columns, "doc_id"))
 
 
 ORACLE = """

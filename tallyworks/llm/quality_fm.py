@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches, map_rows, utf8
+from .common import held_out, map_batches, map_rows, packed, unpacked, utf8
 
 DIM, FACTORS, SAMPLE_ROWS = 1 << 15, 8, 6000
 STATS = 12
@@ -164,12 +164,13 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
 def keep_good(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose score reaches the threshold."""
     scores = _scorer(docs.sparkSession, model)
-    text, n_chars = docs.columns.index("text"), docs.columns.index("n_chars")
+    slim = packed(docs, "text", "n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                s = scores([(t or "").encode() for t in batch.column(text).to_pylist()], batch.column(n_chars).to_pylist())
+                s = scores([(t or "").encode() for t in batch.column(0).to_pylist()], batch.column(1).to_pylist())
                 yield batch.filter(pa.array(s >= threshold))
 
-    return map_batches(docs, run, docs.schema)
+    left = map_batches(slim, run, slim.schema)
+    return left.select(unpacked(left, docs.columns, "text", "n_chars"))

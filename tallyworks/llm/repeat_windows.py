@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, map_group_streams, map_groups, materialize, trim, utf8
+from .common import map_batches, map_group_streams, map_groups, materialize, packed, trim, unpacked, utf8
 
 WINDOW, GRAM = 50, 16
 SPAN = WINDOW - GRAM + 1
@@ -378,7 +378,7 @@ def _send_bytes(routes: int):
                 hit = np.flatnonzero((asked[at] == look) & (doc[r["text"]] == low[at]))
                 hit = hit[np.unique(look[hit], return_index=True)[1]]
                 hit = hit[np.argsort(doc[r["text"][hit]], kind="stable")]
-                chunk = docs.column("__chunk")[0].as_py()
+                chunk = docs.column("chunk")[0].as_py()
                 anchor, own, name, lead = ((r["anchor"] & _ANCHOR40).astype(np.int64), doc[r["text"]], look.view(np.int64), r["lead"])
                 body = lambda i: texts[r["text"][i]][r["first"][i] : r["first"][i] + r["count"][i] + WINDOW - 1]
                 whole, each = hit[need[at[hit]] == 1], hit[need[at[hit]] == 2]
@@ -497,8 +497,8 @@ def _plan(docs: DataFrame, finish, schema) -> DataFrame:
     chunks = max(1, -(-size // CHUNK_BYTES))
     buckets = max(1, -(-size // (BUCKET_RUNS * SPAN // 2)))
     spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.octet_length("text"))  # rows without id lose nothing wherever they are
-    placed = docs.withColumn("__chunk", F.pmod(F.xxhash64("doc_id", spread), F.lit(chunks)))
-    rest = map_batches(placed.where("doc_id IS NOT NULL").select("__chunk", F.col("doc_id").cast("long").alias("doc_id"), utf8()), _send_runs(buckets), PACKED)
+    placed = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", spread), F.lit(chunks)))
+    rest = map_batches(placed.where("doc_id IS NOT NULL").select("chunk", F.col("doc_id").cast("long").alias("doc_id"), utf8()), _send_runs(buckets), PACKED)
     rest = rest.withColumn("bucket", F.col("bucket") * 2)
     answers = []
     for level in range(LEVELS + 1):
@@ -510,7 +510,7 @@ def _plan(docs: DataFrame, finish, schema) -> DataFrame:
     first = functools.reduce(DataFrame.unionByName, answers)
     asked = first.agg(F.sum("asked").alias("n")).first().n or 0
     routes = max(1, -(-asked // ROUTE_RUNS))
-    by_chunk = placed.groupBy("__chunk")
+    by_chunk = placed.groupBy("chunk")
     requests = by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(_send_bytes(routes), REQUEST)
     second = map_groups(requests, ["route"], _resolve, ANSWER)
 
@@ -547,7 +547,8 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with covered bytes cut out of ``text``; what is left of a character cut in two goes as well."""
-    columns = docs.columns
+    slim = packed(docs, "doc_id", "text")
+    columns = slim.columns
 
     def finish(rows: pa.Table, texts: list[bytes], bounds: np.ndarray, gone: np.ndarray) -> pa.Table:
         whole = np.frombuffer(b"".join(texts), np.uint8)
@@ -556,4 +557,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         at = columns.index("text")
         return rows.select(columns).set_column(at, "text", pa.array(text, rows.schema.field("text").type))
 
-    return _plan(docs, finish, docs.schema)
+    out = _plan(slim, finish, slim.schema)
+    return out.select(unpacked(out, docs.columns, "doc_id", "text"))

@@ -512,6 +512,46 @@ def test_rows_that_share_an_id_are_one_document(spark):
     assert got == sorted([(5, 2, False)] * 3 + [(2, 2, True), (9, 2, False), (7, 3, False), (3, 3, True), (8, 8, True), (None, None, True), (None, None, True)], key=str)
 
 
+CLASHING = "id digest hit starts lines left rest gone chunk own kept shard level node band __id __digest __starts __own __lines __kept __gone __chunk __had_word had_word n_lines n_removed held_out a.b".split()
+
+
+def clashing(spark, texts):
+    """Documents with columns that operators use inside."""
+    names = [*SCHEMA.replace("node string, band string", "").split()[:-1:2], *CLASHING]
+    rows = [(i, t, "en", "s", len(t or ""), *(f"{c} of {i}" for c in CLASHING)) for i, t in texts]
+    kinds = ["long", "string", "string", "string", "long", *["string"] * len(CLASHING)]
+    return spark.createDataFrame(rows, ", ".join(f"`{n.replace('`', '``')}` {k}" for n, k in zip(names, kinds, strict=True)))
+
+
+def unchanged(frame):
+    rows = frame.collect()
+    assert rows and all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in CLASHING if c in frame.columns)
+    return {r["doc_id"]: r["text"] for r in rows}
+
+
+def test_clashing_names_come_back_unchanged(spark, texts):
+    docs = clashing(spark, texts)
+    plain = docs.select("doc_id", "text", "n_chars")
+    for remove in (lambda d: line_windows.remove_repeats(d, counts=False), minhash.keep_first, repeat_windows.remove_repeats):
+        got = remove(docs)
+        assert got.columns == docs.columns
+        assert unchanged(got) == {r.doc_id: r.text for r in remove(plain).collect()}
+    counted = line_windows.remove_repeats(docs)
+    assert counted.columns == [*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed"]
+    assert unchanged(counted.drop("n_lines", "n_removed"))
+    assert {r.doc_id: (r.n_lines, r.n_removed) for r in counted.collect()} == {r.doc_id: (r.n_lines, r.n_removed) for r in line_windows.remove_repeats(plain).collect()}
+    model = quality_fm.train(plain, spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int"))
+    good = quality_fm.keep_good(docs, model, 0.3)
+    assert unchanged(good) == {r.doc_id: dict(texts)[r.doc_id] for r in quality_fm.score(plain, model, 0.3).where("predicted = 1").collect()}
+
+
+def test_operators_read_past_clashing_names(spark, texts):
+    docs, plain = clashing(spark, texts), table(spark, texts)
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    for make in (lambda d: minhash.near_duplicates(d, 2), repeat_windows.measure, lambda d: packing.pieces(d, path), lambda d: piece_codec.round_trip(d, queries.tokenizer_path("piece_bpe_32k.model")), lambda d: divergence_rules.judge(d, divergence_rules.references(d))):
+        assert sorted(make(docs).collect(), key=str) == sorted(make(plain).collect(), key=str)
+
+
 def test_lines_of_odd_rows(spark):
     x = "a one\nb two\nc three"
     docs = table(spark, [(1, x), (1, x), (2, f"{x}\nd\nb two\nc three\nd"), (3, None), (4, ""), (5, "\n\n\n\n"), (6, "\n\n\n"), (None, f"p\n{x}\nq"), (7, "z\n" * 5000)])

@@ -3,6 +3,7 @@
 import random
 import re
 
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -69,6 +70,8 @@ def test_run_by_brute_force(spark, tmp_path, monkeypatch):
     base = ["\n".join(line() for _ in range(rng.randrange(1, 7))) for _ in range(30)]
     texts = [*base, *base[:12], *base[:3], base[3] + "\n\n\n\n", None, "", " \n\n\n ", base[20].split("\n")[0][:70], "new words, then " + base[21].split("\n")[0]]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    extra = {c: F.concat(F.lit(f"{c} of "), "doc_id") for c in ("__had_word", "had_word", "__id", "starts", "rest", "gone", "chunk", "n_lines", "n_removed", "shard")}
+    docs = docs.withColumns(extra)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     # the classifier has tests of its own; here all documents pass it
     monkeypatch.setattr(corpus_pipeline, "STAGES", [("quality classifier", lambda spark, docs, sf_dir: docs), *corpus_pipeline.STAGES[1:]])
@@ -79,6 +82,7 @@ def test_run_by_brute_force(spark, tmp_path, monkeypatch):
         steps.append(want)
     for (_, stage), expected in zip(corpus_pipeline.STAGES[1:4], steps, strict=True):
         docs = stage(spark, docs, str(tmp_path))
+        assert all(r[c] == f"{c} of {r.doc_id}" for r in docs.collect() for c in extra)
         assert {r.doc_id: (r.text, r.n_chars) for r in docs.collect()} == {i: (t, len(t or "")) for i, t in expected.items()}
     tok = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
     got = {}
