@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworks.llm import line_windows, minhash, packing, quality_fm, repeat_windows
-from tallyworks.llm.common import drop_scratch, finished, read
+from tallyworks.llm.common import drop_scratch, finished, free_name, read
 from tallyworks.llm.queries import tokenizer_path
 
 
@@ -25,8 +25,9 @@ def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
 def _without_emptied(remove: Callable[[DataFrame], DataFrame], docs: DataFrame) -> DataFrame:
     """``remove(docs)`` less the documents that had words before and have none after."""
     has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    left = remove(docs.withColumn("__had_word", has_word))
-    return _recounted(left.where(~F.col("__had_word") | has_word), docs.columns)
+    had_word = free_name(docs, "had_word")
+    left = remove(docs.withColumn(had_word, has_word))
+    return _recounted(left.where(~F.col(had_word) | has_word), docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines of three-line windows that occurred before; texts left without a word go."""
-    return _without_emptied(line_windows.remove_repeats, docs)
+    return _without_emptied(lambda d: line_windows.remove_repeats(d, counts=False), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
