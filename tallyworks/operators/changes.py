@@ -25,7 +25,7 @@ def new_announcements(before: DataFrame, after: DataFrame) -> DataFrame:
     return conform(ids.select(*_row("new_announcement", keys.uid(F.lit("new_announcement"), F.col("announcement_id")), announcement_id=F.col("announcement_id"))), "changes")
 
 
-def _about(awards: DataFrame, entities: DataFrame, materiality: DataFrame) -> DataFrame:
+def about(awards: DataFrame, entities: DataFrame, materiality: DataFrame) -> DataFrame:
     """award_uid, announcement_id, ticker, score."""
     tickers = entities.groupBy("contractor_raw").agg(F.first("ticker").alias("ticker"))
     return awards.select("award_uid", "announcement_id", "contractor_raw").join(tickers, "contractor_raw", "left").join(materiality.select("award_uid", F.col("score").alias("materiality_score")), "award_uid", "left").drop("contractor_raw")
@@ -60,15 +60,18 @@ def rescored(before: DataFrame, materiality: DataFrame, about: DataFrame) -> Dat
     return _with_facts(moved.select(*_row("rescored", keys.uid(F.lit("rescored"), F.col("award_uid"), F.col("s0"), F.col("s1")), award_uid=F.col("award_uid"), prev_value=said("s0", "t0"), new_value=said("s1", "t1"))), about)
 
 
-def detect_changes(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
-    """All five kinds between two sets of the tables announcements, awards, contracts, entities, materiality (contracts and entities of ``after`` only)."""
-    about = _about(after["awards"], after["entities"], after["materiality"])
+def detect_changes(before: dict[str, DataFrame], after: dict[str, DataFrame], facts: DataFrame | None = None) -> DataFrame:
+    """All five kinds between two sets of the tables announcements, awards, contracts, entities, materiality (contracts and entities of ``after`` only).
+
+    The sets may hold just the rows that differ; then ``facts`` are those of ``about`` for their awards.
+    """
+    facts = facts if facts is not None else about(after["awards"], after["entities"], after["materiality"])
     out = new_announcements(before["announcements"], after["announcements"])
     for part in (
-        new_awards(before["awards"], after["awards"], about),
-        tracked_modifications(after["awards"], after["contracts"], about),
-        amount_changes(before["awards"], after["awards"], about),
-        rescored(before["materiality"], after["materiality"], about),
+        new_awards(before["awards"], after["awards"], facts),
+        tracked_modifications(after["awards"], after["contracts"], facts),
+        amount_changes(before["awards"], after["awards"], facts),
+        rescored(before["materiality"], after["materiality"], facts),
     ):
         out = out.unionByName(part)
     return out

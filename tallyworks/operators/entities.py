@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, values
-from ..registry import RELATIONSHIPS, conform
+from ..registry import RELATIONSHIPS, TABLES, conform
 from .tables import keep_first
 
 #: Alias and price tables up to this many bytes are broadcast; larger ones are joined by a shuffle.
@@ -86,6 +86,14 @@ def load_fact_map(entries: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.max_by("record", F.struct(F.coalesce("confidence", F.lit(-1.0)), "record")).alias("record"), F.max("confidence").alias("confidence"), merged.alias("raw_variants"))
 
 
+def known_records(names: DataFrame, fact_map: DataFrame) -> DataFrame:
+    """Entity rows of printed names (contractor_raw) whose normalized name the fact map holds."""
+    keyed = names.select("contractor_raw").where("contractor_raw IS NOT NULL").distinct().withColumn("key", text.normalize_name(F.col("contractor_raw")))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TABLES["entities"] if f.name != "contractor_raw")
+    found = keyed.join(fact_map.select("key", F.from_json("record", kinds).alias("r")), "key")
+    return conform(found.select("contractor_raw", "r.*"), "entities")
+
+
 def coerce(answers: DataFrame) -> DataFrame:
     """Entity rows of model answers (contractor_raw and text columns): closed list, confidence in range, contradictions capped at 0.5 and noted."""
     ticker = F.upper(text.clean(F.col("ticker")))

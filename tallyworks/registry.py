@@ -55,11 +55,24 @@ def _schema(table: str) -> StructType:
 
 
 TABLES: dict[str, StructType] = {t: _schema(t) for t in _COLUMNS}
+#: Tables of the engine itself, beside the contract: answers by content address, and items that an oracle failed on.
+SIDE_TABLES: dict[str, StructType] = {
+    t: StructType([StructField(n, _TYPES[k]) for n, k in (c.split() for c in names.split(", "))])
+    for t, names in {
+        "answers": "cache_key string, model string, label string, output string, input_tokens bigint, output_tokens bigint, created_at timestamp",
+        "quarantine": "item_id string, tick_id string, agent string, item_key string, error string, flagged_at timestamp",
+        "document_states": "announcement_id string, state string, attempts int, changed_at timestamp",
+    }.items()
+}
 KEYS: dict[str, str] = {t: s.fields[0].name for t, s in TABLES.items()}
 
 
+def schema_of(table: str) -> StructType:
+    return TABLES[table] if table in TABLES else SIDE_TABLES[table]
+
+
 def columns(table: str) -> list[str]:
-    return TABLES[table].fieldNames()
+    return schema_of(table).fieldNames()
 
 
 def primary_key(table: str) -> str:
@@ -86,7 +99,7 @@ def conform(df: DataFrame, table: str, *keep: str) -> DataFrame:
         kind = f.dataType.simpleString()
         return (c.cast("string") if kind == "string" else c.try_cast(kind)).alias(f.name)
 
-    return df.select([*map(one, TABLES[table]), *keep])
+    return df.select([*map(one, schema_of(table)), *keep])
 
 
 def ddl(table: str) -> str:

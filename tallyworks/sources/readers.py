@@ -12,16 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators.tables import keep_first
 from ..registry import TABLES, conform, empty
+from .files import current_path, exists
 
 PROVENANCE = "url string, fetched_at string, http_status int, sha256 string, n_bytes bigint"
 CACHE = "label string, model string, created_at string, key_inputs struct<system:string,prompt:string,schema:string,max_tokens:bigint>, usage struct<input_tokens:bigint,output_tokens:bigint>, output string"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """Name, change time and size of files as one text: another one means that something was written. "none" if nothing is there."""
     parts = []
@@ -125,10 +121,12 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fact_map(spark: SparkSession, path: str) -> DataFrame:
-    """Entries (name, record, confidence, raw_variants) of a JSON object by name; missing or corrupt is empty."""
+    """Entries (name, record, confidence, raw_variants) of a JSON object by name, or of ``write_fact_map``'s lines; missing or corrupt is empty."""
     schema = "name string, record string, confidence double, raw_variants array<string>"
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
+    if (now := current_path(spark, path)) != path:
+        return spark.read.schema("key string, record string, confidence double, raw_variants array<string>").json(now).withColumnRenamed("key", "name")
     whole = whole_files(spark, path).select(F.when(F.try_parse_json("value").isNotNull(), F.from_json("value", "map<string,string>")).alias("m"))
     return whole.select(F.explode("m").alias("name", "record")).select("name", "record", F.get_json_object("record", "$.confidence").try_cast("double").alias("confidence"), F.from_json(F.get_json_object("record", "$.raw_variants"), "array<string>").alias("raw_variants"))
 

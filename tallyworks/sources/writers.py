@@ -1,116 +1,15 @@
-"""Tables as versioned Parquet folders: create, upsert, migrate, export."""
+"""Logs, fact maps, caches and transcripts; the keyed tables are in ``store``."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators.tables import set_values, upsert
-from ..registry import KEYS, TABLES, conform, empty, missing_columns
-from .readers import exists
-
-CSV_TABLES = ["announcements", "awards", "contracts", "entities", "materiality", "changes"]
-
-
-class Store:
-    """A folder with one sub-folder per table; a write makes a new version, then moves the pointer to it.
-
-    Readers of the old version are undisturbed and a failed write leaves nothing behind that is read. Any Hadoop path will do.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self, path: str) -> tuple:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _versions(self, table: str) -> list[str]:
-        fs, p = self._fs(f"{self.root}/{table}")
-        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        return sorted(n for n in names if n.startswith("v") and exists(self.spark, f"{self.root}/{table}/{n}/_SUCCESS"))
-
-    def read(self, table: str, version: int = -1) -> DataFrame:
-        """The newest version, or an older one: -2 is the one before."""
-        found = self._versions(table)
-        if len(found) < -version:
-            return empty(self.spark, table)
-        return conform(self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/{table}/{found[version]}"), table)
-
-    def write(self, table: str, df: DataFrame) -> None:
-        found = self._versions(table)
-        number = int(found[-1].split("-")[0][1:]) + 1 if found else 1
-        conform(df, table).write.parquet(f"{self.root}/{table}/v{number:08d}-{uuid.uuid4().hex[:8]}")
-
-    def create(self) -> None:
-        for t in TABLES:
-            if not self._versions(t):
-                self.write(t, empty(self.spark, t))
-
-    def stage(self, rows: DataFrame) -> DataFrame:
-        """``rows`` written once beside the tables: what made them isn't asked again, however often they are read."""
-        path = f"{self.root}/_staged/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
-
-    def unstage(self) -> None:
-        fs, p = self._fs(f"{self.root}/_staged")
-        fs.delete(p, True)
-
-    def upsert(self, table: str, rows: DataFrame, position: str | None = None) -> int:
-        """Rows in place of those with their keys; the number of distinct keys written.
-
-        ``position`` orders repeats, the last wins; without it the repeat with the greatest hash of its contents does, whatever the order of rows.
-        """
-        at = position or "__pos"
-        rows = conform(rows if position else rows.withColumn(at, F.xxhash64(*rows.columns)), table, at)
-        rows = self.stage(rows)
-        self.write(table, upsert(self.read(table), rows, KEYS[table], at))
-        return rows.select(KEYS[table]).distinct().count()
-
-    def mark_statuses(self, statuses: DataFrame) -> None:
-        """Sets extraction_status from (announcement_id, status)."""
-        patch = statuses.select("announcement_id", F.col("status").alias("extraction_status"))
-        self.write("announcements", set_values(self.read("announcements"), patch, "announcement_id", "extraction_status"))
-
-    def mark_status(self, announcement_ids: DataFrame, status: str) -> None:
-        self.mark_statuses(announcement_ids.select("announcement_id", F.lit(status).alias("status")))
-
-    def migrate(self) -> dict[str, list[str]]:
-        """Columns the newest versions lack, added as null; nothing is dropped or retyped."""
-        added = {}
-        for t in TABLES:
-            if found := self._versions(t):
-                raw = self.spark.read.parquet(f"{self.root}/{t}/{found[-1]}")
-                if gone := missing_columns(raw, t):
-                    added[t] = gone
-                    self.write(t, raw)
-        return added
-
-    def vacuum(self, keep: int = 2) -> None:
-        for t in TABLES:
-            for old in self._versions(t)[:-keep]:
-                fs, p = self._fs(f"{self.root}/{t}/{old}")
-                fs.delete(p, True)
-
-    def export(self, folder: str) -> list[str]:
-        """Every table as Parquet, six also as CSV with a header."""
-        out = []
-        for t in TABLES:
-            df = self.read(t)
-            df.write.mode("overwrite").parquet(f"{folder}/{t}.parquet")
-            out.append(f"{t}.parquet")
-            if t in CSV_TABLES:
-                df.write.mode("overwrite").option("header", True).csv(f"{folder}/{t}.csv")
-                out.append(f"{t}.csv")
-        return out
-
-    def counts(self) -> dict[str, int]:
-        return {t: self.read(t).count() for t in TABLES}
+from .files import exists, with_retry, write_versioned
+from .store import CSV_TABLES, Conflict, Store
 
+__all__ = ["CSV_TABLES", "Conflict", "Store", "append_log", "transcript_markdown", "write_cache", "write_fact_map"]
 
 LOG_HEADER = "# Activity log"
 
@@ -121,18 +20,13 @@ def append_log(spark: SparkSession, folder: str, who: str, lines: list[str], kin
         spark.createDataFrame([(LOG_HEADER,)], "line string").coalesce(1).write.mode("append").text(folder)
     mark = {"spawn": "started: ", "done": "finished: "}.get(kind, "")
     rows = spark.createDataFrame([(mark + x,) for x in lines], "line string").coalesce(1)
-    rows.select(F.concat(F.lit("`"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"), F.lit(f" {who}` "), "line")).write.mode("append").text(folder)
+    stamped = rows.select(F.concat(F.lit("`"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"), F.lit(f" {who}` "), "line"))
+    with_retry(lambda: stamped.write.mode("append").text(folder))
 
 
 def write_fact_map(records: DataFrame, path: str) -> None:
-    """Name and record, sorted, as JSON lines in one folder. The new folder is written beside the old one and then takes its place."""
-    spark = records.sparkSession
-    new = f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}"
-    records.orderBy("key").write.json(new)
-    old, fresh = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new))
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(fresh, old)
+    """Name and record, sorted, as JSON lines in a new folder; then the pointer moves to it, so no reader finds nothing."""
+    write_versioned(records.orderBy("key"), path)
 
 
 def write_cache(answers: DataFrame, path: str) -> None:

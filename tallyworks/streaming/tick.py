@@ -14,14 +14,17 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import values
+from ..functions import keys, values
 from ..operators import changes, entities, events, scoring, telemetry
+from ..operators import oracle as oracles
 from ..registry import KEYS, columns, conform, table_for
-from ..sources.readers import manifest_rows
-from ..sources.writers import Store
+from ..sources.readers import manifest_rows, read_fact_map
+from ..sources.store import Store
+from ..sources.writers import write_fact_map
+from . import upkeep
 
 STAGES = ["extract", "resolve", "score"]
 _TABLE = {"extract": "awards", "resolve": "entities", "score": "materiality"}
@@ -30,7 +33,7 @@ _TABLE = {"extract": "awards", "resolve": "entities", "score": "materiality"}
 class Agent(Protocol):
     """What a stage offers: its queue, and its rows for that queue.
 
-    Optional: ``key`` (the queue's id column), ``free`` (its oracle costs nothing, so failed items are tried one by one), ``chunk_size``
+    Optional: ``key`` (the queue's id column), ``oracle`` (a ``CachedOracle`` that ``run`` asks), ``free`` (asking again costs nothing), ``chunk_size``
     (items persisted together), ``chars`` (a column that a call's price grows with) and ``model``, ``second`` (rows of a second oracle for
     unsure ones), ``after_write`` (called with the store and the queue), ``skills_path``.
     """
@@ -91,8 +94,18 @@ class Tripwire:
 class Extract:
     name, key, chars = "extract", "announcement_id", "body_chars"
 
-    def __init__(self, answers: Callable[[DataFrame], DataFrame]):
-        self.answers = answers
+    def __init__(self, answers: Callable[[DataFrame], DataFrame], oracle: oracles.CachedOracle | None = None):
+        self.answers, self.oracle = answers, oracle
+
+    @classmethod
+    def asking(cls, oracle: oracles.CachedOracle) -> Extract:
+        """Documents' payloads are the oracle's outputs, kept by content address."""
+
+        def answers(items: DataFrame) -> DataFrame:
+            got = oracle(items).withColumns({"payload": F.col("output"), "skills_version": F.lit(None).cast("string"), "extracted_at": F.current_timestamp()})
+            return got.select("announcement_id", "announced_date", "payload", "model", "cache_key", "skills_version", "extracted_at")
+
+        return cls(answers, oracle)
 
     def detect(self, store: Store) -> DataFrame:
         return store.read("announcements").where("extraction_status = 'pending'")
@@ -110,8 +123,9 @@ class Extract:
 class Resolve:
     name, key = "resolve", "contractor_raw"
 
-    def __init__(self, aliases: DataFrame, answers: Callable[[DataFrame], DataFrame] | None = None, second: Callable[[DataFrame], DataFrame] | None = None):
-        self.aliases, self.answers = aliases, answers
+    def __init__(self, aliases: DataFrame, answers: Callable[[DataFrame], DataFrame] | None = None, second: Callable[[DataFrame], DataFrame] | None = None, facts: str | None = None):
+        """``facts``: the path of a fact map, looked up before all else and given what was newly resolved."""
+        self.aliases, self.answers, self.facts = aliases, answers, facts
         self.second = second and (lambda items: entities.coerce(second(items)))
 
     def detect(self, store: Store) -> DataFrame:
@@ -120,6 +134,27 @@ class Resolve:
         return names.join(known.where("confidence >= 0.7").select("contractor_raw"), "contractor_raw", "left_anti")
 
     def run(self, items: DataFrame) -> DataFrame:
+        if self.facts:
+            known = entities.known_records(items, self._map(items))
+            return known.unionByName(self._matched(items.join(known.select("contractor_raw"), "contractor_raw", "left_anti")))
+        return self._matched(items)
+
+    def _map(self, near: DataFrame) -> DataFrame:
+        return entities.load_fact_map(read_fact_map(near.sparkSession, self.facts))
+
+    def after_write(self, store: Store, items: DataFrame) -> None:
+        """New companies of this queue join the fact map; placeholders and names under review don't."""
+        if not self.facts:
+            return
+        held = self._map(items)
+        review = store.read("review_queue").where("agent = 'resolve' AND NOT coalesce(resolved, false)")
+        kept = entities.to_persist(store.read_keys("entities", items), held, review)
+        fields = [c for c in columns("entities") if c not in ("contractor_raw", "resolved_at")]
+        new = kept.select("key", F.to_json(F.struct(*fields)).alias("record"), "confidence", F.array("contractor_raw").alias("raw_variants"))
+        if not new.isEmpty():
+            write_fact_map(held.select(new.columns).unionByName(new), self.facts)
+
+    def _matched(self, items: DataFrame) -> DataFrame:
         matched = entities.match_aliases(items, self.aliases)
         rows = entities.alias_records(matched)
         if self.answers is None:
@@ -191,56 +226,92 @@ def refusal(projected: float, limits: Limits) -> str | None:
 def dispatch(agent: Agent, queue: DataFrame, store: Store, tick_id: str, live: bool = False) -> dict[str, int]:
     """Rows of a queue, chunk by chunk: written, unsure ones asked again, still unsure ones queued for review, all recorded.
 
-    A chunk that fails is tried item by item if that costs nothing; else its items are recorded as failed and stay in the queue.
+    A ``CachedOracle`` of the agent (``oracle``) isolates the rows it fails on by itself; they go to quarantine, and its calls and tokens
+    into the run records. An agent that raises as a whole is asked again for each half of its items, if that costs nothing, until the
+    faulty ones stand alone; else its items are recorded as failed. Both stay in the queue. What Spark or the store raises ends the tick.
     """
     out = {"written": 0, "failed": 0, "escalated": 0, "review": 0}
     table = _TABLE.get(agent.name, "awards")
     size = getattr(agent, "chunk_size", None)
-    queue = store.stage(queue)
-    chunks = [queue]
-    if size:
-        ranked = store.stage(scoring.cumulative(queue.select(F.col(agent.key).alias("__k")).distinct().withColumn("n", F.lit(1)), "__k", "n").select("__k", F.floor(F.col("below") / size).alias("__c")))
-        last = ranked.agg(F.max("__c")).first()[0] or 0
-        chunks = [queue.join(ranked.where(F.col("__c") == k), queue[agent.key] == F.col("__k"), "left_semi") for k in range(last + 1)]
-
-    def persist(items: DataFrame) -> None:
-        rows = store.stage(agent.run(items))
+    oracle = getattr(agent, "oracle", None)
+    queue = store.stage(queue, tick_id)
+    ranks: list[DataFrame] = []
+
+    def ranked() -> DataFrame:
+        """Each key of the queue and its place in their order."""
+        if not ranks:
+            ranks.append(store.stage(scoring.cumulative(queue.select(F.col(agent.key).alias("__k")).distinct().withColumn("n", F.lit(1)), "__k", "n").select("__k", "below"), tick_id))
+        return ranks[0]
+
+    def part(low: int, high: int) -> DataFrame:
+        return queue.join(ranked().where((F.col("below") >= low) & (F.col("below") < high)), queue[agent.key] == F.col("__k"), "left_semi")
+
+    def asked(items: DataFrame) -> DataFrame:
+        """The agent's rows, with escalated and review: all that an oracle has a say in."""
+        rows = store.stage(agent.run(items), tick_id)
         confidence = telemetry.confidence_column(rows.columns)
-        key = KEYS[table_for([c for c in rows.columns if c != "confidence" or table == "entities"]) or table]
-        if getattr(agent, "second", None) and confidence:
-            unsure = rows.where(values.needs_escalation(F.col(confidence)))
-            again = store.stage(agent.second(items.join(unsure.select(key), key, "left_semi")))
-            rows = store.stage(scoring.escalate(rows, again, key))
-            flagged = rows.where("review")
-            out["review"] += store.upsert("review_queue", scoring.review_rows(flagged, agent.name, key, F.lit("low confidence")).withColumn("flagged_at", F.current_timestamp()))
-        else:
-            rows = rows.withColumn("escalated", F.lit(False))
+        if not (getattr(agent, "second", None) and confidence):
+            return rows.withColumns({"escalated": F.lit(False), "review": F.lit(False)})
+        key = key_of(rows)
+        unsure = rows.where(values.needs_escalation(F.col(confidence)))
+        again = store.stage(agent.second(items.join(unsure.select(key), key, "left_semi")), tick_id)
+        return store.stage(scoring.escalate(rows, again, key), tick_id)
+
+    def key_of(rows: DataFrame) -> str:
+        return KEYS[table_for([c for c in rows.columns if c not in ("confidence", "escalated", "review") or (c == "confidence" and table == "entities")]) or table]
+
+    def persist(rows: DataFrame) -> None:
+        key, confidence = key_of(rows), telemetry.confidence_column(rows.columns)
+        flagged = rows.where("review")
+        if confidence and not flagged.isEmpty():
+            out["review"] += store.upsert("review_queue", scoring.review_rows(flagged.drop("review"), agent.name, key, F.lit("low confidence")).withColumn("flagged_at", F.current_timestamp()))
         name = next((t for t in (table_for([c for c in rows.columns if c in columns(table)]), table) if t), table)
         out["written"] += store.upsert(name, rows)
         model = telemetry.model_column(columns(name))
-        told = rows.select(F.col(key).cast("string").alias("item_key"), F.coalesce(F.col(model), F.lit(getattr(agent, "model", "deterministic"))).alias("model") if model else F.lit("deterministic").alias("model"), (F.col(confidence).cast("double") if confidence else F.lit(None).cast("double")).alias("confidence"), "escalated")
+        told = rows.select(
+            F.col(key).cast("string").alias("item_key"),
+            F.coalesce(F.col(model), F.lit(getattr(agent, "model", "deterministic"))).alias("model") if model else F.lit("deterministic").alias("model"),
+            (F.col(confidence).cast("double") if confidence else F.lit(None).cast("double")).alias("confidence"),
+            "escalated",
+        )
         out["escalated"] += told.where("escalated").count()
-        runs = telemetry.record(told, tick_id, agent.name, 0, 0, int(live)).drop("escalated").join(told.select("item_key", "escalated"), "item_key")
+        (calls, used_in, used_out), failures = oracle.take() if oracle else ((int(live), 0, 0), [])
+        runs = telemetry.record(told, tick_id, agent.name, used_in, used_out, calls).drop("escalated").join(told.select("item_key", "escalated"), "item_key")
         store.upsert("agent_runs", runs.withColumn("started_at", F.current_timestamp()))
+        for rows_and_errors in failures:
+            failed(rows_and_errors, F.col("error"), calls)
 
-    def failed(items: DataFrame, error: Exception) -> None:
-        rows = items.select(F.col(agent.key).cast("string").alias("item_key")).withColumns({"model": F.lit(getattr(agent, "model", "deterministic")), "confidence": F.lit(None).cast("double")})
-        runs = telemetry.record(rows, tick_id, agent.name, 0, 0, int(live)).withColumns({"outcome": F.lit("failed"), "error": F.lit(str(error)[:200]), "started_at": F.current_timestamp()})
+    def failed(items: DataFrame, error: Column, calls: int) -> None:
+        rows = store.stage(items.select(F.col(agent.key).cast("string").alias("item_key"), error.alias("error")).dropDuplicates(["item_key"]), tick_id)
+        if rows.isEmpty():
+            return
+        told = rows.select("item_key", F.lit(getattr(agent, "model", "deterministic")).alias("model"), F.lit(None).cast("double").alias("confidence"))
+        runs = telemetry.record(told, tick_id, agent.name, 0, 0, calls).drop("error").join(rows, "item_key").withColumns({"outcome": F.lit("failed"), "started_at": F.current_timestamp()})
         out["failed"] += store.upsert("agent_runs", runs)
+        item_id = keys.uid(F.lit(agent.name), F.col("item_key"))
+        store.upsert("quarantine", rows.select(item_id.alias("item_id"), F.lit(tick_id).alias("tick_id"), F.lit(agent.name).alias("agent"), "item_key", "error", F.current_timestamp().alias("flagged_at")))
 
-    for chunk in chunks:
+    if size:
+        last = ranked().agg(F.max("below")).first()[0]
+        work = [(k, k + size) for k in range(0, (0 if last is None else last) + 1, size)][::-1]
+    else:
+        work = [(0, None)]
+    while work:
+        low, high = work.pop()
+        items = queue if high is None else part(low, high)
         try:
-            persist(chunk)
-        except Exception as e:  # noqa: BLE001  one chunk mustn't stop the others
-            if live or not getattr(agent, "free", True):
-                failed(chunk, e)
-                continue
-            for row in chunk.select(agent.key).distinct().toLocalIterator():
-                one = chunk.where(F.col(agent.key) == F.lit(row[0]))
-                try:
-                    persist(one)
-                except Exception as again:  # noqa: BLE001
-                    failed(one, again)
+            rows = asked(items)
+        except Exception as e:
+            if not oracles.faulty(e):
+                raise
+            high = ranked().count() if high is None else high
+            if live or not getattr(agent, "free", True) or high - low <= 1:
+                failed(items, F.lit(str(e)[:200]), int(live))
+            else:
+                middle = (low + high) // 2
+                work += [(middle, high), (low, middle)]
+        else:
+            persist(rows)
     if hasattr(agent, "after_write"):
         agent.after_write(store, queue)
     return out
@@ -251,18 +322,25 @@ def tick(store: Store, registry: Registry, export: str | None = None, limits: Li
 
     Later stages see what earlier ones wrote; the diff is against the tables as they stood before anything was loaded. ``manifest``
     and ``feed`` are surveyed and the manifest's rows loaded first. A dry run counts queues and prices them, and writes nothing else.
+    Marks, contracts and changes follow from the buckets that moved; tables staged on the way go with the tick, however it ends.
     """
     limits = limits or Limits()
     tick_id = tick_id or uuid.uuid4().hex[:12]
+    try:
+        return _tick(store, registry, export, limits, manifest, feed, tick_id)
+    finally:
+        store.unstage(tick_id)
+
+
+def _tick(store: Store, registry: Registry, export: str | None, limits: Limits, manifest: DataFrame | None, feed: DataFrame | None, tick_id: str) -> dict:
     store.create()
-    tables = ("announcements", "awards", "entities", "materiality")
-    before = {t: store.read(t) for t in tables}
+    before = store.numbers("announcements", "awards", "materiality")
     done: dict = {"tick_id": tick_id}
     if manifest is not None:
-        found = changes.survey(before["announcements"], manifest, feed if feed is not None else manifest)
+        found = changes.survey(store.read("announcements"), manifest, feed if feed is not None else manifest)
         done |= {f"survey_{r.state}": r["count"] for r in found.groupBy("state").count().collect()}
         if not limits.dry_run:
-            store.upsert("announcements", manifest_rows(manifest, before["announcements"]))
+            store.upsert("announcements", manifest_rows(manifest, store.read_keys("announcements", manifest)))
     costs = [(agent, estimate(agent, queue_of(agent, store, limits)).first()) for agent in registry.in_order()]
     done["projected_usd"] = round(sum(c.cost_usd for _, c in costs), 6)
     done |= {f"queued_{agent.name}": c.calls for agent, c in costs}
@@ -274,15 +352,11 @@ def tick(store: Store, registry: Registry, export: str | None = None, limits: Li
         queue = queue_of(agent, store, limits)  # again, as earlier stages may have fed it
         if not queue.isEmpty():
             done |= {f"{k}_{agent.name}": v for k, v in dispatch(agent, queue, store, tick_id, limits.live).items()}
-    store.write("awards", events.prepare(store.read("awards")))
-    store.write("contracts", events.build_contracts(store.read("awards"), store.read("entities")))
-    after = {t: store.read(t) for t in tables} | {"contracts": store.read("contracts")}
-    known = store.read("changes").select("change_id")
-    found = store.stage(changes.detect_changes(before, after).join(known, "change_id", "left_anti").withColumn("detected_at", F.current_timestamp()))
+    upkeep.keep_contracts(store)
+    found = store.stage(upkeep.changes_since(store, before, tick_id).withColumn("detected_at", F.current_timestamp()), tick_id)
     done["changes"] = {r.change_type: r.n for r in changes.by_kind(found).collect()}
     if done["changes"]:
         store.upsert("changes", found)
-    store.unstage()
     if export:
         store.export(export)
     return done
@@ -295,7 +369,7 @@ def stream(spark: SparkSession, manifests: str, checkpoint: str, schema: str, lo
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        tick(store, registry, manifest=store.stage(load(batch)), tick_id=f"batch-{number}")
+        tick(store, registry, manifest=store.stage(load(batch), f"batch-{number}"), tick_id=f"batch-{number}")
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return spark.readStream.schema(schema).json(manifests).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**trigger).start()

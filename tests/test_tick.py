@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyworks.__main__ import main
-from tallyworks.operators import entities
+from tallyworks.operators import entities, events, oracle, telemetry
 from tallyworks.sources import readers
-from tallyworks.sources.writers import Store
+from tallyworks.sources.store import Store
 from tallyworks.streaming import tick as cycle
 
 MANIFEST = "announcement_id string, announced_date string, title string, url string, body_chars bigint, provenance struct<url:string,fetched_at:string,http_status:int,sha256:string,n_bytes:bigint>"
@@ -41,7 +41,7 @@ def world(spark, tmp_path):
         return items.select("award_uid", F.lit("90").alias("score"), F.lit("alert").alias("tier"), F.lit("again").alias("rationale"), F.lit('["size"]').alias("drivers"), F.when(F.col("contractor_raw").startswith("Zed"), "0.95").otherwise("0.5").alias("confidence"))
 
     aliases = entities.alias_index(spark.createDataFrame([(0, "ACM", "Acme", "")], "row int, ticker string, company string, aliases string"))
-    store = Store(spark, f"file://{tmp_path}/store")
+    store = Store(spark, f"file://{tmp_path}/store", 2)
     registry = cycle.Registry()
     registry.add(lambda: cycle.Score(lambda: store.read("entities"), score, second))
     registry.add(lambda: cycle.Extract(extract))
@@ -116,7 +116,7 @@ def test_spending_is_refused(spark, world):
 
 
 def test_limits_chunks_and_failures(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/store")
+    store = Store(spark, f"file://{tmp_path}/store", 2)
     store.create()
     store.upsert("entities", spark.createDataFrame([(f"n{k}", 0.1) for k in range(7)], "contractor_raw string, confidence double"))
 
@@ -143,6 +143,138 @@ def test_limits_chunks_and_failures(spark, tmp_path):
     assert {(r.item_key, r.error) for r in bad} == {("n3", "bad item")} and len(bad) == 2
 
 
+def asking(spark, store, outputs, seen):
+    """An oracle over documents that counts whom it was asked for; equal titles make equal requests."""
+
+    def answer(rows):
+        bad = [r["prompt"] for r in rows if r["prompt"].startswith("bad")]
+        if bad:
+            raise ValueError(f"can't read {bad[0]}")
+        for r in rows:
+            seen.add(1)
+        return [{"output": json.dumps({"awards": outputs.get(r["prompt"], [])}), "input_tokens": 100, "output_tokens": 11} for r in rows]
+
+    def request(items):
+        return items.withColumns({"model": F.lit("small"), "system": F.lit("s"), "prompt": F.col("title"), "schema": F.lit("{}"), "max_tokens": F.lit(9)})
+
+    return oracle.CachedOracle(store, answer, request)
+
+
+def test_usage_is_found_again_and_answers_are_kept(spark, tmp_path):
+    store, seen = Store(spark, f"file://{tmp_path}/store", 2), spark.sparkContext.accumulator(0)
+    outputs = {"one": [award("Acme Corp.", "W1", 5), award("Bolt", "W2", 6)], "two": [award("Cray", "W3", 7)]}
+    rows = spark.createDataFrame([(f"d{k}", "2026-01-01", t, "http://x", 10, ("u", "2026-01-09 00:00:00", 200, "s", 1)) for k, t in enumerate(["one", "one", "two", "bad one"])], MANIFEST)
+    registry = cycle.Registry()
+    registry.add(lambda: cycle.Extract.asking(asking(spark, store, outputs, seen)))
+    done = cycle.tick(store, registry, manifest=rows, tick_id="t1")
+    assert seen.value == 2 and done["written_extract"] == 5 and done["failed_extract"] == 1  # d0 and d1 ask the same
+    runs = store.read("agent_runs").collect()
+    fine = [r for r in runs if r.outcome == "ok"]
+    assert len(fine) == 5 and {(r.input_tokens, r.output_tokens, r.cache_hit) for r in fine} == {(40, 4, False)}  # 200 and 22 tokens, rounded down
+    total = telemetry.spent(store.read("agent_runs")).where("model = 'small'").first()
+    assert (total.input_tokens, total.output_tokens) == (200, 20) and total.cost_usd >= 0
+    assert [(r.item_key, r.error) for r in store.read("quarantine").collect()] == [("d3", "ValueError: can't read bad one")]
+    assert {(r.announcement_id, r.extraction_status) for r in store.read("announcements").collect()} == {("d0", "extracted"), ("d1", "extracted"), ("d2", "extracted"), ("d3", "failed")}
+    assert store.read("answers").count() == 2
+    # asked again, all comes from the store, and nothing is spent
+    store.mark_status(store.read("announcements").where("extraction_status = 'extracted'"), "pending")
+    again = asking(spark, store, outputs, seen)
+    again.live = False
+    other = cycle.Registry()
+    other.add(lambda: cycle.Extract.asking(again))
+    cycle.tick(store, other, tick_id="t2")
+    assert seen.value == 2 and {(r.input_tokens, r.cache_hit) for r in store.read("agent_runs").where("tick_id = 't2'").collect()} == {(0, True)}
+    with pytest.raises(oracle.MissingAnswers):
+        again(spark.createDataFrame([("x", "never asked")], "announcement_id string, title string"))
+    assert not list((tmp_path / "store" / "_staged").glob("t*"))
+
+
+def test_faulty_rows_are_found_in_one_job(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def answer(rows):
+        calls.add(1)
+        if any(r["id"] in (17, 5000, 9999) for r in rows):
+            raise KeyError("odd row")
+        return [{"double": 2 * r["id"]} for r in rows]
+
+    rows = oracle.ask_isolated(spark.range(10_000), answer, "id", "double long", 100).collect()
+    assert sorted(r.id for r in rows if r.error) == [17, 5000, 9999] and {r.error for r in rows if r.error} == {"KeyError: 'odd row'"}
+    assert len(rows) == 10_000 and all(r.double == 2 * r.id for r in rows if not r.error)
+    assert calls.value <= 110 + 3 * 2 * 8
+    assert [e for *_, e in oracle.isolate([{}, {}], lambda rows: [])] == ["ValueError: 0 answers to 1 rows"] * 2
+
+
+def test_failures_that_are_no_oracles_end_the_tick(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store", 2)
+    store.create()
+    store.upsert("entities", spark.createDataFrame([("n1", 0.1)], "contractor_raw string, confidence double"))
+
+    class Full:
+        name, key = "resolve", "contractor_raw"
+
+        def detect(self, store):
+            return store.read("entities")
+
+        def run(self, items):
+            raise OSError("no space left on device")
+
+    registry = cycle.Registry()
+    registry.add(Full)
+    with pytest.raises(OSError, match="no space"):
+        cycle.tick(store, registry, tick_id="t1")
+    assert store.counts()["agent_runs"] == 0 and not (tmp_path / "store" / "_staged" / "t1").exists()
+    assert [oracle.faulty(e) for e in (RuntimeError("x"), MemoryError(), OSError())] == [True, False, False]
+
+
+def test_two_ticks_at_once(spark, tmp_path):
+    import threading
+
+    root, errors = f"file://{tmp_path}/store", []
+    Store(spark, root, 2).create()
+
+    def one(k):
+        try:
+            store = Store(spark, root, 2)
+            registry = cycle.Registry()
+            outputs = {f"t{k}": [award("Acme Corp.", "W1", k), award(f"Only {k}", f"V{k}", k)]}
+            registry.add(lambda: cycle.Extract.asking(asking(spark, store, outputs, spark.sparkContext.accumulator(0))))
+            rows = spark.createDataFrame([(f"d{k}", "2026-01-01", f"t{k}", "http://x", 10, ("u", "2026-01-09 00:00:00", 200, "s", 1))], MANIFEST)
+            cycle.tick(store, registry, manifest=rows, tick_id=f"t{k}")
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+
+    threads = [threading.Thread(target=one, args=(k,)) for k in (1, 2)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not errors
+    store = Store(spark, root, 2)
+    cycle.tick(store, cycle.Registry())  # settles contracts that both touched
+    assert store.counts()["awards"] == 4 and store.read("agent_runs").where("outcome = 'ok'").count() >= 4
+    want = events.prepare(store.read("awards"))
+    assert sorted(map(tuple, store.read("contracts").collect()), key=str) == sorted(map(tuple, events.build_contracts(want, store.read("entities")).collect()), key=str)
+
+
+def test_resolved_names_join_the_fact_map(spark, tmp_path):
+    store, facts = Store(spark, f"file://{tmp_path}/store", 2), f"file://{tmp_path}/facts"
+    store.create()
+    store.upsert("awards", spark.createDataFrame([("a", "Acme Corp."), ("b", "Nobody LLC")], "award_uid string, contractor_raw string"))
+    aliases = entities.alias_index(spark.createDataFrame([(0, "ACM", "Acme", "")], "row int, ticker string, company string, aliases string"))
+    none = entities.alias_index(spark.createDataFrame([], "row int, ticker string, company string, aliases string"))
+    registry = cycle.Registry()
+    registry.add(lambda: cycle.Resolve(aliases, facts=facts))
+    cycle.tick(store, registry)
+    held = entities.load_fact_map(readers.read_fact_map(spark, facts)).collect()
+    assert [(r.key, r.raw_variants) for r in held] == [("acme", ["Acme Corp."])]
+    # another spelling is resolved by the map alone
+    store.upsert("awards", spark.createDataFrame([("c", "ACME, Inc.")], "award_uid string, contractor_raw string"))
+    other = cycle.Registry()
+    other.add(lambda: cycle.Resolve(none, facts=facts))
+    cycle.tick(store, other)
+    assert {(r.contractor_raw, r.ticker) for r in store.read("entities").collect()} == {("Acme Corp.", "ACM"), ("ACME, Inc.", "ACM")}
+    assert entities.load_fact_map(readers.read_fact_map(spark, facts)).count() == 1
+
+
 def test_agents_of_a_folder(spark, tmp_path, capsys):
     good = "class A:\n    name = {!r}\n    key = 'contractor_raw'\n    def detect(self, store): return store.read('entities').limit(0)\n    def run(self, items): return items\ndef make(): return A()\n"
     for name, body in (("b", good.format("zeta")), ("a", good.format("score")), ("c", good.format("extract")), ("d", good.format("zeta")), ("e", "1/0"), ("f", "def make(): return 3"), ("_g", "1/0")):
