@@ -10,10 +10,12 @@ import json
 import sys
 from collections.abc import Callable
 
+from pyspark.sql import functions as F
+
 from .operators import telemetry
 from .plans import catalog
 from .session import session
-from .sources import golden, readers
+from .sources import files, golden, readers
 from .sources.writers import Store
 from .streaming import tick as cycle
 
@@ -86,6 +88,16 @@ def _golden(spark, a) -> int:
     return code
 
 
+def _promote_skills(spark, a) -> int:
+    """a rule tried on the golden cases, added to a skills file if it does good: --rule, --skills, --cases, --agents, --store, --apply"""
+    agent = cycle.Registry().discover(a.agents).agents["extract"]
+    cases = golden.load_cases(spark, a.cases)
+    documents = Store(spark, a.store).read("announcements").where(F.col("announcement_id").isin([c["announcement_id"] for c in cases]))
+    verdict, wrong = golden.promote(spark, cases, lambda skills: agent.with_skills(skills).run(documents), a.skills, files.read_text(spark, a.rule), a.apply)
+    print("\n".join([verdict, *(f"{k}: {w}" for k, w in sorted(wrong.items()))]))
+    return golden.VERDICTS[verdict]
+
+
 def _selftest(spark, a) -> int:
     """a store made, ticked without agents and counted in a new folder"""
     store = Store(spark, a.store)
@@ -93,17 +105,20 @@ def _selftest(spark, a) -> int:
     return 0 if done["changes"] == {} and set(store.counts().values()) == {0} else 1
 
 
-TASKS: dict[str, Callable] = {f.__name__[1:]: f for f in (_tick, _agents, _queries, _run, _counts, _export, _migrate, _vacuum, _cost, _golden, _selftest)}
+TASKS: dict[str, Callable] = {
+    f.__name__[1:].replace("_", "-"): f for f in (_tick, _agents, _queries, _run, _counts, _export, _migrate, _vacuum, _cost, _golden, _promote_skills, _selftest)
+}
 
 
 def main(argv: list[str]) -> int:
-    help_text = "\n".join(f"  {n:10} {f.__doc__}" for n, f in TASKS.items())
+    help_text = "\n".join(f"  {n:14} {f.__doc__}" for n, f in TASKS.items())
     p = argparse.ArgumentParser("tallyworks", epilog=f"tasks:\n{help_text}", formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("task", choices=TASKS)
-    for name in ("store", "agents", "manifest", "export", "data", "query", "cases"):
+    for name in ("store", "agents", "manifest", "export", "data", "query", "cases", "rule", "skills"):
         p.add_argument(f"--{name}")
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--live", action="store_true")
+    p.add_argument("--apply", action="store_true")
     p.add_argument("--max-spend", type=float)
     p.add_argument("--limit", type=int)
     a = p.parse_args(argv)

@@ -80,21 +80,26 @@ def stamp(awards: DataFrame) -> DataFrame:
     return awards.withColumn("contract_uid", keys.contract_uid(F.col("contract_number"), F.col("base_contract_number")))
 
 
+def _apart(counts: Column) -> Column:
+    """One more key of a window: null for rows that count, a hash of the id for the rest, which would else meet in one task."""
+    return F.when(~counts, F.xxhash64("award_uid"))
+
+
 def mark_duplicates(awards: DataFrame) -> DataFrame:
     """duplicate_of: the smallest id among rows of one contract, name, action, modification and amount (a null amount equals a null); null for that row itself.
 
     Rows without contract, name or action are never duplicates. One window on the key; no self-join.
     """
-    same = Window.partitionBy("contract_uid", "contractor_raw", "action_type", F.coalesce("modification_number", F.lit("")), "amount_usd")
-    least = F.min("award_uid").over(same)
     able = F.col("contract_uid").isNotNull() & F.col("contractor_raw").isNotNull() & F.col("action_type").isNotNull()
+    same = Window.partitionBy("contract_uid", "contractor_raw", "action_type", F.coalesce("modification_number", F.lit("")), "amount_usd", _apart(able))
+    least = F.min("award_uid").over(same)
     return awards.withColumn("duplicate_of", F.when(able & (F.col("award_uid") != least), least))
 
 
 def mark_creating(awards: DataFrame) -> DataFrame:
     """is_creating_event: the earliest row of a contract, by date (null last) and id, that is no duplicate."""
     live = F.col("contract_uid").isNotNull() & F.col("duplicate_of").isNull()
-    w = Window.partitionBy("contract_uid", live).orderBy(F.col("announced_date").asc_nulls_last(), "award_uid")
+    w = Window.partitionBy("contract_uid", live, _apart(live)).orderBy(F.col("announced_date").asc_nulls_last(), "award_uid")
     return awards.withColumn("is_creating_event", live & (F.row_number().over(w) == 1))
 
 

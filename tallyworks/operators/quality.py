@@ -76,9 +76,12 @@ def run_checks(announcements: DataFrame, awards: DataFrame, entities: DataFrame)
 
 def findings(checked: DataFrame, min_rows: int = 3, sample: int = 5) -> DataFrame:
     """Checks that fired at least ``min_rows`` times, most severe and most frequent first, with the first few items."""
-    w = F.row_number().over(Window.partitionBy("code").orderBy("item_key", "detail"))
-    few = F.array_sort(F.collect_list(F.when(F.col("nth") <= sample, F.col("item_key"))))
-    got = checked.withColumn("nth", w).groupBy("code", "stage", "severity").agg(F.count("*").alias("n"), few.alias("sample")).where(F.col("n") >= min_rows)
+    counts = checked.groupBy("code", "stage", "severity").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows)
+    # the limit on the rank applies in every task before rows are sent, so a code's window holds few of them
+    nth = F.row_number().over(Window.partitionBy("code").orderBy("item_key", "detail"))
+    first = checked.select("code", "item_key", "detail").withColumn("nth", nth).where(F.col("nth") <= sample)
+    few = first.groupBy("code").agg(F.array_sort(F.collect_list("item_key")).alias("sample"))
+    got = counts.join(few, "code")
     return got.orderBy(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.desc("n"), "code")
 
 

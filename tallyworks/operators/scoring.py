@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text, values
 from ..registry import TIERS, conform
+from .ranges import cumulative
 
 
 def context(awards: DataFrame) -> DataFrame:
@@ -26,15 +27,6 @@ def context(awards: DataFrame) -> DataFrame:
     return rows.join(ordered.select("amount_usd", pct.alias("amount_percentile")), "amount_usd", "left").join(by_name, "name").select("award_uid", "amount_percentile", "contractor_awards_in_window", "contractor_total_usd")
 
 
-def cumulative(df: DataFrame, key: str, n: str) -> DataFrame:
-    """Adds ``below``, the sum of ``n`` over smaller keys, and ``total``: one pass by range partitions, their sums added up from a row each."""
-    parts = df.repartitionByRange(key).withColumn("part", F.spark_partition_id())
-    parts = parts.withColumn("upto", F.sum(n).over(Window.partitionBy("part").orderBy(key)))
-    sums = parts.groupBy("part").agg(F.sum(n).alias("size"))
-    base = sums.withColumn("base", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("size").over(Window.partitionBy()))
-    return parts.join(F.broadcast(base.drop("size")), "part").withColumn("below", F.col("base") + F.col("upto") - F.col(n)).drop("part", "upto", "base")
-
-
 def prefilter(awards: DataFrame, entities: DataFrame) -> DataFrame:
     """Awards with the rule that shows them routine, its score and rationale; a null rule leaves the award to a model.
 

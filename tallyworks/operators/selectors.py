@@ -62,6 +62,53 @@ def run_check(df: DataFrame, check: dict) -> str | None:
     return f"differs in {', '.join(wrong)}" if wrong else None
 
 
+def run_cases_once(df: DataFrame, cases: list[dict], document: str = "announcement_id") -> dict[str, dict[str, str | None]]:
+    """What is wrong, or None, of every check of every case, by case and check id: one conditional aggregation over the cases' documents.
+
+    A check becomes a count of the rows it selects and, for "row", a count for each field it expects; one that can't be compiled is
+    "blocked: ..." and leaves the others alone.
+    """
+    found: dict[str, dict[str, str | None]] = {c["case_id"]: {} for c in cases}
+    counts: list[Column] = []
+    plans = []
+
+    def counted(c: Column) -> int:
+        counts.append(F.count_if(c).alias(f"n{len(counts)}"))
+        return len(counts) - 1
+
+    for case in cases:
+        own = F.coalesce(F.col(document) == case[document], F.lit(False))
+        for check in case["checks"]:
+            try:
+                rows = own
+                for field, want in check["select"].items():
+                    rows = rows & condition(df, field, want)
+                fields = {f: rows & condition(df, f, v) for f, v in check["expect"].items()} if check["kind"] == "row" else {}
+            except Exception as e:  # noqa: BLE001  whatever stops a check blocks it
+                found[case["case_id"]][check["id"]] = f"blocked: {e}"
+                continue
+            plans.append((case["case_id"], check, counted(rows), {f: counted(c) for f, c in fields.items()}))
+    if not counts:
+        return found
+    got = df.where(F.col(document).isin([c[document] for c in cases])).agg(*counts).first()
+    for case_id, check, n, fields in plans:
+        if check["kind"] == "row":
+            wrong = [f for f, k in fields.items() if not got[k]]
+            told = f"{'several' if got[n] else 'no'} rows match" if got[n] != 1 else f"differs in {', '.join(wrong)}" if wrong else None
+        else:
+            want = check.get("expect", 0) if check["kind"] == "count" else 0
+            told = None if got[n] == want else f"{got[n]} rows, not {want}"
+        found[case_id][check["id"]] = told
+    return found
+
+
+def tally(found: dict[str, str | None]) -> dict[str, int]:
+    """Passed, failed and blocked checks of a case."""
+    blocked = sum(1 for w in found.values() if w and w.startswith("blocked: "))
+    passed = sum(1 for w in found.values() if not w)
+    return {"passed": passed, "failed": len(found) - passed - blocked, "blocked": blocked}
+
+
 def run_case(df: DataFrame, case: dict) -> dict[str, int]:
     """Passed, failed and blocked checks; one that can't be run is blocked, not passed."""
     out = {"passed": 0, "failed": 0, "blocked": 0}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, values
 from ..registry import conform
+from .ranges import medians
 
 
 def by_agent(runs: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def recent(runs: DataFrame, n: int = 300) -> DataFrame:
 
 def spikes(turns: DataFrame, key: str, size: str, n: int = 8) -> DataFrame:
     """The ``n`` largest turns above three medians and the median plus 2000."""
-    median = turns.agg(F.median(size).alias("m"))
+    median = medians(turns, [], size, "m")
     j = turns.join(F.broadcast(median)).where(F.col(size) > F.greatest(3 * F.col("m"), F.col("m") + 2000))
     return j.orderBy(F.desc(size), key).select(key, size).limit(n)
 
@@ -70,7 +71,7 @@ def projected_cost(items: DataFrame, chars: str, model: Column, rates: dict = va
     """Calls, tokens and dollars expected of a queue, by model and in total."""
     tin, tout = values.estimated_tokens(F.col(chars))
     each = items.select(model.alias("model"), tin.alias("tin"), tout.alias("tout"))
-    per = each.rollup("model").agg(F.count("*").alias("calls"), F.sum("tin").alias("input_tokens"), F.sum("tout").alias("output_tokens"), F.round(F.sum(values.price(F.col("model"), F.col("tin"), F.col("tout"), rates)), 6).alias("cost_usd"))
+    per = each.rollup("model").agg(F.count("*").alias("calls"), F.sum("tin").alias("input_tokens"), F.sum("tout").alias("output_tokens"), F.sum(values.price(F.col("model"), F.col("tin"), F.col("tout"), rates).cast("decimal(28,6)")).cast("double").alias("cost_usd"))
     return per.withColumn("model", F.coalesce("model", F.lit("total")))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, text, values
-from ..operators import changes, entities, events, quality, scoring, tables, telemetry
+from ..operators import changes, entities, events, quality, ranges, scoring, tables, telemetry
 from ..sources import html
 from . import views
 from .catalog import query
@@ -363,9 +363,10 @@ def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.reuse(Domain(spark, sf_dir).agent_runs.select(F.col("duration_ms").alias("cache_read"), "input_tokens"))
 
 
-@query(sql("""SELECT coalesce(model, 'total') AS model, count(*) AS calls, CAST(sum(tin) AS BIGINT) AS input_tokens, CAST(sum(tout) AS BIGINT) AS output_tokens FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'small' ELSE 'large' END AS model, CAST(floor(n_chars / 3.7) AS BIGINT) AS tin, CAST(floor(floor(n_chars / 3.7) * 0.68) AS BIGINT) AS tout FROM documents) d GROUP BY ROLLUP (model)"""))
+@query(sql("""SELECT coalesce(model, 'total') AS model, count(*) AS calls, CAST(sum(tin) AS BIGINT) AS input_tokens, CAST(sum(tout) AS BIGINT) AS output_tokens,
+       CAST(sum(CAST(round(CASE model WHEN 'small' THEN (tin * 1.0 + tout * 5.0) / 1e6 ELSE (tin * 5.0 + tout * 25.0) / 1e6 END, 6) AS DECIMAL(28, 6))) AS DOUBLE) AS cost_usd FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'small' ELSE 'large' END AS model, CAST(floor(n_chars / 3.7) AS BIGINT) AS tin, CAST(floor(floor(n_chars / 3.7) * 0.68) AS BIGINT) AS tout FROM documents) d GROUP BY ROLLUP (model)"""))
 def projected_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry.projected_cost(Domain(spark, sf_dir).raw("documents"), "n_chars", F.when(F.col("doc_id") % 2 == 0, "small").otherwise("large")).drop("cost_usd")
+    return telemetry.projected_cost(Domain(spark, sf_dir).raw("documents"), "n_chars", F.when(F.col("doc_id") % 2 == 0, "small").otherwise("large"))
 
 
 @query(sql("""SELECT substr(sha256('t1|score|' || award_uid), 1, 16) AS run_id, award_uid AS item_key, (SELECT 1000003 // count(*) FROM materiality) AS input_tokens, FALSE AS cache_hit, CAST(score AS DOUBLE) / 100 AS confidence, 'ok' AS outcome FROM materiality"""))
@@ -376,7 +377,7 @@ def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lang, source, list_sort(list(n_chars))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS middle FROM documents GROUP BY 1, 2")
 def upper_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Domain(spark, sf_dir).raw("documents").groupBy("lang", "source").agg(tables.upper_median(F.col("n_chars")).alias("middle"))
+    return ranges.upper_medians(Domain(spark, sf_dir).raw("documents"), ["lang", "source"], "n_chars", "middle")
 
 
 @query(sql("""SELECT code, arg_max(cause, position) AS cause, arg_max(confidence, position) AS confidence, arg_max(confidence, position) IS NULL OR arg_max(confidence, position) < 0.7 OR arg_max(cause, position) IN ('schema_gap', 'source_changed') AS review FROM (
@@ -388,34 +389,29 @@ def merged_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.merge_causes(rows.select(F.col("agent").alias("code")).distinct(), answers)
 
 
-# -- pages made by hand -------------------------------------------------------------------------------------------------
+# -- pages of announcements, one for each order ----------------------------------------------------------------------------
 
-_PAGES = [
-    (1, '<html><script>var x = "NAVY";</script><div class="main body wide"><p>NAVY</p><p>Acme Corp., Dayton, Ohio, is awarded a $1.5 million modification (P00002) to a contract.</p>\n<p>Bolt &amp; Sons LLC,* Reno, Nevada, was awarded a $2,000 option.</p></div> </div>rest'),
-    (2, '<div class="body"><p>ARMY</p><p>Acme Corp., Dayton, Ohio, was awarded a $3 billion contract. 12 offers were received. It is a multiple-award contract.</p><p>SPACE FORCE</p><p>Nothing to see.</p></div></div>'),
-    (3, "<p>No header, Nowhere, was awarded nothing.</p>"),
-]
-_SCAN = """SELECT * FROM (VALUES ('1', 'NAVY', 'Acme Corp.', 1500000, 'modification', 'P00002', FALSE, FALSE, NULL), ('1', 'NAVY', 'Bolt & Sons LLC', 2000, 'option_exercise', NULL, FALSE, TRUE, NULL), ('2', 'ARMY', 'Acme Corp.', 3000000000, 'new_award', NULL, TRUE, FALSE, 12),
-       ('3', 'OTHER', 'No header', NULL, 'new_award', NULL, FALSE, FALSE, NULL)) v(announcement_id, service_branch, contractor_raw, amount_usd, action_type, modification_number, is_multi_award, small_business, bids_received)"""
-
-
-def _pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_PAGES, "page_id int, html string")
-
-
-@query(_SCAN)
+@query(sql("""SELECT CAST(page_id AS VARCHAR) AS announcement_id, head AS service_branch, name AS contractor_raw, amount AS amount_usd, act AS action_type,
+       CASE WHEN act = 'modification' THEN 'P0000' || CAST(page_id % 10 AS VARCHAR) END AS modification_number, page_id % 8 = 0 AS is_multi_award, starred AS small_business,
+       CASE WHEN page_id % 6 = 0 THEN CAST(page_id % 40 + 2 AS INTEGER) END AS bids_received FROM notices
+UNION ALL SELECT CAST(page_id AS VARCHAR), 'SPACE FORCE', 'Bolt & Sons LLC', 2000, 'option_exercise', NULL, FALSE, TRUE, NULL FROM notices"""))
 def prose_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prose = html.body_text(_pages(spark)).select(F.col("page_id").cast("string").alias("announcement_id"), "prose")
+    prose = html.body_text(Domain(spark, sf_dir).notices.select("page_id", "html")).select(F.col("page_id").cast("string").alias("announcement_id"), "prose")
     return html.scan_lines(prose).select("announcement_id", "service_branch", "contractor_raw", "amount_usd", "action_type", "modification_number", "is_multi_award", "small_business", "bids_received")
 
 
-@query("SELECT * FROM (VALUES ('acme corp.', 'Acme Corp.', 2), ('no header', 'No header', 1)) v(key, name, n)")
+@query(sql("SELECT lower(name) AS key, min(name) AS name, count(*) AS n FROM notices WHERE NOT starred GROUP BY 1"))
 def paragraph_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.scan_names(_pages(spark))
+    return html.scan_names(Domain(spark, sf_dir).notices.select("page_id", "html"))
+
+
+_TAG = """'<x article-id="' || announcement_id || '" content-type-name="' || CASE WHEN doc % 5 = 0 THEN 'News' ELSE 'Contracts' END || '" article-title="' || title || ' &amp; more" article-url="' || url || '?a=1&amp;b=2">'"""
 
 
-@query("SELECT * FROM (VALUES ('11', 'Contracts for Aug. 3, 2026', 'https://x.example.com/a?b=1&c=2', DATE '2026-08-03'), ('9', 'Contracts & more', '', NULL)) v(announcement_id, title, url, announced_date)")
+@query(sql("""SELECT announcement_id, title || ' & more' AS title, url || '?a=1&b=2' AS url,
+       CASE WHEN title LIKE '%Fnord%' THEN NULL ELSE make_date(2026, CASE WHEN title LIKE '%Aug%' THEN 8 WHEN title LIKE '%Sept%' THEN 9 ELSE 6 END, CAST(regexp_extract(title, '(\\d+), 2026', 1) AS INT)) END AS announced_date
+       FROM announcements WHERE CAST(announcement_id AS BIGINT) % 5 <> 0"""))
 def listing_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tag = '<x article-id="{}" content-type-name="{}" article-title="{}" article-url="{}">'
-    pages = [(1, tag.format(11, "Contracts", "Contracts for Aug. 3, 2026", "https://x.example.com/a?b=1&amp;c=2") + tag.format(12, "News", "t", "u")), (2, tag.format(9, "Contracts", "Contracts &amp; more", "") + '<x article-id="13" content-type-name="Contracts">')]
-    return html.parse_listing(spark.createDataFrame(pages, "page int, html string")).select("announcement_id", "title", "url", "announced_date")
+    rows = Domain(spark, sf_dir).announcements.withColumn("doc", F.col("announcement_id").cast("long"))
+    pages = rows.select(F.col("doc").alias("page"), F.expr(_TAG).alias("html"))
+    return html.parse_listing(pages).select("announcement_id", "title", "url", "announced_date")

@@ -350,7 +350,13 @@ UNION ALL SELECT 'new_award', a.announcement_id, a.award_uid, ticker, NULL, NULL
 UNION ALL SELECT 'amount_changed', a.announcement_id, a.award_uid, ticker, {money("(amount_usd - 7500000)")}, {money("amount_usd")}, score, substr(sha256('amount_changed|' || a.award_uid || '|' || CAST(amount_usd - 7500000 AS VARCHAR) || '|' || CAST(amount_usd AS VARCHAR)), 1, 16)
   FROM awards a LEFT JOIN entities e ON e.contractor_raw = a.contractor_raw LEFT JOIN materiality m ON m.award_uid = a.award_uid WHERE {_BEFORE} AND service_branch = 'NAVY' AND amount_usd IS NOT NULL
 UNION ALL SELECT 'rescored', a.announcement_id, a.award_uid, ticker, CAST(score - 1 AS VARCHAR) || ' (' || tier || ')', CAST(score AS VARCHAR) || ' (' || tier || ')', score, substr(sha256('rescored|' || a.award_uid || '|' || CAST(score - 1 AS VARCHAR) || '|' || CAST(score AS VARCHAR)), 1, 16)
-  FROM materiality m JOIN awards a ON a.award_uid = m.award_uid LEFT JOIN entities e ON e.contractor_raw = a.contractor_raw WHERE tier = 'alert') z"""))
+  FROM materiality m JOIN awards a ON a.award_uid = m.award_uid LEFT JOIN entities e ON e.contractor_raw = a.contractor_raw WHERE tier = 'alert'
+UNION ALL SELECT 'modification_on_tracked', p.announcement_id, p.award_uid, e.ticker,
+       coalesce(c.contract_number, 'None') || ' · ' || CAST(n_events - 1 AS VARCHAR) || ' prior event(s) since ' || coalesce(CAST(first_event_date AS VARCHAR), 'None') || CASE WHEN coalesce(history_complete, FALSE) THEN '' ELSE ' · opens before our window' END,
+       {money("amount_usd")} || ' this action' || CASE WHEN cumulative_face_value_usd IS NOT NULL THEN ', cumulative ' || {money("cumulative_face_value_usd")} WHEN total_actioned_usd IS NOT NULL THEN ', ' || {money("total_actioned_usd")} || ' actioned to date' ELSE '' END,
+       score, substr(sha256('modification_on_tracked|' || p.award_uid), 1, 16)
+  FROM prepared p JOIN contracts c ON c.contract_uid = p.contract_uid LEFT JOIN entities e ON e.contractor_raw = p.contractor_raw LEFT JOIN materiality m ON m.award_uid = p.award_uid
+  WHERE duplicate_of IS NULL AND NOT is_creating_event AND action_type IN ('modification', 'option_exercise')) z""", derived=True))
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes against an earlier state: fewer documents and awards, smaller amounts, lower scores."""
     d = Domain(spark, sf_dir)
@@ -358,7 +364,7 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = d.materiality.withColumn("score", F.when(F.col("tier") == "alert", F.col("score") - 1).otherwise(F.col("score")))
     before = {"announcements": d.announcements.where("announced_date < DATE '2026-06-01'"), "awards": old, "materiality": scored}
     after = {"announcements": d.announcements, "awards": d.prepared, "contracts": d.contracts, "entities": d.entities, "materiality": d.materiality}
-    return changes.detect_changes(before, after).where("change_type <> 'modification_on_tracked'").drop("detected_at")
+    return changes.detect_changes(before, after).drop("detected_at")
 
 
 @query(sql("""SELECT announcement_id, 'unloaded' AS state FROM announcements WHERE extraction_status IS NULL UNION ALL SELECT CAST(doc_id AS VARCHAR), 'unfetched' FROM labels
@@ -400,7 +406,14 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("said", last).select("conv_id", "turn", F.md5(F.col("said").cast("binary")).alias("said"))
 
 
-@query()
+_CUTS = """,
+ids AS (SELECT award_uid, row_number() OVER (ORDER BY award_uid) AS rn, CAST('0x' || substr(sha256(award_uid), 1, 8) AS BIGINT) % 20 = 0 AS cut FROM (SELECT DISTINCT award_uid FROM awards)),
+ends AS MATERIALIZED (SELECT rn, coalesce(min(CASE WHEN cut THEN rn END) OVER (ORDER BY rn ROWS BETWEEN 13 FOLLOWING AND 19 FOLLOWING), rn + 19) AS last FROM ids),
+batches AS (SELECT CAST(1 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS batch UNION ALL SELECT e.last + 1, batch + 1 FROM batches JOIN ends e ON e.rn = batches.rn)
+SELECT award_uid, max(batch) AS batch FROM ids JOIN batches ON batches.rn <= ids.rn AND batches.rn > ids.rn - 20 GROUP BY award_uid"""
+
+
+@query(sql(_CUTS, recursive=True))
 def content_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.content_batches(Domain(spark, sf_dir).awards)
 
@@ -435,7 +448,15 @@ def secret_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Domain(spark, sf_dir).raw("documents").select("doc_id", F.md5(text.scrub(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query()
+#: The references of the test pages, decoded in one pass: an ampersand last.
+_PROSE = r"""WITH bare AS (SELECT page_id, url, regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g') AS h FROM pages),
+part AS (SELECT page_id, url, CASE WHEN regexp_matches(h, '(?is)<div[^>]*class="[^"]*\bbody\b[^"]*"[^>]*>(.*?)</div>\s*</div>') THEN regexp_extract(h, '(?is)<div[^>]*class="[^"]*\bbody\b[^"]*"[^>]*>(.*?)</div>\s*</div>', 1) ELSE h END AS h FROM bare),
+told AS (SELECT page_id, url, regexp_replace(replace(replace(replace(regexp_replace(h, '<[^>]+>', chr(10), 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') AS t FROM part),
+tidy AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(t, '[ \t\x{A0}]+', ' ', 'g'), '\n[\s\x{A0}]*\n+', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM told)
+SELECT page_id, url, CASE WHEN regexp_matches(t, '(?ms)^\s*(?:ARMY|NAVY|AIR FORCE|DEFENSE|SPACE FORCE|MARINE).*') THEN regexp_extract(t, '(?ms)^\s*(?:ARMY|NAVY|AIR FORCE|DEFENSE|SPACE FORCE|MARINE).*') ELSE t END AS prose FROM tidy"""
+
+
+@query(_PROSE)
 def html_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.body_text(Domain(spark, sf_dir).raw("pages"))
 

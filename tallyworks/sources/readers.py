@@ -6,10 +6,11 @@ import itertools
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.ranges import carried
 from ..operators.tables import keep_first
 from ..registry import TABLES, conform, empty
 from .files import current_path, exists
@@ -162,7 +163,7 @@ def transcript_turns(lines: DataFrame) -> DataFrame:
     """Turns of a JSONL transcript (position, value): bad lines and synthetic turns dropped, the first of each message, the nearest name before it."""
     schema = "type string, name string, message struct<id:string,model:string,usage:struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint>>"
     parsed = lines.where(F.try_parse_json("value").isNotNull()).select("position", F.from_json("value", schema).alias("r"))
-    named = parsed.withColumn("name", F.last("r.name", ignorenulls=True).over(Window.partitionBy(F.lit(1)).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)))
+    named = carried(parsed, F.col("r.name"), [], ["position"], "name")
     turns = named.where(F.col("r.message.usage").isNotNull() & ~F.coalesce(F.col("r.message.model") == "<synthetic>", F.lit(False)))
     return keep_first(turns.withColumn("id", F.col("r.message.id")), ["id"], ["position"]).select("id", "position", "name", F.col("r.message.model").alias("model"), F.col("r.message.usage.input_tokens").alias("input_tokens"), F.col("r.message.usage.output_tokens").alias("output_tokens"), F.coalesce("r.message.usage.cache_read_input_tokens", F.lit(0)).alias("cache_read"))
 

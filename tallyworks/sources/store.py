@@ -221,17 +221,21 @@ class Store:
         at = position or "__pos"
         owner = uuid.uuid4().hex
         rows = self.stage(conform(rows if position else rows.withColumn(at, F.xxhash64(*rows.columns)), like, at), owner)
+        written = [0]
 
         def plan(base: Version) -> tuple[list[int], list[int], DataFrame]:
-            touched = self.buckets_of(table, rows, by, base)
-            keys = self.frame(table, base, touched).select(key, by).join(rows.select(key).distinct(), key, "left_semi")
-            full = {b for b in touched if len(base.buckets.get(b, {}).get("paths", ())) >= FOLDERS}
-            replaced = sorted({*self.buckets_of(table, keys, by, base)} | full)
+            told = rows.groupBy(self.bucket(F.col(by), base).alias("b")).agg(F.countDistinct(key).alias("n")).collect()
+            touched = sorted(r.b for r in told)
+            written[0] = sum(r.n for r in told)
+            held = [b for b in touched if b in base.buckets]
+            full = {b for b in held if len(base.buckets[b]["paths"]) >= FOLDERS}
+            keys = self.frame(table, base, held).select(key, by).join(rows.select(key).distinct(), key, "left_semi")
+            replaced = sorted({*self.buckets_of(table, keys, by, base)} | full) if held else []
             return replaced, [b for b in touched if b not in replaced], conform(upsert(self.frame(table, base, replaced), rows, key, at), like)
 
         try:
             self._write(table, plan, upto)
-            return rows.select(key).distinct().count()
+            return written[0]
         finally:
             self.unstage(owner)
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyworks import registry
-from tallyworks.operators import entities, events, quality, scoring, selectors, tables, telemetry
+from tallyworks.operators import entities, events, oracle, quality, scoring, selectors, tables, telemetry
 from tallyworks.sources import golden, html, readers, writers
 
 from .test_tick import MANIFEST
@@ -149,6 +149,62 @@ def test_golden_cases(spark, tmp_path):
         golden.load_cases(spark, url(tmp_path))
 
 
+POOL = {"case_id": "pool", "announcement_id": "d", "announced_date": "2026-01-01", "source": "s", "title": "t", "why": "w", "verified_against": "v", "checks": [
+    {"id": "one", "kind": "row", "select": {"contractor_raw": "Acme"}, "expect": {"amount_usd": 600, "cumulative_face_value_usd": None, "is_multi_award": True}},
+    {"id": "all", "kind": "count", "select": {"action_type": "multi_award_pool"}, "expect": 3},
+    {"id": "none", "kind": "absent", "select": {"contractor_raw": {"contains": "Zed"}}},
+]}
+
+
+def pool(spark):
+    rows = [("a1", "d", "Acme", 600, None, True, "multi_award_pool"), ("a2", "d", "Bolt", 600, None, True, "multi_award_pool"), ("a3", "d", "Cray", 600, None, True, "multi_award_pool"), ("a4", "e", "Acme", 5, None, False, "new_award")]
+    return spark.createDataFrame(rows, "award_uid string, announcement_id string, contractor_raw string, amount_usd long, cumulative_face_value_usd long, is_multi_award boolean, action_type string")
+
+
+def test_all_checks_in_one_scan_equal_each_by_itself(spark):
+    broken = {**POOL, "case_id": "broken", "checks": [{"id": "x", "kind": "row", "select": {"nope": 1}, "expect": {}}, {"id": "y", "kind": "count", "select": {"amount_usd": {"like": 1}}, "expect": 1}, {"id": "z", "kind": "row", "select": {"is_multi_award": 1}, "expect": {}}]}
+    other = {**POOL, "case_id": "other", "announcement_id": "e"}
+    for rule in (lambda df: df, events.divide_pools, events.cumulate_pools, events.collapse_pools):
+        awards = rule(pool(spark))
+        found = selectors.run_cases_once(awards, [POOL, broken, other])
+        for case in (POOL, broken, other):
+            assert selectors.tally(found[case["case_id"]]) == selectors.run_case(awards.where(F.col("announcement_id") == case["announcement_id"]), case)
+        for check in POOL["checks"]:
+            assert found["pool"][check["id"]] == selectors.run_check(awards.where("announcement_id = 'd'"), check)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("golden", "one scan")
+    try:
+        assert golden.run_cases(pool(spark), [POOL]) == ({"pool": {"passed": 3, "failed": 0, "blocked": 0}}, 0)
+        assert len(jobs.getJobIdsForGroup("golden")) <= 2  # the scan, and its final stage where adaptive execution parts them
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_rules_are_run_before_they_are_promoted(spark, tmp_path):
+    """The wrong rules are run on the cases' documents and rejected; one that mends is promoted, once it is asked for."""
+    good, skills = pool(spark), url(tmp_path / "skills.md")
+    effects = {"divide": events.divide_pools, "cumulate": events.cumulate_pools, "collapse": events.collapse_pools, "harmless": lambda df: df}
+
+    def awards(text):
+        if "unasked" in text:
+            raise oracle.MissingAnswers("no stored answer")
+        out = good
+        for word, effect in effects.items():
+            out = effect(out) if word in text else out
+        return out
+
+    for rule in ("divide", "cumulate", "collapse"):
+        verdict, wrong = golden.promote(spark, [POOL], awards, skills, rule, apply=True)
+        assert verdict == "REJECT" and wrong and set(wrong) <= {"pool/one", "pool/all"}
+    assert golden.promote(spark, [POOL], awards, skills, "harmless", apply=True) == ("UNPROVEN", {})
+    assert golden.promote(spark, [POOL], awards, skills, "unasked", apply=True)[0] == "REFUSE" and not (tmp_path / "skills.md").exists()
+    (tmp_path / "skills.md").write_text("divide\n")  # skills that are wrong today
+    mend = lambda text: good if "mend" in text else awards(text)
+    assert golden.promote(spark, [POOL], mend, skills, "mend")[0] == "PROMOTE" and (tmp_path / "skills.md").read_text() == "divide\n"
+    assert golden.promote(spark, [POOL], mend, skills, "mend", apply=True) == ("PROMOTE", {}) and (tmp_path / "skills.md").read_text() == "divide\n\nmend\n"
+    assert golden.VERDICTS == {"PROMOTE": 0, "UNPROVEN": 0, "REJECT": 1, "REFUSE": 2}
+
+
 def test_prose_of_cases(spark, tmp_path):
     pages, snaps = tmp_path / "articles", tmp_path / "prose"
     for d in (pages, snaps):
