@@ -33,10 +33,21 @@ def clean(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+#: Characters whose case-blind form isn't their lower case (sharp s, ligatures, final sigma and the like).
+_FOLDS = {chr(k): chr(k).casefold() for k in range(128, 0x10000) if not 0xD800 <= k < 0xE000 and chr(k).casefold() != chr(k).lower()}
+
+
+def casefold(c: Column) -> Column:
+    """The form in which texts are compared without regard to case. ASCII texts, nearly all, are lower-cased alone."""
+    low = F.lower(c)
+    folds = F.create_map(*[F.lit(x) for pair in _FOLDS.items() for x in pair])
+    each = F.transform(F.split(low, ""), lambda ch: F.coalesce(F.try_element_at(folds, ch), ch))
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.array_join(each, "")).otherwise(low)
+
+
 def normalize_name(raw: Column) -> Column:
     """The key names are compared by: lower case, "&" as and, no marks, no leading "the", no legal forms unless nothing else is left."""
-    s = F.lower(F.replace(F.coalesce(raw, F.lit("")), F.lit("*"), F.lit(" ")))
-    s = F.replace(s, F.lit("ß"), F.lit("ss"))
+    s = casefold(F.replace(F.coalesce(raw, F.lit("")), F.lit("*"), F.lit(" ")))
     s = F.replace(F.replace(s, F.lit("&"), F.lit(" and ")), F.lit("."), F.lit(""))
     s = F.regexp_replace(F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")), r"^(?:the(?: |$))+", "")
     tokens = F.filter(F.split(s, " "), lambda t: t != "")
@@ -98,8 +109,8 @@ def tier_text(tier: Column) -> Column:
 
 
 def cell_text(c: Column) -> Column:
-    """A ticker or contract number as a cell shows it: blank without one."""
-    return F.coalesce(clean(c), F.lit(""))
+    """A ticker or contract number as a cell shows it, a link's text: blank without one, or where a dash stands for none."""
+    return F.coalesce(F.nullif(clean(c), F.lit("—")), F.lit(""))
 
 
 def competition_text(solicited: Column, received: Column) -> Column:

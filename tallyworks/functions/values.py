@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOW_CONFIDENCE = 0.7
@@ -164,6 +164,13 @@ def as_list(c: Column) -> Column:
     return F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.array().cast("array<string>")).when(F.trim(c).startswith("[") & F.try_parse_json(c).isNotNull(), parsed).otherwise(F.array(c))
 
 
+def exploded(answers: DataFrame, field: str, names: list[str], payload: str = "payload") -> DataFrame:
+    """The objects of an answer's array (``{"field": [...]}``): its other columns, ``pos`` in the array, and ``names`` as text. No such array, no rows."""
+    items = F.from_json(F.get_json_object(payload, f"$.{field}"), f"array<struct<{', '.join(f'{n}: string' for n in names)}>>")
+    rest = [c for c in answers.columns if c != payload]
+    return answers.select(*rest, F.posexplode(items).alias("pos", "item")).where("item IS NOT NULL").select(*rest, "pos", *[F.col("item")[n].alias(n) for n in names])
+
+
 def as_object(c: Column) -> Column:
     """JSON object as a map of strings; anything else as an empty map."""
     ok = F.trim(c).startswith("{") & F.try_parse_json(c).isNotNull()

@@ -115,6 +115,14 @@ def coerce(answers: DataFrame) -> DataFrame:
     )
 
 
+def from_payloads(answers: DataFrame, asked: DataFrame) -> DataFrame:
+    """Entity rows of batched answers (batch, payload with ``entities``) to the names asked (batch, pos, name)."""
+    fields = ["normalized_name", "ticker", "parent_company", "relationship", "is_public", "confidence", "reasoning"]
+    items = values.exploded(answers.select("batch", "payload"), "entities", fields)
+    placed = align(items.select("batch", "pos", "normalized_name", F.struct(*fields).alias("item")), asked)
+    return coerce(placed.select(F.col("name").alias("contractor_raw"), "item.*"))
+
+
 def problems(entities: DataFrame) -> DataFrame:
     """contractor_raw and what is wrong with its row; rows without fault are left out."""
     said = lambda cond, what: F.when(F.coalesce(cond, F.lit(False)), F.lit(what))

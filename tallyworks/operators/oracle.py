@@ -71,6 +71,27 @@ def ask_isolated(rows: DataFrame, answer: Callable[[list[dict]], list[dict]], ke
     return rows.mapInArrow(run, struct)
 
 
+class Guard:
+    """While it is entered no ``CachedOracle`` asks anybody: one that would is stopped and counted. For runs that must cost nothing."""
+
+    entered: list[Guard] = []
+
+    def __init__(self) -> None:
+        self.fired = 0
+
+    def __enter__(self) -> Guard:
+        Guard.entered.append(self)
+        return self
+
+    def __exit__(self, *exc: object) -> None:
+        Guard.entered.remove(self)
+
+
+def stubbed(outputs: dict[str, str], by: str = "prompt", tokens: tuple[int, int] = (0, 0)) -> Callable[[list[dict]], list[dict]]:
+    """An oracle with fixed outputs by one field of a request; it fails on any other."""
+    return lambda rows: [{"output": outputs[r[by]], "input_tokens": tokens[0], "output_tokens": tokens[1]} for r in rows]
+
+
 @dataclass
 class CachedOracle:
     """Answers of a store's ``answers`` table, and of ``answer`` for what it lacks.
@@ -90,6 +111,9 @@ class CachedOracle:
 
     def __call__(self, items: DataFrame) -> DataFrame:
         """The items that have an answer, with cache_key, output, cache_hit, input_tokens and output_tokens (their share of a call, rounded down)."""
+        if Guard.entered:
+            Guard.entered[-1].fired += 1
+            raise AssertionError(f"{self.label} was asked where nothing may be spent")
         store = self.store
         address = keys.cache_key(*[F.col(c) for c in REQUEST])
         asked = store.stage(self.request(items).withColumn("cache_key", address), self.owner)

@@ -92,6 +92,12 @@ def merge_causes(found: DataFrame, answers: DataFrame) -> DataFrame:
     return j.select("code", F.col("a.cause").alias("cause"), F.col("a.confidence").alias("confidence"), (values.needs_escalation(F.col("a.confidence")) | F.coalesce(F.col("a.cause").isin("schema_gap", "source_changed"), F.lit(False))).alias("review"))
 
 
+def from_payloads(answers: DataFrame) -> DataFrame:
+    """code, cause, confidence, position of answers (batch, payload with ``diagnoses``), as ``merge_causes`` takes them."""
+    items = values.exploded(answers.select("batch", "payload"), "diagnoses", ["code", "cause", "confidence"])
+    return items.select("code", "cause", F.col("confidence").try_cast("double").alias("confidence"), F.struct("batch", "pos").alias("position"))
+
+
 def report(found: DataFrame) -> str:
     """Findings as Markdown; one row per check at most."""
     lines = ["# Findings", "", "| check | severity | rows | examples |", "|---|---|---|---|"]

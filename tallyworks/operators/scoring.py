@@ -119,7 +119,7 @@ def content_batches(ids: DataFrame, key: str = "award_uid", size: int = 20, shar
 
 def fixed_batches(names: DataFrame, key: str, size: int = 25) -> DataFrame:
     """Batches of ``size`` in case-blind order."""
-    rows = names.select(key).distinct().withColumn("folded", F.lower(key))
+    rows = names.select(key).distinct().withColumn("folded", text.casefold(F.col(key)))
     at = cumulative(rows.withColumn("sort", F.struct("folded", key)).withColumn("n", F.lit(1)), "sort", "n")
     return at.select(key, F.floor(F.col("below") / size).cast("long").alias("batch"))
 
@@ -140,6 +140,12 @@ def coerce(answers: DataFrame) -> DataFrame:
     return answers.select("award_uid", score.alias("score"), tier.alias("tier"), rationale.alias("rationale"), F.to_json(text.tags(values.as_list(F.col("drivers")))).alias("drivers"), sure.alias("confidence"))
 
 
+def from_payloads(answers: DataFrame, asked: DataFrame) -> DataFrame:
+    """Scores of batched answers (batch, payload with ``scores``) to the awards asked (batch, pos, award_uid)."""
+    items = values.exploded(answers.select("batch", "payload"), "scores", ["score", "tier", "rationale", "drivers", "confidence"])
+    return coerce(align(items, asked))
+
+
 def escalate(rows: DataFrame, second: DataFrame, key: str, pending: Column | None = None) -> DataFrame:
     """``rows`` with the second answer where the first is unsure; still unsure rows are flagged for review; pending rows are neither."""
     hold = F.lit(False) if pending is None else F.coalesce(pending, F.lit(False))

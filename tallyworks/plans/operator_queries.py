@@ -161,8 +161,7 @@ _ANSWER = """SELECT contractor_raw, '' AS normalized_name, CASE WHEN length(cont
        FROM (SELECT *, upper(trim(ticker)) AS tk, coalesce(relationship, 'owner') = 'owner' AS bad, CASE WHEN coalesce(relationship, 'owner') = 'owner' THEN 'unknown' ELSE relationship END AS rel,
                     CASE is_public WHEN 'yes' THEN TRUE WHEN 'false' THEN FALSE ELSE ticker IS NOT NULL END AS pub FROM ({_ANSWER.format(s="VARCHAR")}) x) y) z"""))
 def entity_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    Domain(spark, sf_dir).entities.createOrReplaceTempView("__entities")
-    answers = spark.sql(_ANSWER.format(s="STRING").replace("FROM entities", "FROM __entities"))
+    answers = spark.sql(_ANSWER.format(s="STRING").replace("FROM entities", "FROM {entities}"), entities=Domain(spark, sf_dir).entities)
     return entities.coerce(answers).select("contractor_raw", "ticker", "relationship", "is_public", "confidence", "reasoning", "normalized_name")
 
 
@@ -197,8 +196,7 @@ _REPAIRED = """SELECT award_uid, contractor_raw, contract_number, amount_usd, CA
 
 
 def _raw_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    Domain(spark, sf_dir).awards.createOrReplaceTempView("__awards")
-    return spark.sql(_RAW.format(awards="__awards"))
+    return spark.sql(_RAW.format(awards="{awards}"), awards=Domain(spark, sf_dir).awards)
 
 
 @query(sql(_REPAIRED))
@@ -285,8 +283,7 @@ _COERCED = """SELECT award_uid, s AS score, t AS tier, CASE WHEN n % 3 = 0 THEN
 
 
 def _coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    Domain(spark, sf_dir).materiality.createOrReplaceTempView("__materiality")
-    return scoring.coerce(spark.sql(_SCORED.format(s="STRING", t="__materiality")))
+    return scoring.coerce(spark.sql(_SCORED.format(s="STRING", t="{rows}"), rows=Domain(spark, sf_dir).materiality))
 
 
 @query(sql(_COERCED))
@@ -415,3 +412,22 @@ def listing_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Domain(spark, sf_dir).announcements.withColumn("doc", F.col("announcement_id").cast("long"))
     pages = rows.select(F.col("doc").alias("page"), F.expr(_TAG).alias("html"))
     return html.parse_listing(pages).select("announcement_id", "title", "url", "announced_date")
+
+
+_PAYLOADS = """SELECT k, '{"scores": [{"award_uid": "s' || CAST(k AS STRING) || '", "score": ' || CAST(k % 101 AS STRING) || '}, {"award_uid": "t' || CAST(k AS STRING) || '", "tier": "alert", "drivers": ["a"]}], "diagnoses": [{"code": "C' || CAST(k % 12 AS STRING) || '"}], "entities": '
+       || CASE k % 3 WHEN 0 THEN '[]' WHEN 1 THEN 'null' ELSE '[{"normalized_name": "N ' || chr(92) || '"' || CAST(k AS STRING) || chr(92) || '""}]' END || CASE WHEN k % 10 = 0 THEN '' ELSE '}' END AS payload FROM base"""
+
+
+@query(sql("""SELECT k, 'scores' AS field, 0 AS pos, 's' || k AS name, CAST(k % 101 AS VARCHAR) AS value FROM base WHERE k % 10 <> 0
+UNION ALL SELECT k, 'scores', 1, 't' || k, '["a"]' FROM base WHERE k % 10 <> 0
+UNION ALL SELECT k, 'diagnoses', 0, 'C' || (k % 12), NULL FROM base WHERE k % 10 <> 0
+UNION ALL SELECT k, 'entities', 0, 'N "' || k || '"', NULL FROM base WHERE k % 10 <> 0 AND k % 3 = 2"""))
+def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objects of three arrays of made-up answers, one answer an order; every tenth is broken JSON and has none."""
+    answers = spark.sql(_PAYLOADS.replace("FROM base", "FROM {base}").replace('{"', '{{"').replace("}]", "}}]").replace("}, {{", "}}, {{").replace("'}' END", "'}}' END"), base=Domain(spark, sf_dir).base)
+    whole = answers.where(F.try_parse_json("payload").isNotNull())
+    rows = []
+    for field, name, value in (("scores", "award_uid", F.coalesce("score", "drivers")), ("diagnoses", "code", F.lit(None).cast("string")), ("entities", "normalized_name", F.lit(None).cast("string"))):
+        got = values.exploded(whole, field, sorted({name, "score", "drivers"}))
+        rows.append(got.select("k", F.lit(field).alias("field"), "pos", F.col(name).alias("name"), value.alias("value")))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])

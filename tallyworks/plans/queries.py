@@ -496,7 +496,8 @@ def event_windows_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS sum_qty, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM lineitem GROUP BY 1, 2""")
 def sql_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A statement given as text, over a table of files."""
-    return spark.sql(f"SELECT l_returnflag, l_linestatus, sum(CAST(l_quantity AS BIGINT)) AS sum_qty, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, count(*) AS n FROM parquet.`{sf_dir}/lineitem.parquet` GROUP BY 1, 2")
+    statement = f"SELECT l_returnflag, l_linestatus, sum(CAST(l_quantity AS BIGINT)) AS sum_qty, sum(CAST(round(l_extendedprice * ?) AS BIGINT)) AS cents, count(*) AS n FROM parquet.`{sf_dir}/lineitem.parquet` WHERE l_linestatus <> ? GROUP BY 1, 2"
+    return views.rows_of(spark, statement, [100, "' OR '1' = '1"])
 
 
 @query(sql("SELECT model, outcome, count(*) AS n, rank() OVER (PARTITION BY model ORDER BY count(*) DESC) AS place FROM agent_runs GROUP BY 1, 2"))

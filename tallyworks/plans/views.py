@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, values
 from ..operators.tables import any_of, keep_first, running_total
 
 
+def rows_of(spark: SparkSession, statement: str, parameters: list | None = None) -> DataFrame:
+    """A statement's rows; each ``?`` in it stands for the next parameter, which is bound, not spliced in."""
+    return spark.sql(statement, args=parameters) if parameters else spark.sql(statement)
+
+
 def pending_announcements(announcements: DataFrame) -> DataFrame:
     return announcements.where("extraction_status = 'pending'").orderBy(F.col("announced_date").desc_nulls_last(), F.desc("announcement_id"))
 

@@ -7,6 +7,7 @@ asked once for each of its items, whatever is counted or recorded afterwards.
 
 from __future__ import annotations
 
+import contextlib
 import importlib.util
 import uuid
 from collections.abc import Callable
@@ -341,7 +342,8 @@ def _tick(store: Store, registry: Registry, export: str | None, limits: Limits,
         done |= {f"survey_{r.state}": r["count"] for r in found.groupBy("state").count().collect()}
         if not limits.dry_run:
             store.upsert("announcements", manifest_rows(manifest, store.read_keys("announcements", manifest)))
-    costs = [(agent, estimate(agent, queue_of(agent, store, limits)).first()) for agent in registry.in_order()]
+    with oracles.Guard() if limits.dry_run else contextlib.nullcontext():
+        costs = [(agent, estimate(agent, queue_of(agent, store, limits)).first()) for agent in registry.in_order()]
     done["projected_usd"] = round(sum(c.cost_usd for _, c in costs), 6)
     done |= {f"queued_{agent.name}": c.calls for agent, c in costs}
     if limits.dry_run:

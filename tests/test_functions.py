@@ -1,8 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tallyworks import registry
 from tallyworks.functions import text, values
-from tallyworks.operators import selectors, tables
+from tallyworks.operators import oracle, selectors, tables
 from tallyworks.sources import html, writers
 
 
@@ -69,3 +70,23 @@ def test_store_upserts_and_conforms(spark, tmp_path):
     store.upsert("entities", spark.createDataFrame([("a", 0.9)], "contractor_raw string, confidence double"))
     assert sorted((r.contractor_raw, r.confidence) for r in store.read("entities").collect()) == [("a", 0.9), ("b", None)]
     assert store.read("entities").columns == registry.columns("entities")
+
+
+def test_casefold_as_python(spark):
+    words = ["Straße AG", "ΣΊΣΥΦΟΣ", "ﬁnal Oﬀer", "ſecond", "K9", "ABC def", "ŉ ǰ ẞ", "", None, "İstanbul", "Ꭰꭰ"]
+    rows = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, w string")
+    got = [r.f for r in rows.select("k", text.casefold(F.col("w")).alias("f")).orderBy("k").collect()]
+    assert got == [w and w.casefold() for w in words]
+    named = rows.select("k", text.normalize_name(F.col("w")).alias("n"), text.cell_text(F.col("w")).alias("c")).orderBy("k").collect()
+    assert [named[k].n for k in (0, 2, 3)] == ["strasse ag", "final offer", "second"]
+    cells = spark.createDataFrame([("—",), (" ",), (None,), ("ACM ",)], "t string").select(text.cell_text(F.col("t")).alias("c"))
+    assert [r.c for r in cells.collect()] == ["", "", "", "ACM"]
+
+
+def test_nothing_is_asked_under_guard_and_stubs_answer(spark):
+    asked = oracle.CachedOracle(None, oracle.stubbed({}), lambda items: items)
+    with oracle.Guard() as guard, pytest.raises(AssertionError, match="nothing may be spent"):
+        asked(spark.range(1))
+    assert guard.fired == 1 and not oracle.Guard.entered
+    answer = oracle.stubbed({"p": "{}"}, tokens=(3, 1))
+    assert [(e, a) for _, a, e in oracle.isolate([{"prompt": "p"}, {"prompt": "q"}], answer)] == [(None, {"output": "{}", "input_tokens": 3, "output_tokens": 1}), ("KeyError: 'q'", None)]

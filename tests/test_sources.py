@@ -258,6 +258,18 @@ def test_names_by_place_and_by_name(spark):
     assert (made.normalized_name, made.relationship, made.confidence) == ("Acme", "unknown", 0.0)
 
 
+def test_rows_of_payloads(spark):
+    names = spark.createDataFrame([(0, 0, "Acme Corp."), (0, 1, "Bolt")], "batch int, pos int, name string")
+    payload = {"entities": [{"normalized_name": "Acme", "ticker": "acm", "relationship": "direct", "confidence": 0.9}, {"normalized_name": "Bolt", "relationship": "private", "confidence": "0.8"}]}
+    got = entities.from_payloads(spark.createDataFrame([(0, json.dumps(payload)), (1, "{broken")], "batch int, payload string"), names).collect()
+    assert {(r.contractor_raw, r.ticker, r.relationship, r.confidence) for r in got} == {("Acme Corp.", "ACM", "direct", 0.9), ("Bolt", None, "private", 0.8)}
+    asked = spark.createDataFrame([(0, 0, "a1"), (0, 1, "a2")], "batch int, pos int, award_uid string")
+    scored = scoring.from_payloads(spark.createDataFrame([(0, '{"scores": [{"score": 88, "tier": "alert", "confidence": 0.95, "drivers": ["x"]}]}')], "batch int, payload string"), asked).collect()
+    assert {(r.award_uid, r.score, r.tier, r.confidence) for r in scored} == {("a1", 88, "alert", 0.95), ("a2", 0, "routine", 0.3)}
+    causes = quality.from_payloads(spark.createDataFrame([(0, '{"diagnoses": [{"code": "A", "cause": "x", "confidence": 0.4}, {"code": "A", "cause": "schema_gap", "confidence": 0.9}]}')], "batch int, payload string"))
+    assert [tuple(r) for r in quality.merge_causes(spark.createDataFrame([("A",), ("B",)], "code string"), causes).orderBy("code").collect()] == [("A", "schema_gap", 0.9, True), ("B", None, None, True)]
+
+
 def test_oracles_findings_and_membership(spark):
     got = scoring.ask(spark.createDataFrame([(i,) for i in range(45)], "n int").coalesce(1), lambda rows: [{"n": r["n"], "size": len(rows)} for r in rows], "n int, size int", 20).collect()
     assert sorted({r["size"] for r in got}) == [5, 20] and len(got) == 45
