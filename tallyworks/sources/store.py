@@ -119,6 +119,11 @@ class Store:
         found = self.frame(table, now, self.buckets_of(table, keys, column or by, now))
         return found.join(keys.select(F.col(column or by).alias(by)).distinct(), by, "left_semi").select(found.columns)
 
+    def moved(self, table: str, since: int) -> bool:
+        """Whether any bucket's content isn't what it was in version ``since``: two manifests tell."""
+        old, new = self.manifest(table, since), self.manifest(table)
+        return old.number != new.number and (old.n_buckets, old.buckets) != (new.n_buckets, new.buckets)
+
     def differing(self, table: str, since: int) -> tuple[DataFrame, DataFrame]:
         """Rows before and after, of the buckets whose content isn't what it was in version ``since``."""
         old, new = self.manifest(table, since), self.manifest(table)
@@ -210,8 +215,8 @@ class Store:
         fs, p = file_system(self.spark, f"{self.root}/_staged/{owner}")
         fs.delete(p, True)
 
-    def upsert(self, table: str, rows: DataFrame, position: str | None = None, upto: dict[str, int] | None = None) -> int:
-        """Rows in place of those with their keys; the number of distinct keys written.
+    def upsert(self, table: str, rows: DataFrame, position: str | None = None, upto: dict[str, int] | None = None, staged: bool = False) -> int:
+        """Rows in place of those with their keys; the number of distinct keys written. ``staged`` rows are read again, not written first.
 
         ``position`` orders repeats, the last wins; without it the repeat with the greatest hash of its contents does, whatever the
         order of rows. A null key is an error. A bucket that holds none of the keys yet gets the rows as a further folder, unread, so
@@ -220,7 +225,8 @@ class Store:
         like, key, by = self._contract(table)
         at = position or "__pos"
         owner = uuid.uuid4().hex
-        rows = self.stage(conform(rows if position else rows.withColumn(at, F.xxhash64(*rows.columns)), like, at), owner)
+        rows = conform(rows if position else rows.withColumn(at, F.xxhash64(*rows.columns)), like, at)
+        rows = rows if staged else self.stage(rows, owner)
         written = [0]
 
         def plan(base: Version) -> tuple[list[int], list[int], DataFrame]:

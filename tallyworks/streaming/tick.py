@@ -251,7 +251,7 @@ def dispatch(agent: Agent, queue: DataFrame, store: Store, tick_id: str, live: b
         """The agent's rows, with escalated and review: all that an oracle has a say in."""
         rows = store.stage(agent.run(items), tick_id)
         confidence = telemetry.confidence_column(rows.columns)
-        if not (getattr(agent, "second", None) and confidence):
+        if not (getattr(agent, "second", None) and confidence):  # staged rows with two constants: still read, never asked again
             return rows.withColumns({"escalated": F.lit(False), "review": F.lit(False)})
         key = key_of(rows)
         unsure = rows.where(values.needs_escalation(F.col(confidence)))
@@ -267,7 +267,7 @@ def dispatch(agent: Agent, queue: DataFrame, store: Store, tick_id: str, live: b
         if confidence and not flagged.isEmpty():
             out["review"] += store.upsert("review_queue", scoring.review_rows(flagged.drop("review"), agent.name, key, F.lit("low confidence")).withColumn("flagged_at", F.current_timestamp()))
         name = next((t for t in (table_for([c for c in rows.columns if c in columns(table)]), table) if t), table)
-        out["written"] += store.upsert(name, rows)
+        out["written"] += store.upsert(name, rows, staged=True)
         model = telemetry.model_column(columns(name))
         told = rows.select(
             F.col(key).cast("string").alias("item_key"),
@@ -358,7 +358,7 @@ def _tick(store: Store, registry: Registry, export: str | None, limits: Limits,
     found = store.stage(upkeep.changes_since(store, before, tick_id).withColumn("detected_at", F.current_timestamp()), tick_id)
     done["changes"] = {r.change_type: r.n for r in changes.by_kind(found).collect()}
     if done["changes"]:
-        store.upsert("changes", found)
+        store.upsert("changes", found, staged=True)
     if export:
         store.export(export)
     return done

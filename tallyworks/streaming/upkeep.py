@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import changes, events
-from ..registry import columns
+from ..registry import columns, empty
 from ..sources.files import exists
 from ..sources.store import Store
 
@@ -58,6 +58,8 @@ def keep_contracts(store: Store) -> dict[str, int]:
     upto = store.manifest("contract_events").upto
     if not all(_known(store, t, upto.get(t)) for t in ("awards", "entities")):
         return rebuild_contracts(store)
+    if not any(store.moved(t, upto[t]) for t in ("awards", "entities")):
+        return {"touched": 0}
     start, entities = store.numbers("awards")["awards"], store.numbers("entities")["entities"]
     owner = f"upkeep-{uuid.uuid4().hex}"
     changed = store.stage(store.changed_keys("awards", upto["awards"]), owner)
@@ -81,7 +83,7 @@ def keep_contracts(store: Store) -> dict[str, int]:
     stand = held.unionByName(new).select("award_uid", *[F.col(c).alias(f"was_{c}") for c in MARKS])
     differs = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"was_{c}")) for c in MARKS])
     moved = rows.join(stand, "award_uid").where(differs).select(columns("awards"))
-    marked = store.upsert("awards", moved)
+    marked = store.upsert("awards", store.stage(moved, owner), staged=True)
     attached = rows.where("contract_uid IS NOT NULL")
     names = attached.select("contractor_raw").distinct()
     built = store.stage(events.build_contracts(attached, store.read_keys("entities", names)), owner)
@@ -94,6 +96,8 @@ def keep_contracts(store: Store) -> dict[str, int]:
 
 def changes_since(store: Store, before: dict[str, int], owner: str = "changes") -> DataFrame:
     """All five kinds of change between earlier versions (by table) and now, less those recorded already; only what differs is compared."""
+    if not any(store.moved(t, n) for t, n in before.items()):
+        return empty(store.spark, "changes")
     pairs = {t: _sides(store.stage(store.changed_keys(t, before[t]), owner)) for t in ("announcements", "awards", "materiality")}
     old, new = ({t: p[k] for t, p in pairs.items()} for k in (0, 1))
     ids = store.stage(new["awards"].select("award_uid").unionByName(new["materiality"].select("award_uid")).distinct(), owner)
