@@ -600,3 +600,40 @@ def test_sum_of_squares_by_brute_force(seed):
     bins, offsets = packing.pack_lengths(np.array(sizes), capacity)
     assert offsets.tolist() == [place[i] for i in range(len(sizes))]
     assert len(set(bins.tolist())) == len(gaps)
+
+
+@pytest.mark.parametrize("segment", [repeat_windows.SEGMENT, 700, 128])
+def test_windows_of_texts_above_a_segment_are_covered_once(segment, monkeypatch):
+    monkeypatch.setattr(repeat_windows, "SEGMENT", segment)
+    rng = random.Random(segment)
+    length = 2 * segment + 1234
+    texts = [bytes(rng.choice(b"abc \n") for _ in range(length)), b"", b"x" * 49, b"y" * 50, bytes(rng.randrange(256) for _ in range(segment + 3)), b"z" * (segment + 100)]
+    r = repeat_windows.runs(texts)
+    for t, text in enumerate(texts):
+        own = np.flatnonzero(r["text"] == t)
+        spans = sorted(zip(r["first"][own].tolist(), r["count"][own].tolist(), strict=True))
+        at = 0
+        for first, count in spans:
+            assert first == at and count > 0
+            at += count
+        assert at == max(0, len(text) - 49)
+
+
+def test_codec_of_an_empty_table_and_a_long_text(spark):
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    assert piece_codec.round_trip(table(spark, []), path).collect() == []
+    import sentencepiece
+
+    text = "Wave  and stone, Örtchen 12 " * 40_000
+    got = piece_codec.round_trip(table(spark, [(1, text), (2, None)]), path).collect()
+    ids = sentencepiece.SentencePieceProcessor(model_file=path).encode(text, num_threads=1)
+    assert [r.n_tokens for r in sorted(got)] == [len(ids), 0]
+    assert sorted(got)[0].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_long_copies_are_removed_whole(spark):
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(180_000))
+    assert len(long) > repeat_windows.SEGMENT
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeat_windows.measure(table(spark, [(1, long), (2, "a head " + long + " a tail")])).collect()}
+    assert got[1] == (len(long), 0, 0) and got[2] == (len(long) + 14, len(long), 1)
