@@ -43,7 +43,15 @@ def top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 def new_ids(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Ids, as text, of ``after`` that ``before`` lacks."""
     text = lambda df: df.select(F.col(key).cast("string").alias(key)).where(F.col(key).isNotNull())
-    return text(after).distinct().join(text(before), key, "left_anti")
+    return text(after).join(spread(text(before), key), key, "left_anti").distinct()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` by the hash of ``key`` in all of ``spark.sql.shuffle.partitions``, for a join on it.
+
+    Adaptive execution merges partitions by their compressed bytes; of short rows it would put millions into one task's sorts.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def last_seen(value: Column, partition: list[str], order: list[str]) -> Column:
