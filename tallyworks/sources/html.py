@@ -20,8 +20,8 @@ def parse_listing(pages: DataFrame, html: str = "html") -> DataFrame:
 def prose_markup(html: Column) -> Column:
     """The part of a page that holds the prose, tags turned into newlines, references still encoded."""
     h = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>", " ")
-    pattern = r'(?is)<div[^>]*class="[^"]*\bbody\b[^"]*"[^>]*>(.*?)</div>\s*</div>'
-    return F.regexp_replace(F.when(h.rlike(pattern), F.regexp_extract(h, pattern, 1)).otherwise(h), r"<[^>]+>", "\n")
+    body = F.regexp_replace(h, r'(?is)\A.*?<div[^>]*class="[^"]*\bbody\b[^"]*"[^>]*>(.*?)</div>\s*</div>.*\z', "$1")
+    return F.regexp_replace(body, r"<[^>]+>", "\n")
 
 
 def tidy_prose(decoded: Column) -> Column:
@@ -46,11 +46,11 @@ def scan_lines(docs: DataFrame) -> DataFrame:
     rows = under.where(F.col("head").isNull() & F.substring("line", 1, 400).rlike(text.AWARD)).withColumn("ordinal", F.row_number().over(Window.partitionBy("announcement_id").orderBy("at")) - 1)
     some = lambda p, g=1: F.nullif(F.regexp_extract("line", p, g), F.lit(""))
     name = F.coalesce(F.trim(some(text.NAME)), F.lit("unknown"))
-    money = some(text.DOLLARS)
+    money, unit = (F.regexp_extract("money", text.DOLLARS, k) for k in (1, 2))
     action = F.when(F.col("line").rlike(text.MODIFICATION), "modification").when(F.col("line").rlike(text.OPTION), "option_exercise").otherwise("new_award")
-    return rows.select(
+    return rows.withColumn("money", some(text.DOLLARS, 0)).select(
         keys.award_uid(F.col("announcement_id"), F.lit(""), name, F.col("ordinal")).alias("award_uid"), "announcement_id", F.when(F.col("branch").isin(BRANCHES), F.col("branch")).otherwise("OTHER").alias("service_branch"), name.alias("contractor_raw"),
-        F.when(money.isNotNull(), values.dollars_with_unit(money, F.coalesce(some(text.DOLLARS, 2), F.lit("")))).alias("amount_usd"), action.alias("action_type"), some(text.MOD_NUMBER).alias("modification_number"), F.col("line").rlike(text.IDIQ).alias("is_idiq"), F.col("line").rlike(text.MULTI).alias("is_multi_award"),
+        values.dollars_with_unit(money, unit).alias("amount_usd"), action.alias("action_type"), some(text.MOD_NUMBER).alias("modification_number"), F.col("line").rlike(text.IDIQ).alias("is_idiq"), F.col("line").rlike(text.MULTI).alias("is_multi_award"),
         F.col("line").rlike(text.STAR).alias("small_business"), some(text.BIDS).cast("int").alias("bids_received"), F.substring("line", 1, 600).alias("work_description"), F.lit(0.5).alias("extraction_confidence"),
     )
 
