@@ -115,8 +115,8 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
     return map_batches(df, run, struct)
 
 
-def map_group_streams(df: DataFrame, keys: list[str], fn: Callable[[tuple, Iterator[pa.Table]], Iterator[pa.Table]], schema: StructType | str, order: Sequence[Column] = ()) -> DataFrame:
-    """``fn`` on the rows of each key, one key after another in a sorted partition; a key's rows come piece by piece, in ``order``."""
+def map_group_streams(df: DataFrame, keys: list[str], fn: Callable[[tuple, Iterator[pa.Table]], Iterator[pa.Table]], schema: StructType | str, order: Sequence[Column] = (), join: Callable[[Iterator[pa.Table]], Iterator[pa.Table]] = iter) -> DataFrame:
+    """``fn`` on the rows of each key, one key after another in a sorted partition; a key's rows come piece by piece, in ``order``. ``join`` gets what a partition's keys give, one after another."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     struct = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
@@ -132,21 +132,20 @@ def map_group_streams(df: DataFrame, keys: list[str], fn: Callable[[tuple, Itera
                     yield rows[a], table.slice(a, b - a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, pieces in itertools.groupby(cut(batches), key=lambda p: p[0]):
-            for out in fn(key, (t for _, t in pieces)):
-                yield from out.cast(arrow).to_batches()
+        for out in join(out for key, pieces in itertools.groupby(cut(batches), key=lambda p: p[0]) for out in fn(key, (t for _, t in pieces))):
+            yield from out.cast(arrow).to_batches()
 
     return map_batches(df.repartition(*keys).sortWithinPartitions(*keys, *order), run, struct)
 
 
-def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: StructType | str) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table | None], schema: StructType | str, join: Callable[[Iterator[pa.Table]], Iterator[pa.Table]] = iter) -> DataFrame:
     """``fn`` on the rows of each key, one after another in a sorted partition: cheap for many small groups."""
 
     def run(_: tuple, pieces: Iterator[pa.Table]) -> Iterator[pa.Table]:
         if (out := fn(pa.concat_tables(pieces))) is not None:
             yield out
 
-    return map_group_streams(df, keys, run, schema)
+    return map_group_streams(df, keys, run, schema, join=join)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -7,7 +7,8 @@ where it starts. Equal windows have equal anchors at equal places, so
 
 1. windows next to each other with one anchor are one run; a run's digest covers all its
    bytes. Every chunk of documents sends (anchor, digest, smallest document) of its
-   distinct runs, packed, to the anchor's bucket;
+   distinct runs to the anchor's bucket. Runs of many chunks travel in one row, so that
+   rows grow with the runs and not with chunks times buckets;
 2. a bucket, sorted, answers the chunks: the smallest document of a digest, where another
    chunk has a smaller one; and, where an anchor has several digests, asks the chunk of
    each digest's smallest document for the run's bytes;
@@ -39,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,7 @@ WINDOW, GRAM = 50, 16
 SPAN = WINDOW - GRAM + 1
 CHUNK_BYTES, BUCKET_RUNS, LARGE, ROUTE_RUNS, HOT = 4 << 20, 1_000_000, 4_000_000, 25_000, 4096
 SPLIT, LEVELS, HELD_RUNS = 64, 5, 800_000
+ROW_RUNS, ROWS, HELD_HITS = 16_384, 32, 1_000_000  # packed runs in a row, rows dealt again together, windows answered together
 SLICE = 1_000_000  # windows looked at together
 SEGMENT = 1 << 20
 _U = np.uint64
@@ -176,9 +179,35 @@ def _heads(*cols: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _ranked(doc: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rank of each document and chunk among all, and both by rank."""
+    order = np.lexsort((chunk, doc))
+    head = _heads(doc[order], chunk[order])
+    rank = np.empty(len(doc), np.int64)
+    rank[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(doc))))
+    return rank, doc[order[head]], chunk[order[head]]
+
+
+def _pack(bucket: np.ndarray, rank: np.ndarray, docs: np.ndarray, chunks: np.ndarray, anchor: np.ndarray, key: np.ndarray, base: int = 0) -> pa.Table:
+    """Rows of a bucket's runs, in the order of their documents, which a row tells once: by differences, with the chunk and the number of runs."""
+    order = np.argsort((bucket.astype(_U) << _U(40)) | rank.astype(_U), kind="stable")
+    bucket, rank, anchor, key = bucket[order], rank[order], anchor[order], key[order]
+    head = _heads(bucket)
+    part = (np.arange(len(bucket)) - np.repeat(head, np.diff(np.append(head, len(bucket))))) // ROW_RUNS
+    cut = np.append(_heads(bucket, part), len(bucket))
+    head = _heads(bucket, part, rank)
+    count = np.diff(np.append(head, len(bucket))).astype(_U)
+    doc, chunk = docs[rank[head]].astype(_U), chunks[rank[head]].astype(_U)
+    at = np.searchsorted(head, cut)
+    rows = [
+        (base + int(bucket[a]), _planes(np.diff(doc[c:d], prepend=_U(0)), 8), _planes(chunk[c:d], 4), _planes(count[c:d], 4), _planes(anchor[a:b], 5), _planes(key[a:b], 7))
+        for a, b, c, d in zip(cut, cut[1:], at, at[1:], strict=False)
+    ]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 5), strict=True)], names=[f.split()[0] for f in PACKED.split(", ")])
+
+
 def _send_runs(buckets: int):
-    """Step 1: packed distinct runs by (bucket, chunk)."""
-    names = ["bucket", "chunk", "docs", "anchors", "keys", "who"]
+    """Step 1: packed distinct runs of each chunk, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -186,30 +215,18 @@ def _send_runs(buckets: int):
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            chunk, doc, anchor, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            chunk, doc, anchor, key = (np.concatenate([h[k] for h in held]) for k in (0, 1, 3, 4))
+            text = np.concatenate([h[2] + n for h, n in zip(held, itertools.accumulate((len(h[0]) for h in held), initial=0), strict=False)])
             held.clear()
+            rank, docs, chunks = _ranked(doc, chunk)
+            rank = rank[text]
             bucket = (anchor >> _U(32)).astype(np.int64) % buckets
-            group = bucket * (int(chunk.max()) + 1) + chunk
-            if int(group.max()) >> 24:
-                group = np.unique(group, return_inverse=True)[1]
-            mixed = (anchor * _U(_B)) ^ key
-            order = np.argsort((group.astype(_U) << _U(40)) | (mixed >> _U(24)), kind="stable")
-            group, anchor, key, doc = group[order], anchor[order] & _ANCHOR40, key[order] & _KEY56, doc[order]
-            head = _heads(group, anchor, key)
-            if not len(head):
-                return
-            doc = np.minimum.reduceat(doc, head)
-            group, anchor, key = group[head], anchor[head], key[head]
-            first = order[head]
-            cuts = np.append(_heads(group), len(group))
-            out: dict = {k: [] for k in names}
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                docs, who = np.unique(doc[a:b], return_inverse=True)
-                i = first[a]
-                for k, v in zip(names, (int(bucket[i]), int(chunk[i]), docs.tobytes(), _planes(anchor[a:b], 5), _planes(key[a:b], 7), who.astype("<u2" if len(docs) <= 65536 else "<u4").tobytes()), strict=True):
-                    out[k].append(v)
-            types = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(names, types, strict=True)], names=names)
+            mixed = ((anchor * _U(_B)) ^ key) + chunks[rank].astype(_U) * _U(0xA0761D6478BD642F)
+            order = np.argsort((bucket.astype(_U) << _U(40)) | (mixed >> _U(24)), kind="stable")
+            bucket, rank, anchor, key = bucket[order], rank[order], anchor[order] & _ANCHOR40, key[order] & _KEY56
+            head = _heads(bucket, chunks[rank], anchor, key)
+            rank = np.minimum.reduceat(rank, head)  # of one chunk, the least rank is the smallest document
+            yield from _pack(bucket[head], rank, docs, chunks, anchor[head], key[head]).to_batches()
 
         n = 0
         for batch in batches:
@@ -218,7 +235,7 @@ def _send_runs(buckets: int):
             chunk, doc = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             r = runs(batch.column(2).to_pylist())
             if len(r["text"]):
-                held.append((chunk[r["text"]], doc[r["text"]], r["anchor"], r["key"]))
+                held.append((chunk, doc, r["text"], r["anchor"], r["key"]))
                 n += len(r["text"])
             if n > HELD_RUNS:
                 yield from flush()
@@ -228,19 +245,19 @@ def _send_runs(buckets: int):
     return run
 
 
-PACKED = "bucket long, chunk long, docs binary, anchors binary, keys binary, who binary"
+PACKED = "bucket long, docs binary, chunks binary, counts binary, anchors binary, keys binary"
 ANSWER = "chunk long, look binary, low binary, need binary, mask binary, asked long"
 
 
 def _unpack(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """doc, key, anchor, chunk of packed runs."""
     docs, keys, anchors, chunks = [], [], [], []
-    for chunk, d, a, k, w in zip(*(group.column(c).to_pylist() for c in ("chunk", "docs", "anchors", "keys", "who")), strict=True):
-        n = len(a) // 5
-        docs.append(np.frombuffer(d, np.int64)[np.frombuffer(w, "<u2" if len(w) == 2 * n else "<u4")])
+    for d, c, n, a, k in zip(*(group.column(x).to_pylist() for x in ("docs", "chunks", "counts", "anchors", "keys")), strict=True):
+        count = _unplanes(n, 4).astype(np.int64)
+        docs.append(np.repeat(np.cumsum(_unplanes(d, 8)).astype(np.int64), count))
+        chunks.append(np.repeat(_unplanes(c, 4).astype(np.int64), count))
         anchors.append(_unplanes(a, 5))
         keys.append(_unplanes(k, 7))
-        chunks.append(np.full(n, chunk, np.int64))
     return tuple(np.concatenate(x) for x in (docs, keys, anchors, chunks))
 
 
@@ -272,21 +289,13 @@ def _answer(group: pa.Table, hot: bool = False) -> pa.Table | None:
 
 def _deal_again(group: pa.Table, bucket: int, common: np.ndarray, seed: int) -> Iterator[pa.Table]:
     """Runs of a large bucket, packed for SPLIT smaller ones: by anchor, those of ``common`` anchors, in odd buckets, by anchor and digest."""
-    for i in range(group.num_rows):
-        row = group.slice(i, 1)
-        doc, key, anchor, chunk = _unpack(row)
+    for i in range(0, group.num_rows, ROWS):
+        doc, key, anchor, chunk = _unpack(group.slice(i, ROWS))
         hot = np.isin(anchor, common) | bool(bucket & 1)
         mixed = (anchor ^ np.where(hot, key, _U(0))) * _U(_B) + _U(seed)
         mixed ^= mixed >> _U(29)
         to = ((mixed * _U(0xD6E8FEB86659FD93)) >> _U(40)).astype(np.int64) % SPLIT * 2 + hot
-        order = np.argsort(to, kind="stable")
-        cut = np.append(_heads(to[order]), len(order))
-        rows = []
-        for a, b in itertools.pairwise(cut):
-            part = order[a:b]
-            docs, who = np.unique(doc[part], return_inverse=True)
-            rows.append((int(to[part[0]]) + 2 * SPLIT * (bucket >> 1), int(chunk[0]), docs.tobytes(), _planes(anchor[part], 5), _planes(key[part], 7), who.astype("<u2" if len(docs) <= 65536 else "<u4").tobytes()))
-        yield pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=[f.split()[0] for f in PACKED.split(", ")])
+        yield _pack(to, *_ranked(doc, chunk), anchor, key, 2 * SPLIT * (bucket >> 1))
 
 
 def _settle(level: int):
@@ -301,7 +310,7 @@ def _settle(level: int):
         held, runs = [], 0
         for piece in pieces:
             held.append(piece)
-            runs += sum(len(x) // 5 for x in piece.column("anchors").to_pylist())
+            runs += pc.sum(pc.binary_length(piece.column("anchors"))).as_py() // 5
             if runs > LARGE and level < LEVELS:
                 break
         else:
@@ -410,10 +419,31 @@ def radix_groups(buf: np.ndarray, starts: np.ndarray, lead: np.ndarray) -> tuple
     return rest, group
 
 
+def _by_chunk(answers: Iterator[pa.Table]) -> Iterator[pa.Table]:
+    """The masks of a task's routes in one row for each chunk: else rows grow with routes times chunks."""
+    held: dict[int, tuple[list[bytes], list[bytes]]] = {}
+
+    def rows() -> pa.Table:
+        out = _answer_table([(chunk, b"".join(looks), b"", b"", b"".join(masks), 0) for chunk, (looks, masks) in held.items()])
+        held.clear()
+        return out
+
+    hits = 0
+    for table in answers:
+        for chunk, look, mask in zip(*(table.column(c).to_pylist() for c in ("chunk", "look", "mask")), strict=True):
+            looks, masks = held.setdefault(chunk, ([], []))
+            looks.append(look)
+            masks.append(mask)
+            hits += len(look) // 8
+        if hits > HELD_HITS:
+            yield rows()
+            hits = 0
+    if held:
+        yield rows()
+
+
 def _resolve(group: pa.Table) -> pa.Table | None:
     """Step 3, second half: windows a smaller document holds, as a mask per run."""
-    import pyarrow.compute as pc
-
     done = group.filter(group.column("done"))
     live = group.filter(pc.invert(group.column("done")))
     masks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -459,12 +489,9 @@ def covered_bytes(docs: pa.Table, answers: pa.Table) -> tuple[list[bytes], np.nd
         head = _heads(look[order])
         low = np.empty(len(look), np.int64)
         low[order] = np.repeat(np.minimum.reduceat(own[order], head), np.diff(np.append(head, len(look))))
-        full = [answers.slice(i, 1) for i in range(answers.num_rows)]
-        told = [t for t in full if t.column("low")[0].as_py()]
-        mask = [t for t in full if t.column("mask")[0].as_py()]
-        if told:
-            t = pa.concat_tables(told)
-            name, least = _gather(t, "look", "<u8"), _gather(t, "low", np.int64)
+        told, mask = (answers.filter(pc.greater(pc.binary_length(answers.column(c)), 0)) for c in ("low", "mask"))
+        if told.num_rows:
+            name, least = _gather(told, "look", "<u8"), _gather(told, "low", np.int64)
             o = np.argsort(name)
             name, least = name[o], least[o]
             head = _heads(name)
@@ -475,9 +502,8 @@ def covered_bytes(docs: pa.Table, answers: pa.Table) -> tuple[list[bytes], np.nd
         gone = own > low
         delta += np.bincount(base[gone], minlength=len(delta)).astype(np.int32)
         delta -= np.bincount(base[gone] + r["count"][gone] + WINDOW - 1, minlength=len(delta)).astype(np.int32)
-        if mask:
-            t = pa.concat_tables(mask)
-            name, bit = _gather(t, "look", "<u8"), _gather(t, "mask", "<u8")
+        if mask.num_rows:
+            name, bit = _gather(mask, "look", "<u8"), _gather(mask, "mask", "<u8")
             o = np.argsort(name)
             name, bit = name[o], bit[o]
             head = _heads(name)
@@ -502,7 +528,7 @@ def _plan(docs: DataFrame, finish, schema) -> DataFrame:
     rest = rest.withColumn("bucket", F.col("bucket") * 2)
     answers = []
     for level in range(LEVELS + 1):
-        settled = materialize(map_group_streams(rest, ["bucket"], _settle(level), f"{PACKED}, {ANSWER.replace('chunk long, ', '')}"))
+        settled = materialize(map_group_streams(rest, ["bucket"], _settle(level), f"{PACKED}, {ANSWER}"))
         answers.append(settled.where("look IS NOT NULL").select(*[f.split()[0] for f in ANSWER.split(", ")]))
         rest = settled.where("bucket IS NOT NULL").select(*[f.split()[0] for f in PACKED.split(", ")])
         if rest.isEmpty():
@@ -512,7 +538,7 @@ def _plan(docs: DataFrame, finish, schema) -> DataFrame:
     routes = max(1, -(-asked // ROUTE_RUNS))
     by_chunk = placed.groupBy("chunk")
     requests = by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(_send_bytes(routes), REQUEST)
-    second = map_groups(requests, ["route"], _resolve, ANSWER)
+    second = map_groups(requests, ["route"], _resolve, ANSWER, _by_chunk)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         out = finish(docs, *covered_bytes(docs, answers))

@@ -13,6 +13,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -619,6 +620,35 @@ def test_windows_of_texts_above_a_segment_are_covered_once(segment, monkeypatch)
         assert at == max(0, len(text) - 49)
 
 
+@pytest.mark.parametrize("row_runs", [repeat_windows.ROW_RUNS, 7])
+def test_rows_of_packed_runs_do_not_grow_with_chunks(row_runs, monkeypatch):
+    monkeypatch.setattr(repeat_windows, "ROW_RUNS", row_runs)
+    rng = random.Random(3)
+    texts = [bytes(rng.randrange(256) for _ in range(rng.randrange(400))) for _ in range(300)]
+    texts[20] = texts[10] + texts[11]
+    docs, chunks, buckets = [-(2**63), *rng.sample(range(-5000, 2**62), 298), 2**63 - 1], [k * 7919 % 10**9 for k in range(300)], 50
+    docs[20], chunks[20] = docs[10] - 1, chunks[10]
+    r = repeat_windows.runs(texts)
+    batch = pa.table({"chunk": pa.array(chunks, pa.int64()), "doc_id": pa.array(docs, pa.int64()), "text": pa.array(texts, pa.binary())}).to_batches()
+    packed = pa.Table.from_batches(list(repeat_windows._send_runs(buckets)(iter(batch))))
+    least = {}
+    for t, anchor, key in zip(r["text"].tolist(), r["anchor"].tolist(), r["key"].tolist(), strict=True):
+        run = ((anchor >> 32) % buckets, chunks[t], anchor % 2**40, key % 2**56)
+        least[run] = min(docs[t], least.get(run, docs[t]))
+    got = {}
+    for i in range(packed.num_rows):
+        for doc, key, anchor, chunk in zip(*(x.tolist() for x in repeat_windows._unpack(packed.slice(i, 1))), strict=True):
+            got[packed.column("bucket")[i].as_py(), chunk, anchor, key] = doc
+    assert got == least
+    assert packed.num_rows <= buckets + len(got) // row_runs
+
+
+def test_masks_of_a_task_are_a_row_for_each_chunk():
+    one = lambda chunk, look: repeat_windows._answer_table([(chunk, np.array([look], "<u8").tobytes(), b"", b"", np.array([look + 1], "<u8").tobytes(), 0)])
+    (out,) = repeat_windows._by_chunk(iter([one(1, 5), one(2, 6), one(1, 7)]))
+    assert [(r["chunk"], np.frombuffer(r["look"], "<u8").tolist(), np.frombuffer(r["mask"], "<u8").tolist()) for r in out.to_pylist()] == [(1, [5, 7], [6, 8]), (2, [6], [7])]
+
+
 def test_codec_of_an_empty_table_and_a_long_text(spark):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     assert piece_codec.round_trip(table(spark, []), path).collect() == []
