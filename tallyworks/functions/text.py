@@ -145,6 +145,13 @@ def unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
+def page_references(s: Column) -> Column:
+    """The references that the SQL of ``html_prose`` decodes, and no others: three that end as they should, then an ampersand, cut or not."""
+    for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"')):
+        s = F.replace(s, F.lit(name), F.lit(char))
+    return F.regexp_replace(s, "&amp;?", "&")
+
+
 def title_date(title: Column) -> Column:
     """Date in a title such as "Contracts for Aug. 31, 2026"; null if there is none."""
     pattern = r"([A-Za-z]{3})[a-z]*\.?\s+(\d{1,2}),\s+(\d{4})"

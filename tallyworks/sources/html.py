@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +30,14 @@ def tidy_prose(decoded: Column) -> Column:
     """Blanks collapsed, empty lines dropped, cut to the first service header if there is one."""
     t = F.regexp_replace(decoded, r"[ \t\x{A0}]+", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"\n[\s\x{A0}]*\n+", "\n"), r"^\s+|\s+$", "")
-    head = r"(?ms)^\s*(?:ARMY|NAVY|AIR FORCE|DEFENSE|SPACE FORCE|MARINE).*"
+    head = r"(?dms)^\s*(?:ARMY|NAVY|AIR FORCE|DEFENSE|SPACE FORCE|MARINE).*"
     return F.when(t.rlike(head), F.regexp_extract(t, f"({head})", 1)).otherwise(t)
 
 
-def body_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with ``prose`` instead of ``html``."""
-    return pages.withColumn("prose", tidy_prose(text.unescape(prose_markup(F.coalesce(html, F.lit("")))))).drop(html)
+def body_text(pages: DataFrame, html: str = "html", decode: Callable[[Column], Column] = text.unescape) -> DataFrame:
+    """``pages`` with ``prose`` instead of ``html``; ``decode`` turns references into characters."""
+    decoded = pages.withColumn("prose", decode(prose_markup(F.coalesce(html, F.lit("")))))
+    return decoded.withColumn("prose", tidy_prose(F.col("prose"))).drop(html)
 
 
 def scan_lines(docs: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import duckdb
+
 from tallyworks.plans import catalog
 from tallyworks.sources import html
 
@@ -19,6 +21,25 @@ def test_prose_is_the_first_body(spark):
     assert [r.prose for r in rows] == ["one", "", "no such part\n$1 \\", "outside", "two\nlines", "in\none", ""]
 
 
+CUT = ["token = &quot", "&quotx", "&copy", "&middot 2", "&lt;&#39;&nbsp;", "&AMP;&QUOT;", "&amp", "&am", "&amp;quot;", "&amp;amp;", "&ampx", "$1 \\ &copy; &middot; &quot;", "x\rARMY y", "x\x85NAVY y", "x\u2028MARINE y", "x\r\nARMY y", "x\n  NAVY y", None, ""]
+
+
+def test_html_prose_of_cut_references_equals_its_sql(spark, tmp_path):
+    """A reference cut by the end of a title stays as it is there."""
+    rows = [(k, "u", x) for k, x in enumerate(CUT)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.oracle_sql()["html_prose"]).fetchall())
+    assert sorted(map(tuple, catalog.queries()["html_prose"](spark, str(tmp_path)).select("page_id", "url", "prose").collect())) == want
+    assert [p for _, _, p in want][:2] == ["token = &quot", "&quotx"]
+
+
+def test_body_text_decodes_cut_references(spark):
+    rows = html.body_text(spark.createDataFrame([(0, "token = &quot"), (1, "&lt;&#39;")], "page_id int, html string")).orderBy("page_id").collect()
+    assert [r.prose for r in rows] == ['token = "', "<'"]
+
+
 def test_long_patterns_are_matched_once(spark):
     """The body's pattern was matched to see whether it is there and again to cut it out, that of dollars up to six times a line."""
     plan = catalog.queries()["prose_rows"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
