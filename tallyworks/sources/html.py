@@ -29,7 +29,7 @@ def prose_markup(html: Column) -> Column:
 def tidy_prose(decoded: Column) -> Column:
     """Blanks collapsed, empty lines dropped, cut to the first service header if there is one."""
     t = F.regexp_replace(decoded, r"[ \t\x{A0}]+", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"\n[\s\x{A0}]*\n+", "\n"), r"^\s+|\s+$", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"\n[\s\x{A0}]*\n+", "\n"), r"^\s+|\s+\z", "")
     head = r"(?dms)^\s*(?:ARMY|NAVY|AIR FORCE|DEFENSE|SPACE FORCE|MARINE).*"
     return F.when(t.rlike(head), F.regexp_extract(t, f"({head})", 1)).otherwise(t)
 

@@ -21,7 +21,7 @@ def test_prose_is_the_first_body(spark):
     assert [r.prose for r in rows] == ["one", "", "no such part\n$1 \\", "outside", "two\nlines", "in\none", ""]
 
 
-CUT = ["token = &quot", "&quotx", "&copy", "&middot 2", "&lt;&#39;&nbsp;", "&AMP;&QUOT;", "&amp", "&am", "&amp;quot;", "&amp;amp;", "&ampx", "$1 \\ &copy; &middot; &quot;", "x\rARMY y", "x\x85NAVY y", "x\u2028MARINE y", "x\r\nARMY y", "x\n  NAVY y", None, ""]
+CUT = ["token = &quot", "&quotx", "&copy", "&middot 2", "&lt;&#39;&nbsp;", "&AMP;&QUOT;", "&amp", "&am", "&amp;quot;", "&amp;amp;", "&ampx", "$1 \\ &copy; &middot; &quot;", "x\rARMY y", "x\x85NAVY y", "x\u2028MARINE y", "x\r\nARMY y", "x\n  NAVY y", "x \u2029", "x\n\x85", None, ""]
 
 
 def test_html_prose_of_cut_references_equals_its_sql(spark, tmp_path):
